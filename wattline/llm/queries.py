@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from wattline.llm.bpe_lexicon import op4_bpe_lexicon
 from wattline.llm.chat_trees import op6_chat_trees
+from wattline.llm.gear_chunks import op5_gear_chunks
 from wattline.llm.line_rules import op2_line_rules
 from wattline.llm.mpeg_audio import op3_mpeg_audio
 from wattline.llm.pii_spans import op1_pii_spans
+from wattline.llm.suffix_dedup import op9_suffix_dedup
 from wattline.llm.url_model import op10_url_model
 
 QUERIES = {
     "op1_pii_spans": op1_pii_spans,
     "op2_line_rules": op2_line_rules,
     "op3_mpeg_audio": op3_mpeg_audio,
+    "op4_bpe_lexicon": op4_bpe_lexicon,
+    "op5_gear_chunks": op5_gear_chunks,
     "op6_chat_trees": op6_chat_trees,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_model": op10_url_model,
 }
 ORACLES: dict[str, str] = {}
