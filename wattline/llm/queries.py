@@ -8,6 +8,7 @@ from wattline.llm.gear_chunks import op5_gear_chunks
 from wattline.llm.line_rules import op2_line_rules
 from wattline.llm.mpeg_audio import op3_mpeg_audio
 from wattline.llm.pii_spans import op1_pii_spans
+from wattline.llm.shingle_join import op7_shingle_join
 from wattline.llm.suffix_dedup import op9_suffix_dedup
 from wattline.llm.url_model import op10_url_model
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_bpe_lexicon": op4_bpe_lexicon,
     "op5_gear_chunks": op5_gear_chunks,
     "op6_chat_trees": op6_chat_trees,
+    "op7_shingle_join": op7_shingle_join,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_model": op10_url_model,
 }
