@@ -16,6 +16,8 @@ turns of their own; a tree without messages gives no row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +28,13 @@ TRAINED_ROLE = "assistant"
 
 
 def escape(text: Column) -> Column:
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"\\", r"\\\\e")
-    text = F.regexp_replace(text, r"<(?=\||/?s>)", r"\\\\l")
-    return F.regexp_replace(text, r"\[(?=/?INST\])", r"\\\\b")
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"\\", r"\\e")
+    text = F.regexp_replace(text, r"<(?=\||/?s>)", r"\\l")
+    return F.regexp_replace(text, r"\[(?=/?INST\])", r"\\b")
 
 
 def escape_role(role: Column) -> Column:
-    return F.regexp_replace(escape(role), r"\|", r"\\\\p")
+    return F.regexp_replace(escape(role), r"\|", r"\\p")
 
 
 def unescape(text: Column) -> Column:
@@ -46,16 +48,18 @@ def pointer_tables(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     known = messages.select(F.col("node").alias("up"), F.lit(True).alias("there"))
     state = messages.join(known, "up", "left").select("node", F.when(F.col("there"), F.col("up")).alias("up"), F.when(F.col("there"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("depth"), F.col("score").alias("total"), F.col("node").alias("root"))
     # depth: steps from the message to `up`, or to the root where nothing is above; total: scores of the messages passed.
-    state, tables, open_before = materialise(state, "tree"), [], -1
+    # Only messages that haven't reached their root take part in a round; the others are looked up.
+    state, tables, reached, open_before = materialise(state, "tree"), [], [], -1
     while (open_now := state.where("up is not null").count()) not in (0, open_before):  # what doesn't shrink hangs on a cycle
         open_before = open_now
-        tables.append(state.select("node", "up").where("up is not null"))
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"), F.col("root").alias("root2"))
-        joined = state.join(above, "up", "left")
-        state = materialise(
-            joined.select("node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), F.coalesce("root2", "root").alias("root")), "tree"
-        )
-    return state.where("up is null").select("node", "root", "depth", "total"), tables
+        moving = state.where("up is not null")
+        tables.append(moving.select("node", "up"))
+        reached.append(state.where("up is null"))
+        above = reduce(DataFrame.unionByName, reached, moving)
+        above = above.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"), F.col("root").alias("root2"))
+        joined = moving.join(above, "up")
+        state = materialise(joined.select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total"), F.col("root2").alias("root")), "tree")
+    return reduce(DataFrame.unionByName, reached, state.where("up is null")).select("node", "root", "depth", "total"), tables
 
 
 def chosen_paths(messages: DataFrame, best: int = 1) -> DataFrame:
