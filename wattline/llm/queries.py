@@ -6,6 +6,7 @@ from wattline.llm.bpe_lexicon import op4_bpe_lexicon
 from wattline.llm.chat_trees import op6_chat_trees
 from wattline.llm.gear_chunks import op5_gear_chunks
 from wattline.llm.line_rules import op2_line_rules
+from wattline.llm.mixing import op8_mixing
 from wattline.llm.mpeg_audio import op3_mpeg_audio
 from wattline.llm.pii_spans import op1_pii_spans
 from wattline.llm.shingle_join import op7_shingle_join
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_gear_chunks": op5_gear_chunks,
     "op6_chat_trees": op6_chat_trees,
     "op7_shingle_join": op7_shingle_join,
+    "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_model": op10_url_model,
 }
