@@ -251,6 +251,8 @@ def settle(batches):
 
     for batch in batches:
         for row in zip(*(batch.column(n).to_pylist() for n in CONTEXT.names), strict=True):
+            if held and row[:4] == held[-1][:4]:  # of a row that repeats id and text
+                continue
             if hot is not None and row[0] != hot:
                 yield from windows(held)
                 held, hot = [], None
@@ -280,7 +282,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     whole = found.where(~F.col("open")).select("doc", "th", "start", F.col("size").bitwiseAND(0xFFFFFFFF).alias("size"))
     by_doc = found.where("open").groupBy("doc", "th").agg(F.collect_list(F.struct("route", "start", "size")).alias("open"))
     joined = documents.join(by_doc, ["doc", "th"], "inner").select("doc", "th", "text", "open")
-    dealt = joined.mapInArrow(contexts, CONTEXT).dropDuplicates(["route", "doc", "th", "start"]).repartition("route").sortWithinPartitions("route", "doc", "th", "start")
+    dealt = joined.mapInArrow(contexts, CONTEXT).repartition("route").sortWithinPartitions("route", "doc", "th", "start")
     settled = materialise(dealt.mapInArrow(settle, SETTLED), "settled")
     single = settled.where("open").select(*[n for n in STRETCHES.names[:-1]], F.lit(False).alias("done"))
     spans = settled.where(~F.col("open")).select("doc", "th", "start", "size")
