@@ -4,6 +4,9 @@ import random
 from wattline.llm.suffix_dedup import WIDTH, drop_repeated_strings, op9_suffix_dedup
 
 
+PLAIN = "".join(random.Random(9).choices("abcdefghij ", k=900))
+
+
 def brute(docs):
     """docs: distinct (id, text); {(id, text): (n_bytes, n_removed, n_spans, kept)} by looking at every window."""
     seen, out = set(), {}
@@ -45,7 +48,7 @@ def test_random_passages(spark):
 
 def test_odd_texts(spark):
     long = "0123456789" * 40
-    docs = [(1, None), (2, ""), (3, "short"), (4, "a" * 700), (5, "a" * 99), (6, "a" * 100), (7, long), (7, long), (8, long[:250] + "\0" * 150), (9, "\0" * 120), (None, long[5:180]), (10, "ab" * 300), (11, "ba" * 99)]
+    docs = [(1, None), (2, ""), (3, "short"), (4, "a" * 700), (5, "a" * 99), (6, "a" * 100), (7, long), (7, long), (8, long[:250] + "\0" * 150), (9, "\0" * 120), (None, long[5:180]), (12, PLAIN), (12, PLAIN), (12, PLAIN), (14, PLAIN[50:] + "new"), (14, PLAIN[50:] + "new"), (10, "ab" * 300), (11, "ba" * 99)]
     check(spark, docs)
 
 

@@ -34,8 +34,11 @@ def settle_slice(route, k2, doc, th, start, size) -> pa.RecordBatch:
     """The slice's stretches, repeats inside it marked as done."""
     order = np.lexsort((start, th, doc, k2, route))
     route, k2, doc, th, start, size = (x[order] for x in (route, k2, doc, th, start, size))
-    again = np.zeros(len(route), dtype=bool)
+    again, same = np.zeros(len(route), dtype=bool), np.zeros(len(route), dtype=bool)
     again[1:] = (route[1:] == route[:-1]) & (k2[1:] == k2[:-1])
+    # Rows that repeat id and text hold the same occurrence, not a later one.
+    same[1:] = again[1:] & (doc[1:] == doc[:-1]) & (th[1:] == th[:-1]) & (start[1:] == start[:-1])
+    route, k2, doc, th, start, size, again = (x[~same] for x in (route, k2, doc, th, start, size, again))
     # Overlapping and adjoining repeats of a document become one row; plain stretches stay as they are.
     order = np.lexsort((start[again], th[again], doc[again]))
     d, t, s, e = (x[again][order] for x in (doc, th, start, start + (size & 0xFFFFFFFF)))
@@ -76,7 +79,8 @@ def first_seen(rows: DataFrame, groups: bool = False) -> DataFrame:
     routes that have several contents come as well, with open = true."""
 
     def passed(batches):
-        last = None  # (route, k2) of the last row
+        keys = ["route", "k2", "doc", "th", "start"]
+        last = None  # these of the last row
         pending = None  # the last first stretch: [values, whether its route has another content before it]
         names = ["route", "doc", "th", "start", "size"]
         for batch in batches:
@@ -86,10 +90,11 @@ def first_seen(rows: DataFrame, groups: bool = False) -> DataFrame:
             live = {n: x[~done] for n, x in c.items()}
             count = len(live["route"])
             if count:
-                new = np.ones(count, dtype=bool)
-                new[1:] = (live["route"][1:] != live["route"][:-1]) | (live["k2"][1:] != live["k2"][:-1])
-                new[0] = last != (live["route"][0], live["k2"][0])
-                last = (live["route"][-1], live["k2"][-1])
+                differs = {n: np.append(last is None or last[n] != live[n][0], live[n][1:] != live[n][:-1]) for n in keys}
+                last = {n: live[n][-1] for n in keys}
+                new = differs["route"] | differs["k2"]
+                place = new | differs["doc"] | differs["th"] | differs["start"]  # else the same occurrence, of a repeated row
+                live, new = {n: x[place] for n, x in live.items()}, new[place]
                 out = {n: np.concatenate([out[n], live[n][~new]]) for n in names}
                 if groups and new.any():
                     first = {n: live[n][new] for n in names}
