@@ -165,18 +165,20 @@ GROUPED = "gid binary, part int, members array<struct<cls:binary,size:long,cente
 
 
 def groups_of(postings: DataFrame, similar: int) -> DataFrame:
-    """Classes that share a prefix token, in parts of at most a block; equal parts of different tokens have equal gids where
-    the group is one part. A center is the smallest class that is still within reach of the member's size."""
+    """Classes that share a prefix token and whose sizes follow each other without a gap that no link can bridge, in parts of
+    at most a block; equal groups of different tokens have equal gids where the group is one part. A center is the smallest
+    class that is still within reach of the member's size."""
 
     def grouped(batches):
         kind = pa.struct([("cls", pa.binary()), ("size", pa.int64()), ("center", pa.binary())])
         out: list[tuple] = []
         held, tokens, token, part, center = [], 0, None, 0, None
+        previous, latest, origin = None, 0, b""  # the last member's name and size, the group's first member
 
         def put(last: bool) -> None:
             nonlocal held, tokens, part
             if held and (part or not last or len(held) > 1):
-                gid = xxhash.xxh3_128_digest(b"".join(m[0] for m in held)) if last and not part else token.to_bytes(8, "big", signed=True)
+                gid = xxhash.xxh3_128_digest(b"".join(m[0] for m in held)) if last and not part else token.to_bytes(8, "big", signed=True) + origin
                 out.append((gid, part, [dict(zip(("cls", "size", "center"), m, strict=True)) for m in held]))
                 part += 1
             held, tokens = [], 0
@@ -196,15 +198,18 @@ def groups_of(postings: DataFrame, similar: int) -> DataFrame:
             for key, size, name in zip(keys[at].tolist(), picked.column(1).to_pylist(), picked.column(2).to_pylist(), strict=True):
                 if key != token:
                     put(True)
-                    token, part, center = key, 0, None
-                elif held and held[-1][0] == name or previous == name:
+                    token, part, center, origin = key, 0, None, name
+                elif previous == name:
                     continue
+                elif 100 * latest < similar * size:  # nothing beyond this gap can link with what lies before it
+                    put(True)
+                    part, center, origin = 0, None, name
                 elif len(held) >= BLOCK_MEMBERS or tokens > BLOCK_TOKENS:
                     put(False)
                 if center is None or 100 * center[1] < similar * size:
                     center = (name, size)
                 held.append((name, size, center[0]))
-                previous = name
+                previous, latest = name, size
                 tokens += size
             if len(out) > 2000:
                 yield rows()
@@ -359,7 +364,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sent = spark.sparkContext.broadcast((by_token[order], order + 1))
 
     groups = materialise(groups_of(prefix_postings(documents, sent, width, similar), similar).dropDuplicates(["gid", "part"]), "groups")
-    members = groups.select("gid", "part", F.explode("members").alias("m")).select("gid", "part", "m.*")
+    members = groups.select("gid", "part", F.posexplode("members").alias("place", "m")).select("gid", "part", "place", "m.*")
     classes = placed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc", "th")).alias("first"))
     wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "first.*")
     sets = materialise(class_sets(documents, wanted, width), "sets")
@@ -374,8 +379,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = materialise(search_blocks(rows, "key", similar), "links")
     labels = components(links)
 
-    # Groups whose members are in several components.
-    named = members.join(labels, "cls", "left").select("gid", "part", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
+    # Groups whose members are in several components. A group's first class has been compared with all that it can link with.
+    named = members.where("part > 0 or place > 0").join(labels, "cls", "left").select("gid", "part", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
     open_groups = named.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("gid")
     left = materialise(named.join(open_groups, "gid"), "open")
     parts = left.groupBy("gid", "part").agg(F.min("size").alias("low"), F.max("size").alias("high"))
