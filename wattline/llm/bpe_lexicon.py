@@ -27,12 +27,14 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm.common import read_table, schema, shared_dir
+from wattline.llm.common import materialise, read_table, schema, shared_dir
 
 #: Words in the lexicon, and bytes of the longest; both bound the file.
 LEXICON_WORDS, LONGEST_WORD = 20_000, 48
-#: Entries that a worker remembers before it forgets them all.
-MEMORY = 400_000
+#: Entries that a worker remembers before it forgets them all (about 250 bytes each), and words that it counts at once.
+MEMORY, COUNTED = 1_000_000, 400_000
+#: Stands for the rank of a pair that is never merged.
+NEVER = 2**31
 #: Longer words are merged with a heap.
 SHORT_WORD = 64
 
@@ -65,10 +67,11 @@ class Merges:
         self.special = {x["content"]: x["id"] for x in told.get("added_tokens", ())}
         self.token = {vocab[token]: b for token, b in raw.items()} | {i: s.encode() for s, i in self.special.items()}
         self.byte_id = [vocab[c] for _, c in sorted(byte_letters().items())]
-        self.pair = {}
+        self.rank, self.new = {}, []  # of each pair, and what it becomes by rank
         for rank, merge in enumerate(told["model"]["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
-            self.pair[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.rank[vocab[left], vocab[right]] = rank
+            self.new.append(vocab[left + right])
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, piece: bytes) -> list[int]:
@@ -76,37 +79,35 @@ class Merges:
         return self._merge_short(ids) if len(ids) <= SHORT_WORD else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        get = self.pair.get
-        found = [get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best = min((f for f in found if f), default=None)
-            if best is None:
-                return ids
-            at = found.index(best)
-            ids[at : at + 2] = [best[1]]
-            del found[at]
-            if at < len(found):
-                found[at] = get((ids[at], ids[at + 1]))
+        get, new = self.rank.get, self.new
+        ranks = [get(p, NEVER) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != NEVER:
+            at = ranks.index(best)
+            ids[at] = one = new[best]
+            del ids[at + 1], ranks[at]
+            if at < len(ranks):
+                ranks[at] = get((one, ids[at + 1]), NEVER)
             if at:
-                found[at - 1] = get((ids[at - 1], ids[at]))
+                ranks[at - 1] = get((ids[at - 1], one), NEVER)
+        return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same order, lowest rank first and leftmost among equals, from a heap over a linked list."""
         n = len(ids)
-        after, before, get = [*range(1, n), -1], [*range(-1, n - 1)], self.pair.get
-        heap = [(f[0], k, ids[k], ids[k + 1], f[1]) for k in range(n - 1) if (f := get((ids[k], ids[k + 1])))]
+        after, before, get = [*range(1, n), -1], [*range(-1, n - 1)], self.rank.get
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := get((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, left, right, new = heapq.heappop(heap)
+            rank, k, left, right = heapq.heappop(heap)
             j = after[k]
             if ids[k] != left or j < 0 or ids[j] != right:
                 continue
-            ids[k], ids[j], after[k] = new, -1, after[j]
+            ids[k], ids[j], after[k] = self.new[rank], -1, after[j]
             if after[k] >= 0:
                 before[after[k]] = k
             for i in (before[k], k):
-                if i >= 0 and after[i] >= 0 and (f := get((ids[i], ids[after[i]]))):
-                    heapq.heappush(heap, (f[0], i, ids[i], ids[after[i]], f[1]))
+                if i >= 0 and after[i] >= 0 and (r := get((ids[i], ids[after[i]]))) is not None:
+                    heapq.heappush(heap, (r, i, ids[i], ids[after[i]]))
         return [i for i in ids if i >= 0]
 
 
@@ -231,7 +232,15 @@ class Encoder:
         return found if found is not None else self.merges.merge(raw)
 
     def pieces(self, text: str) -> tuple[int, ...]:
-        return tuple(i for p in PIECES.findall(text) for i in self.piece(p))
+        """The ids of a word with its signs; words of letters that were seen without them are remembered."""
+        parts = PIECES.findall(text)
+        if len(parts) == 1:
+            return tuple(self.piece(text))
+        ids: list[int] = []
+        for p in parts:
+            found = self.known.get(p[1:]) if p[0] == " " else None
+            ids.extend(self.piece(p) if found is None else found)
+        return tuple(ids)
 
     def plain(self, text: str) -> list[int]:
         """A single space between two characters that aren't spaces always begins a piece, so what follows it up to the next
@@ -290,7 +299,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 counts.update(w for w in (x or "").split(" ") if w.isalpha())
-                if len(counts) > MEMORY:
+                if len(counts) > COUNTED:
                     yield rows()
                     counts.clear()
         if counts:
@@ -301,9 +310,17 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit_lexicon(docs: DataFrame, merges: Merges, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The automaton of the `words` most frequent words, each as it stands after a space."""
-    counts = count_words(docs, text).where(F.octet_length("word") <= LONGEST_WORD)
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
+    """The automaton of the most frequent words, each as it stands after a space: all words of more sightings than a bound
+    that at most `words` exceed. The bound comes from a histogram of at most a few hundred rows, so no more than `words` words
+    reach the driver."""
+    counts = materialise(count_words(docs, text).where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST_WORD)).withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
+    bound, seen = None, 0
+    for level, n in sorted(((r.level, r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True):
+        seen += n
+        if seen > words:
+            break
+        bound = level
+    top = counts.where(F.col("level") >= bound).collect() if bound is not None else []
     pieces = {" " + r.word for r in top}
     return compile_lexicon({p.encode(): merges.merge(p.encode()) for p in pieces if PIECES.findall(p) == [p]})
 
