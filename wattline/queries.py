@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from wattline.plans import pattern_queries, series_queries
+
+QUERIES: dict = {**series_queries.QUERIES, **pattern_queries.QUERIES}
+ORACLES: dict[str, str] = {**series_queries.ORACLES, **pattern_queries.ORACLES}
