@@ -298,3 +298,18 @@ def p12(spark, sf_dir):
     label = F.concat(F.upper(F.substring("source", 1, 3)), F.lit("_like "), F.col("lang"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", S.normalize_label(label).alias("label"), (F.col("doc_id") % 2 == 0).alias("locked"))
+
+
+@query("c19_offline_pipeline")
+def c19(spark, sf_dir):
+    from wattline.plans.offline import run
+
+    _, patterns = run(events(spark, sf_dir), threshold=100.0, least_s=HOUR, gap_s=12 * HOUR)
+    return patterns.select("user_id", "pattern_no", "seen", *r6("avg_w", "peak_w", "duration_s", "energy_wh", "stability", "score"), "best_type", "quality")
+
+
+@query("a11_event_features")
+def a11(spark, sf_dir):
+    from wattline.plans.offline import event_features
+
+    return event_features(w21b(spark, sf_dir), events(spark, sf_dir)).select("user_id", "event_no", "n", *r6("start_s", "end_s", "avg_w", "peak_w", "duration_s", "energy_wh", "variance"), "plateaus", "jumps")
