@@ -32,7 +32,7 @@ from wattline.llm.common import materialise, read_table, schema, shared_dir
 #: Words in the lexicon, and bytes of the longest; both bound the file.
 LEXICON_WORDS, LONGEST_WORD = 20_000, 48
 #: Entries that a worker remembers before it forgets them all (about 250 bytes each), and words that it counts at once.
-MEMORY, COUNTED = 1_000_000, 400_000
+MEMORY, COUNTED = 600_000, 200_000
 #: Stands for the rank of a pair that is never merged.
 NEVER = 2**31
 #: Longer words are merged with a heap.
@@ -385,17 +385,18 @@ def decode_column(handle: Handle, ids: str | Column) -> Column:
 FIGURES = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_figures(handle: Handle, text: str | Column) -> Column:
-    """Number and digest of a text's ids, and digest of what they decode to."""
+def encode_figures(handle: Handle, text: str | Column, with_ids: bool = False) -> Column:
+    """Number and digest of a text's ids, and digest of what they decode to; the ids as well if asked for."""
+    names = [x.split()[0] for x in FIGURES.split(", ")] + ["ids"] * with_ids
 
-    @F.pandas_udf(schema(FIGURES))
+    @F.pandas_udf(schema(FIGURES + ", ids <int>" * with_ids))
     def figures(texts: pd.Series) -> pd.DataFrame:
         e, rows = handle.encoder(), []
         spelled = e.spelled.__getitem__
         for x in texts:
             ids = e.encode(x or "")
-            rows.append((len(ids), hashlib.sha256(",".join(map(spelled, ids)).encode()).hexdigest(), hashlib.sha256(e.decode(ids).encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in FIGURES.split(", ")])
+            rows.append((len(ids), hashlib.sha256(",".join(map(spelled, ids)).encode()).hexdigest(), hashlib.sha256(e.decode(ids).encode()).hexdigest(), *[ids] * with_ids))
+        return pd.DataFrame(rows, columns=names)
 
     return figures(F.col(text) if isinstance(text, str) else text)
 

@@ -15,7 +15,16 @@ from pyspark.sql import types as T
 NO_ID = -(2**63)
 
 
+#: Rows that a Python worker holds at once; texts are wide, so the default of 10,000 would be tens of MB in every copy.
+ROWS_AT_ONCE = 2000
+
+
+def hold_few_rows(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    hold_few_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,7 +57,7 @@ def text_column(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def utf8_parts(column: pa.Array, most: int = 2_000_000):
+def utf8_parts(column: pa.Array, most: int = 1_000_000):
     """Slices of a string array of about `most` bytes each: (first row, bytes, offsets)."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]

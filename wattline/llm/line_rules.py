@@ -136,7 +136,8 @@ def judge_lines(text: str | Column = "text") -> Column:
 
 def clean_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """The documents that pass, their failing lines taken out; `n_chars` follows the new text."""
-    out = docs.withColumn("__clean", line_cleaned(F.col(text))).where(F.col("__clean.kept"))
+    # Not deterministic by declaration only, so that the filter below doesn't make a second evaluation of it.
+    out = docs.withColumn("__clean", line_cleaned.asNondeterministic()(F.col(text))).where(F.col("__clean.kept"))
     kind = docs.schema[text].dataType
     out = out.withColumn(text, F.col("__clean.clean_text").cast(kind)).drop("__clean")
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars and n_chars in docs.columns else out

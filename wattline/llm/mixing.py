@@ -33,15 +33,16 @@ DIGITS = 12
 
 def tokens_of(text: str | Column = "text") -> Column:
     """The number of words of a text."""
-    column = F.trim(F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"[ \t\n\u000B\f\r]+", " "))
-    return F.when(column == "", 0).otherwise(F.length(column) - F.length(F.replace(column, F.lit(" "), F.lit(""))) + 1).cast("long")
+    column = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.regexp_count(column, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
 
 
 def topic_of(text: str | Column = "text") -> Column:
-    """A coarse topic from a text's form, for tables without such a column: empty, list, record or prose."""
+    """A coarse topic from a text's form, for tables without such a column: empty, list (a bar for every 25 characters at
+    least) or prose. Lengths and plain replacement only, so it costs little on each of the two passes."""
     column = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    words, bars, digits = tokens_of(column), F.length(column) - F.length(F.replace(column, F.lit(" | "), F.lit("  "))), F.regexp_count(column, F.lit("[0-9]"))
-    return F.when(words == 0, "empty").when(4 * bars > words, "list").when(digits > words, "record").otherwise("prose")
+    bars = F.length(column) - F.length(F.replace(column, F.lit(" | "), F.lit("  ")))
+    return F.when(F.trim(column) == "", "empty").when(25 * bars > F.length(column), "list").otherwise("prose")
 
 
 def margin_shares(sums: dict, targets: dict | None, temperature: float = 1.0) -> dict:
@@ -147,13 +148,13 @@ def chance(doc_id: str, text: str, seed: int = SEED) -> Column:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: dict = TARGETS, temperatures: dict = TEMPERATURES, seed: int = SEED) -> DataFrame:
     """The sampled documents with a struct column `mixed`: (topic, n_tokens, probability)."""
-    cell = {"__source": F.col(source).cast("string"), "__lang": F.col(lang).cast("string"), "__topic": F.col(topic).cast("string") if topic else topic_of(text), "__tokens": tokens_of(text)}
+    cell = {"__source": F.col(source).cast("string"), "__lang": F.col(lang).cast("string"), "__topic": F.col(topic).cast("string") if topic else topic_of(text)}
     own = docs.withColumns(cell)
-    sums = cell_sums(own.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens")))
+    sums = cell_sums(own.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), tokens_of(text).alias("n_tokens")))
     p = probabilities(sums, targets, temperatures).select(*(F.col(m).alias(f"__p_{m}") for m in MARGINS), F.col("probability").alias("__p"))
     same = [F.col(f"__{m}").eqNullSafe(F.col(f"__p_{m}")) for m in MARGINS]
     joined = own.join(p, same).where(chance(doc_id, text, seed) < F.col("__p"))
-    return joined.select(*docs.columns, F.struct(F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__p").alias("probability")).alias("mixed"))
+    return joined.select(*docs.columns, F.struct(F.col("__topic").alias("topic"), tokens_of(text).alias("n_tokens"), F.col("__p").alias("probability")).alias("mixed"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
