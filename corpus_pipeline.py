@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattline.llm.bpe_lexicon import encode_column, encode_figures, prepare
-from wattline.llm.common import materialise, read_table
+from wattline.llm.bpe_lexicon import encode_figures, prepare
+from wattline.llm.common import hold_few_rows, materialise, read_table
 from wattline.llm.line_rules import clean_documents
 from wattline.llm.mixing import mix
 from wattline.llm.pii_spans import redact_documents
@@ -17,29 +17,33 @@ NEAR_WORDS, NEAR_SIMILAR = 5, 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; failing lines of the others go."""
+    hold_few_rows(spark)
     return clean_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each connected group stays."""
+    hold_few_rows(spark)
     return keep_first(docs, width=NEAR_WORDS, similar=NEAR_SIMILAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes the name of its kind."""
+    hold_few_rows(spark)
     return redact_documents(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose token shares follow the target weights."""
+    hold_few_rows(spark)
     return mix(docs).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with the digests of ids and decoded text."""
-    handle = prepare(docs)
-    out = docs.select("doc_id", "source", "lang", encode_column(handle, "text").alias("ids"), encode_figures(handle, "text").alias("e"))
-    return out.select("doc_id", "source", "lang", "ids", "e.*")
+    hold_few_rows(spark)
+    encoded = encode_figures(prepare(docs), "text", with_ids=True)
+    return docs.select("doc_id", "source", "lang", encoded.alias("e")).select("doc_id", "source", "lang", "e.*")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("encoding", encoding)]
