@@ -290,8 +290,8 @@ class Block:
 LINKS = schema("a binary, b binary")
 
 
-def search_blocks(rows: DataFrame, key: str, similar: int) -> DataFrame:
-    """rows: key, cls, comp, asks, tokens. Links (a, b) that join the components of each block, searched from those that ask."""
+def search_blocks(rows: DataFrame, key: str, width: int, similar: int) -> DataFrame:
+    """rows: key, cls, comp, asks, text. Links (a, b) that join the components of each block, searched from those that ask."""
 
     def searched(batches):
         held: list[tuple] = []
@@ -299,21 +299,24 @@ def search_blocks(rows: DataFrame, key: str, similar: int) -> DataFrame:
         def links():
             out = []
             if len({r[2] for r in held}) > 1:
-                block = Block([np.array(r[4], dtype=np.int64) for r in held], [r[2] for r in held], similar)
+                offsets = np.append(0, np.cumsum([len(r[4]) for r in held]))
+                tokens, begins = shingle_sets(np.frombuffer(b"".join(r[4] for r in held), dtype=np.uint8), offsets, width)
+                tokens = tokens.view(np.int64)
+                block = Block([tokens[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)], [r[2] for r in held], similar)
                 out = [(held[q][1], held[m][1]) for q, r in enumerate(held) if r[3] for m in block.search(q)]
             held.clear()
             return out
 
         found: list[tuple] = []
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(4)]
-            for k, row in enumerate(zip(*columns, strict=True)):
+            texts = batch.column(4).cast(pa.large_binary())
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 if held and held[-1][0] != row[0]:
                     found += links()
-                if held and held[-1][1] == row[1]:
+                if held and held[-1][1] == row[1]:  # of rows that repeat id and text
                     held[-1] = (*held[-1][:3], held[-1][3] or row[3], held[-1][4])
                     continue
-                held.append((*row, batch.column(4)[k].values.to_numpy(zero_copy_only=False)))
+                held.append((*row, texts[k].as_py()))
             if len(found) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], LINKS.names)
                 found = []
@@ -321,7 +324,7 @@ def search_blocks(rows: DataFrame, key: str, similar: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], LINKS.names)
 
-    dealt = rows.select(key, "cls", "comp", "asks", "tokens").repartition(key).sortWithinPartitions(key, "cls")
+    dealt = rows.select(key, "cls", "comp", "asks", "text").repartition(key).sortWithinPartitions(key, "cls")
     return dealt.mapInArrow(searched, LINKS)
 
 
@@ -340,15 +343,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def class_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, tokens) of the wanted classes, each read from one document; wanted: (cls, doc, th)."""
-
-    def read(batches):
-        for _, _, tokens, begins, names in slices(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(tokens.view(np.int64)))], ["cls", "tokens"])
-
-    some = documents.join(wanted.select("doc", "th"), ["doc", "th"], "left_semi").select("doc", "th", "text")
-    return some.mapInArrow(read, "cls binary, tokens array<long>").dropDuplicates(["cls"])
+def class_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, text) of the wanted classes, each of one document; wanted: (cls, doc, th). A text is less than half its set."""
+    return documents.join(wanted, ["doc", "th"]).select("cls", "text")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -367,7 +364,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = groups.select("gid", "part", F.posexplode("members").alias("place", "m")).select("gid", "part", "place", "m.*")
     classes = placed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc", "th")).alias("first"))
     wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "first.*")
-    sets = materialise(class_sets(documents, wanted, width), "sets")
+    texts = materialise(class_texts(documents, wanted), "texts")
 
     stars = materialise(members.where("cls != center").select("center", "cls").distinct(), "stars")
     # A center with many members has a block for every BLOCK_MEMBERS of them.
@@ -375,8 +372,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key = F.struct("center", "salt")
     asked = stars.join(many, "center").select(F.struct("center", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt")).alias("key"), "cls", F.lit(False).alias("asks"))
     asks = many.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(key.alias("key"), F.col("center").alias("cls"), F.lit(True).alias("asks"))
-    rows = asked.unionByName(asks).join(sets, "cls").withColumn("comp", F.col("cls"))
-    links = materialise(search_blocks(rows, "key", similar), "links")
+    rows = asked.unionByName(asks).join(texts, "cls").withColumn("comp", F.col("cls"))
+    links = materialise(search_blocks(rows, "key", width, similar), "links")
     labels = components(links)
 
     # Groups whose members are in several components. A group's first class has been compared with all that it can link with.
@@ -387,8 +384,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other = parts.select("gid", F.col("part").alias("part2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     pairs = parts.join(other, "gid").where(f"part <= part2 and 100 * high >= {similar} * low2 and 100 * high2 >= {similar} * low").select("gid", "part", "part2")
     sides = pairs.select("gid", F.col("part").alias("p"), F.col("part2").alias("q"), F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"))
-    rows = left.join(sides, ["gid", "part"]).select(F.struct("gid", "p", "q").alias("key"), "cls", "comp", F.lit(True).alias("asks")).join(sets, "cls")
-    more = materialise(search_blocks(rows, "key", similar), "links")
+    rows = left.join(sides, ["gid", "part"]).select(F.struct("gid", "p", "q").alias("key"), "cls", "comp", F.lit(True).alias("asks")).join(texts, "cls")
+    more = materialise(search_blocks(rows, "key", width, similar), "links")
     labels = components(links.unionByName(more))
 
     named = classes.join(labels, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
