@@ -375,3 +375,157 @@ def s12(spark, sf_dir):
 
     p = patterns(spark, sf_dir).select(F.concat_ws(":", "phase", "label").alias("pattern_id"), fallback_profile(F.col("avg_w"), F.col("peak_w"), F.col("duration_s")).alias("profile"), "seen")
     return simulate(p).select("pattern_id", "t", *r6("power_w"))
+
+
+FRIDGE = f"""WITH RECURSIVE s AS (SELECT event_id, user_id, value > 200 AS high, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, event_id, rn, t, CASE WHEN high THEN 'starting' ELSE 'off' END AS state, CASE WHEN high THEN t ELSE 0.0 END AS since, CASE WHEN high THEN 0.65 END AS confidence FROM s WHERE rn = 1
+UNION ALL SELECT s.user_id, s.event_id, s.rn, s.t,
+CASE f.state WHEN 'off' THEN CASE WHEN high THEN 'starting' ELSE 'off' END WHEN 'starting' THEN CASE WHEN high AND s.t - f.since >= 3600 THEN 'on' WHEN high THEN 'starting' ELSE 'off' END ELSE CASE WHEN NOT high AND s.t - f.since >= 86400 THEN 'off' ELSE 'on' END END,
+CASE WHEN f.state = 'off' AND high THEN s.t ELSE f.since END,
+CASE f.state WHEN 'off' THEN CASE WHEN high THEN 0.65 END WHEN 'starting' THEN CASE WHEN high AND s.t - f.since >= 3600 THEN 0.82 WHEN high THEN 0.55 ELSE 0.40 END ELSE CASE WHEN high THEN 0.88 WHEN s.t - f.since >= 86400 THEN 0.75 ELSE 0.66 END END
+FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1)"""
+
+
+@query("w23_fridge_detector", f"{FRIDGE} SELECT user_id, event_id, t, state, CAST(confidence AS DOUBLE) AS confidence FROM f WHERE confidence IS NOT NULL")
+def w23(spark, sf_dir):
+    from wattline.operators.detectors import fridge
+
+    return fridge(events(spark, sf_dir), 200.0, 3600.0, 86400.0)
+
+
+@query("w26_adaptive_detector")
+def w26(spark, sf_dir):
+    from wattline.operators.detectors import adaptive_load
+
+    w = R.EVENTS.rows(-59)
+    calm = F.when(F.col("value") < 200, F.col("value"))
+    base = events(spark, sf_dir).withColumn("b", F.coalesce(F.avg(calm).over(w), F.lit(0.0))).withColumn("sd", F.greatest(F.coalesce(F.stddev_pop(calm).over(w), F.lit(2.0)), F.lit(2.0)))
+    return adaptive_load(base, F.col("b"), F.col("sd"), 3600.0, 86400.0, 9000.0)
+
+
+@query("w29_inverter_detector")
+def w29(spark, sf_dir):
+    from wattline.operators.detectors import inverter
+
+    return inverter(events(spark, sf_dir), F.lit(100.0), 86400.0, 0.001, 86400.0, 15000.0)
+
+
+@query("w39_routed_detectors")
+def w39(spark, sf_dir):
+    return w23(spark, sf_dir).withColumn("detector", F.lit("fridge")).unionByName(w26(spark, sf_dir).withColumn("detector", F.lit("adaptive"))).unionByName(w29(spark, sf_dir).withColumn("detector", F.lit("inverter")))
+
+
+def summary_columns() -> dict:
+    c = {"avg": F.col("avg_w"), "peak": F.col("peak_w"), "var": F.col("variance"), "dur": F.col("duration_s"), "points": F.col("n"), "plateau_std": F.col("std_w"), "substates": F.col("n") % 4, "steps": F.col("n") % 3, "pre_s": F.col("n") % 5, "post_s": F.col("cycle") % 5, "cut_start": F.col("n") % 5 == 0, "cut_end": F.col("cycle") % 5 == 0}
+    from wattline.operators.decision import waveform_summary
+
+    return {**c, **waveform_summary(c), "motor": F.col("peak_to_avg") >= 1.25, "heating": F.col("rise_rate") > 100, "cut": c["cut_start"] | c["cut_end"]}
+
+
+SUM = f"""WITH {CYC}, w AS (SELECT *, CASE WHEN n % 5 > 0 THEN least((n % 5) / 3.0, 1.0) ELSE 0.25 END AS pre, CASE WHEN cycle % 5 > 0 THEN least((cycle % 5) / 3.0, 1.0) ELSE 0.25 END AS post, std_w <= greatest(0.08 * avg_w, 15.0) AS flat FROM cyc),
+v AS (SELECT *, least(greatest(0.24 * pre + 0.24 * post + 0.18 * CASE WHEN n % 5 > 0 THEN 1.0 ELSE 0.25 END + 0.18 * CASE WHEN cycle % 5 > 0 THEN 1.0 ELSE 0.25 END + 0.16 * least(n / 18.0, 1.0), 0), 1) AS completeness, CASE WHEN flat AND duration_s >= 90 THEN 1.0 WHEN duration_s >= 45 THEN 0.78 ELSE 0.55 END AS plateau FROM w),
+u AS (SELECT *, least(greatest(0.24 * pre + 0.24 * post + 0.34 * completeness + 0.18 * plateau - CASE WHEN n % 5 = 0 THEN 0.08 ELSE 0 END - CASE WHEN cycle % 5 = 0 THEN 0.06 ELSE 0 END, 0), 1) AS seg FROM v)"""
+
+
+@query("r36_waveform_summary", f"{SUM} SELECT user_id, cycle, round(completeness, 6) AS completeness, round(seg, 6) AS seg, flat, CASE WHEN seg >= 0.60 THEN 'stable' WHEN seg >= 0.28 THEN 'provisional' ELSE 'blocked' END AS tier FROM u")
+def r36(spark, sf_dir):
+    c = summary_columns()
+    return cycles(spark, sf_dir).select("user_id", "cycle", F.round(c["completeness"], 6).alias("completeness"), F.round(c["seg"], 6).alias("seg"), c["flat"].alias("flat"), c["tier"].alias("tier"))
+
+
+def temporal(spark, sf_dir) -> DataFrame:
+    from wattline.operators.decision import temporal_scores
+
+    c = cycles(spark, sf_dir)
+    hours = c.groupBy("phase", "label").agg(F.avg(F.pmod(F.col("start_s") / 3600, F.lit(24.0))).alias("mean_hour"))
+    return temporal_scores(c, patterns(spark, sf_dir), hours, ("user_id", "cycle"))
+
+
+@query("c06_temporal_score", f"""WITH {PAT}, h AS (SELECT phase, label, avg(start_s / 3600 - 24 * floor(start_s / 3600 / 24)) AS mh FROM cyc GROUP BY phase, label), j AS (SELECT c.user_id, c.cycle, p.seen AS occ, 1 - least(abs(p.duration_s - c.duration_s) / greatest(p.duration_s, 1.0), 1.0) AS dm, least(ln(1 + p.seen) / 4, 1.0) AS lg,
+abs(c.start_s / 3600 - 24 * floor(c.start_s / 3600 / 24) - mh) AS d FROM cyc c JOIN pat p USING (phase, label) JOIN h USING (phase, label))
+SELECT user_id, cycle, occ, round(least(0.45 * least(0.65 * dm + 0.35 * lg, 1.0) + 0.35 * (1 - least(least(d, 24 - d) / 12, 1.0)) + 0.20 * lg, 1.0), 6) AS temporal FROM j""")
+def c06(spark, sf_dir):
+    return temporal(spark, sf_dir).select("user_id", "cycle", "occ", *r6("temporal"))
+
+
+def decided(spark, sf_dir) -> DataFrame:
+    from wattline.operators.decision import candidates, decide
+
+    c = {**summary_columns(), "occ": F.col("occ"), "temporal": F.col("temporal")}
+    out = cycles(spark, sf_dir).join(temporal(spark, sf_dir), ["user_id", "cycle"]).withColumn("found", candidates(c))
+    d = decide(F.col("found"), c, F.lit(0.5))
+    return out.withColumns({"decided": d["label"], "confidence": d["confidence"], "source": d["source"]})
+
+
+@query("c07_candidates")
+def c07(spark, sf_dir):
+    return decided(spark, sf_dir).select("user_id", "cycle", F.inline("found")).select("user_id", "cycle", "label", "score")
+
+
+@query("c08_decision")
+def c08(spark, sf_dir):
+    return decided(spark, sf_dir).select("user_id", "cycle", F.col("decided").alias("label"), "source", *r6("confidence"))
+
+
+@query("c11_random_forest")
+def c11(spark, sf_dir):
+    from wattline.operators.forest import predict, train
+
+    rows = cycles(spark, sf_dir).cache()
+    model = train(rows, trees=10, depth=5)
+    out = predict(model, rows) if model is not None else rows.withColumns({"predicted": F.lit(None).cast("string"), "probability": F.lit(0.0)})
+    return out.select("user_id", "cycle", "label", "predicted", "probability")
+
+
+@query("c22_analyzer_quality")
+def c22(spark, sf_dir):
+    from wattline.operators.decision import analyzer_quality
+
+    p = patterns(spark, sf_dir)
+    stable = F.col("stability") / 100.0
+    q = analyzer_quality({"rep": S.repeatability(F.col("seen"), stable, F.col("per_day")), "stability": stable, "seen": F.col("seen"), "cv": F.sqrt("variance") / F.col("avg_w"), "plateaus": F.col("seen") % 3, "jumps": F.col("seen") % 10, "mixed": F.col("seen") % 11 == 0, "risk": F.col("seen") % 7 == 0, "energy_ratio": F.col("energy_wh") / F.greatest(F.col("avg_w") * F.col("duration_s") / 3600, F.lit(1e-9)), "conf": F.col("confidence") / 100, "best": F.lit(0.7), "label_fit": F.lit(0.6)})
+    return p.select("phase", "label", q["quality"].alias("quality"), F.round(q["total"], 6).alias("total"), F.round(q["adjusted"], 6).alias("adjusted"))
+
+
+@query("a05_row_counts", "SELECT 'events' AS table_name, count(*) AS n FROM events UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
+def a05(spark, sf_dir):
+    from functools import reduce
+
+    parts = [spark.read.parquet(f"{sf_dir}/{t}.parquet").agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in ("events", "documents", "embeddings")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("a14_blended_profiles")
+def a14(spark, sf_dir):
+    """Vectors of one label blended in order, each counting 0.22."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    ordered = e.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("x"))
+    blended = V.ema_profiles(F.transform(F.col("x"), lambda r: V.resample(r["v"], 8)))
+    return ordered.select("label", F.posexplode(blended).alias("point", "value")).select("label", "point", *r6("value"))
+
+
+@query("m12_history_snapshot", f"WITH {PAT} SELECT phase, label, seen, sha1(phase || '|' || label || '|' || CAST(seen AS VARCHAR)) AS version FROM pat")
+def m12(spark, sf_dir):
+    return patterns(spark, sf_dir).select("phase", "label", "seen", F.sha1(F.concat_ws("|", "phase", "label", F.col("seen").cast("string"))).alias("version"))
+
+
+@query("c18_merged_patterns", f"""WITH {PAT}, m AS (SELECT *, phase || ':' || split_part(label, '_', 1) AS k FROM pat) SELECT k AS "into", CAST(sum(seen) AS BIGINT) AS seen, round(sum(avg_w * seen) / sum(seen), 5) AS avg_w, round(sum(duration_s * seen) / sum(seen), 5) AS duration_s, max(peak_w) AS peak_w FROM m GROUP BY k""")
+def c18(spark, sf_dir):
+    p = patterns(spark, sf_dir).withColumn("id", F.concat_ws(":", "phase", "label"))
+    groups = p.select("id", F.concat_ws(":", "phase", F.substring_index("label", "_", 1)).alias("into"))
+    out = M.merged_patterns(p, groups, "id")
+    return out.select("into", "seen", F.round("avg_w", 5).alias("avg_w"), F.round("duration_s", 5).alias("duration_s"), "peak_w")
+
+
+@query("w12_pre_and_post_roll", f"WITH {CYC} SELECT c.user_id, c.cycle, count(*) FILTER (WHERE epoch_us(e.ts) / 1e6 < c.start_s) AS n_pre, count(*) FILTER (WHERE epoch_us(e.ts) / 1e6 > c.end_s) AS n_post FROM cyc c JOIN events e ON c.user_id = e.user_id AND epoch_us(e.ts) / 1e6 BETWEEN c.start_s - 86400 AND c.end_s + 86400 GROUP BY c.user_id, c.cycle")
+def w12(spark, sf_dir):
+    c = cycles(spark, sf_dir).select("user_id", "cycle", "start_s", "end_s")
+    out = J.interval_context(c, events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), "user_id", 86400, 86400, R.EVENTS.seconds(), 86400.0)
+    return out.groupBy("user_id", "cycle").agg(F.count_if(F.col("t") < F.col("start_s")).alias("n_pre"), F.count_if(F.col("t") > F.col("end_s")).alias("n_post"))
+
+
+@query("w16_synchronized_rise", """WITH f AS (SELECT user_id, event_type, min(epoch_us(ts) / 1e6) FILTER (WHERE value > 400) AS t FROM events GROUP BY user_id, event_type)
+SELECT user_id, count(t) AS n_phases, count(t) >= 2 AND max(t) - min(t) <= 259200 AS synchronized FROM f GROUP BY user_id""")
+def w16(spark, sf_dir):
+    first = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min(F.when(F.col("value") > 400, R.EVENTS.seconds())).alias("t"))
+    return first.groupBy("user_id").agg(F.count("t").alias("n_phases"), F.coalesce((F.count("t") >= 2) & (F.max("t") - F.min("t") <= 259200), F.lit(False)).alias("synchronized"))

@@ -235,7 +235,7 @@ def summary(spark, sf_dir):
     return events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_w"), F.min("value").alias("min_w"), F.max("value").alias("max_w"), F.round(F.sum("value"), 4).alias("sum_w"))
 
 
-@query("a02_power_series", """SELECT hour_s, round(sum(w), 6) AS total_w, count(*) AS n_phases, sum(n) AS n FROM (SELECT CAST(floor(epoch_us(ts) / 3.6e9) * 3600 AS BIGINT) AS hour_s, event_type, avg(value) AS w, count(*) AS n FROM events GROUP BY 1, 2)
+@query("a02_power_series", """SELECT hour_s, round(sum(w), 6) AS total_w, count(*) AS n_phases, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CAST(floor(epoch_us(ts) / 3.6e9) * 3600 AS BIGINT) AS hour_s, event_type, avg(value) AS w, count(*) AS n FROM events GROUP BY 1, 2)
 GROUP BY hour_s ORDER BY hour_s DESC LIMIT 500""")
 def a02(spark, sf_dir):
     hour = (F.floor(R.EVENTS.seconds() / 3600) * 3600).cast("long").alias("hour_s")
