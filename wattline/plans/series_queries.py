@@ -137,10 +137,10 @@ def w25(spark, sf_dir):
     return R.recent_stats(events(spark, sf_dir), 24 * HOUR).select("event_id", *r6("avg_w"), "max_w", "min_w", "n_recent")
 
 
-@query("w28_steadiness", f"""SELECT event_id, round(var_pop(value) OVER w, 4) AS variance, count(*) OVER w = 5 AND var_pop(value) OVER w < 9000 AS stable, coalesce(value > lag(value, 2) OVER ({W}), false) AS rising
+@query("w28_steadiness", f"""SELECT event_id, round(var_pop(value) OVER w, 6) AS variance, count(*) OVER w = 5 AND var_pop(value) OVER w < 9000 AS stable, coalesce(value > lag(value, 2) OVER ({W}), false) AS rising
 FROM events WINDOW w AS ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def w28(spark, sf_dir):
-    return R.steadiness(events(spark, sf_dir), most=9000.0).select("event_id", F.round("variance", 4).alias("variance"), "stable", "rising")
+    return R.steadiness(events(spark, sf_dir), most=9000.0).select("event_id", F.round("variance", 6).alias("variance"), "stable", "rising")
 
 
 @query("w30_window_slope")
