@@ -529,3 +529,45 @@ SELECT user_id, count(t) AS n_phases, count(t) >= 2 AND max(t) - min(t) <= 25920
 def w16(spark, sf_dir):
     first = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min(F.when(F.col("value") > 400, R.EVENTS.seconds())).alias("t"))
     return first.groupBy("user_id").agg(F.count("t").alias("n_phases"), F.coalesce((F.count("t") >= 2) & (F.max("t") - F.min("t") <= 259200), F.lit(False)).alias("synchronized"))
+
+
+@query("w22_edge_cycles")
+def w22(spark, sf_dir):
+    from wattline.operators.learning import edge_cycles
+
+    return edge_cycles(events(spark, sf_dir), 150.0, 60.0, 86400.0, R.EVENTS)
+
+
+@query("r33_mode_segments")
+def r33(spark, sf_dir):
+    from wattline.operators.learning import segment_modes
+
+    return segment_modes(C.island_cycles(events(spark, sf_dir), LEVEL), ("user_id", "cycle"), R.EVENTS).select("user_id", "cycle", "segment", "kind", "n", *r6("avg_w"))
+
+
+@query("a17_operating_modes")
+def a17(spark, sf_dir):
+    """Modes of each phase from its cycles in order."""
+    from wattline.operators.learning import operating_modes
+
+    c = cycles(spark, sf_dir).where("cycle <= 4")
+    ordered = c.groupBy("phase").agg(F.array_sort(F.collect_list(F.struct("start_s", "user_id", "cycle", "avg_w", "duration_s", "peak_w"))).alias("x"))
+    return ordered.select("phase", F.posexplode(operating_modes(F.col("x"))).alias("mode_no", "m")).select("phase", "mode_no", "m.seen", F.round("m.avg_w", 6).alias("avg_w"))
+
+
+@query("c15_learned_patterns")
+def c15(spark, sf_dir):
+    """Patterns of the first cycles after a batch of the later ones."""
+    from wattline.operators.learning import learn
+
+    c = cycles(spark, sf_dir)
+    first = P.patterns_of(c.where("cycle <= 6"))
+    return learn(first, c.where("cycle > 6")).select("phase", "label", "seen", "peak_w", *r6("avg_w", "duration_s"))
+
+
+@query("c17_promoted_patterns")
+def c17(spark, sf_dir):
+    from wattline.operators.learning import promoted
+
+    done, waiting = promoted(P.patterns_of(cycles(spark, sf_dir)), 10)
+    return done.select("phase", "label", "seen", F.lit("promoted").alias("status")).unionByName(waiting.select("phase", "label", "seen", F.lit("weak_pattern").alias("status")))
