@@ -6,10 +6,12 @@ of the corpus are ordered last (the HEAVY most frequent ones, a fixed number), s
 
 1. Classes that share a prefix token form a group; each is searched from the group's first class (a star).
 2. Components of the links so far are found; groups that lie in one component are done.
-3. In the other groups every class searches for classes of other components, in blocks of bounded size; a group larger than
-   a block is split by set size and every pair of its blocks that can link is searched. Components are found again.
+3. In the other groups every class outside the group's largest component searches for classes of other components. A group
+   larger than a block is split by set size, those that ask are split as well, and every pair of a chunk and a part that can
+   link by size is a block. Components are found again.
 
-A search takes the query's inverted lists in a block, sets the longest aside, merges the others and keeps what occurs often
+Before texts travel, bitmaps of the sets rule out members that can link with nobody in their block (an upper bound of the
+overlap, so no link is lost). A search takes the query's inverted lists in a block, sets the longest aside, merges the others and keeps what occurs often
 enough to reach the needed overlap T with the lists set aside, which are then probed by binary search. Links inside a known
 component are skipped: they change no component. Nothing is capped: all pairs of a group across components are searched.
 
@@ -25,7 +27,7 @@ import heapq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattline.llm.common import NO_ID, id_column, materialise, mix64, read_table, schema, text_column, utf8_parts
@@ -37,6 +39,8 @@ WORDS, SIMILAR = 4, 85
 HEAVY = 200_000
 #: Members and tokens of a block.
 BLOCK_MEMBERS, BLOCK_TOKENS = 512, 1_000_000
+#: Bits of a set's bitmap, which bounds the overlap of two sets from above.
+BITMAP = 2048
 RANDOM = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 FACTOR = 0x9E3779B97F4A7C55
 SPACES = np.zeros(256, dtype=bool)
@@ -116,22 +120,29 @@ def _first_of_each(names: list) -> np.ndarray:
     return out
 
 
-SURVEYED = schema("doc long, th long, size long, cls binary, token long, n long")
+SURVEYED = schema("doc long, th long, size long, cls binary, bits binary, token long, n long")
+
+
+def bitmaps(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A bitmap of BITMAP bits for each set: the bits of its tokens' hashes."""
+    out = np.zeros((len(begins) - 1, BITMAP), dtype=bool)
+    out[np.repeat(np.arange(len(begins) - 1), np.diff(begins)), (tokens >> np.uint64(20)) % np.uint64(BITMAP)] = True
+    return np.packbits(out, axis=1)
 
 
 def survey(documents: DataFrame, width: int) -> DataFrame:
-    """A row (doc, th, size, cls) for each document, and rows (token, n) for tokens that several classes of a slice share."""
+    """A row (doc, th, size, cls, bits) for each document, and rows (token, n) for tokens that several classes of a slice share."""
 
     def surveyed(batches):
         for doc, th, tokens, begins, names in slices(batches, width):
             n = len(names)
             empty = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(np.diff(begins)), pa.array(names, pa.binary()), empty, empty], SURVEYED.names)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(np.diff(begins)), pa.array(names, pa.binary()), pa.array([row.tobytes() for row in bitmaps(tokens, begins)], pa.binary()), empty, empty], SURVEYED.names)
             own = np.repeat(_first_of_each(names), np.diff(begins))
             value, count = np.unique(tokens[own], return_counts=True)
             value, count = value[count > 1], count[count > 1]
             empty = pa.nulls(len(value), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(value), pa.binary()), pa.array(value.view(np.int64)), pa.array(count)], SURVEYED.names)
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(value), pa.binary()), pa.nulls(len(value), pa.binary()), pa.array(value.view(np.int64)), pa.array(count)], SURVEYED.names)
 
     return documents.mapInArrow(surveyed, SURVEYED)
 
@@ -287,6 +298,59 @@ class Block:
         return np.unique(np.concatenate(runs), return_counts=True)
 
 
+HOPEFUL = "key binary, cls binary, comp binary, asks boolean"
+
+
+def hopeful(rows: DataFrame, similar: int) -> DataFrame:
+    """rows: key, cls, comp, asks, size, bits. Those that may link with a member of another component of their block.
+
+    A token in one set only sets a bit that the other may lack, so two bitmaps that differ in d bits have an overlap of at most
+    (|A| + |B| - d) / 2; members for which no partner reaches the needed overlap need no text. Nothing else is left out."""
+
+    def filtered(batches):
+        held: list[tuple] = []
+
+        def kept():
+            out = []
+            if len({r[2] for r in held}) > 1:
+                names: dict = {}
+                comp = np.array([names.setdefault(r[2], len(names)) for r in held])
+                size = np.array([r[4] for r in held], dtype=np.int64)
+                bits = np.frombuffer(b"".join(r[5] for r in held), dtype=np.uint64).reshape(len(held), -1)
+                stays = np.zeros(len(held), dtype=bool)
+                for k in np.flatnonzero([r[3] for r in held]):
+                    differ = np.bitwise_count(bits ^ bits[k]).sum(axis=1, dtype=np.int64)
+                    most = np.minimum((size + size[k] - differ) // 2, np.minimum(size, size[k]))
+                    near = (comp != comp[k]) & (100 * most >= similar * (size + size[k] - most))
+                    stays |= near
+                    stays[k] |= near.any()
+                out = [held[k][:4] for k in np.flatnonzero(stays)]
+            held.clear()
+            return out
+
+        def batch_of_rows(out):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.bool_() if k == 3 else pa.binary()) for k in range(4)], ["key", "cls", "comp", "asks"])
+
+        found: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if held and held[-1][0] != row[0]:
+                    found += kept()
+                if held and held[-1][1] == row[1]:
+                    held[-1] = (*held[-1][:3], held[-1][3] or row[3], *held[-1][4:])
+                    continue
+                held.append(row)
+            if len(found) > 10_000:
+                yield batch_of_rows(found)
+                found = []
+        found += kept()
+        if found:
+            yield batch_of_rows(found)
+
+    named = rows.select(F.unhex(F.md5(F.to_json("key"))).alias("key"), "cls", "comp", "asks", "size", "bits")
+    return named.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(filtered, HOPEFUL)
+
+
 LINKS = schema("a binary, b binary")
 
 
@@ -343,9 +407,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def class_texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, text) of the wanted classes, each of one document; wanted: (cls, doc, th). A text is less than half its set."""
-    return documents.join(wanted, ["doc", "th"]).select("cls", "text")
+def searched_with_texts(rows: DataFrame, bits: DataFrame, classes: DataFrame, documents: DataFrame, width: int, similar: int) -> DataFrame:
+    """The links of blocks: bitmaps first, then the texts of those that may link (each of one document of its class)."""
+    left = materialise(hopeful(rows.join(bits, "cls"), similar), "hopeful")
+    wanted = left.select("cls").distinct().join(classes, "cls").select("cls", "first.*")
+    texts = documents.join(wanted, ["doc", "th"]).select("cls", "text")
+    return search_blocks(left.join(texts, "cls"), "key", width, similar)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -363,29 +430,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = materialise(groups_of(prefix_postings(documents, sent, width, similar), similar).dropDuplicates(["gid", "part"]), "groups")
     members = groups.select("gid", "part", F.posexplode("members").alias("place", "m")).select("gid", "part", "place", "m.*")
     classes = placed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc", "th")).alias("first"))
-    wanted = members.select("cls").distinct().join(classes, "cls").select("cls", "first.*")
-    texts = materialise(class_texts(documents, wanted), "texts")
-
+    bits = materialise(surveyed.where("cls is not null").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "bits")
     stars = materialise(members.where("cls != center").select("center", "cls").distinct(), "stars")
     # A center with many members has a block for every BLOCK_MEMBERS of them.
     many = stars.groupBy("center").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("salts"))
     key = F.struct("center", "salt")
     asked = stars.join(many, "center").select(F.struct("center", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt")).alias("key"), "cls", F.lit(False).alias("asks"))
     asks = many.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(key.alias("key"), F.col("center").alias("cls"), F.lit(True).alias("asks"))
-    rows = asked.unionByName(asks).join(texts, "cls").withColumn("comp", F.col("cls"))
-    links = materialise(search_blocks(rows, "key", width, similar), "links")
+    rows = asked.unionByName(asks).withColumn("comp", F.col("cls"))
+    links = materialise(searched_with_texts(rows, bits, classes, documents, width, similar), "links")
     labels = components(links)
 
     # Groups whose members are in several components. A group's first class has been compared with all that it can link with.
     named = members.where("part > 0 or place > 0").join(labels, "cls", "left").select("gid", "part", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
-    open_groups = named.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("gid")
-    left = materialise(named.join(open_groups, "gid"), "open")
-    parts = left.groupBy("gid", "part").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    other = parts.select("gid", F.col("part").alias("part2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = parts.join(other, "gid").where(f"part <= part2 and 100 * high >= {similar} * low2 and 100 * high2 >= {similar} * low").select("gid", "part", "part2")
-    sides = pairs.select("gid", F.col("part").alias("p"), F.col("part2").alias("q"), F.explode(F.array_distinct(F.array("part", "part2"))).alias("part"))
-    rows = left.join(sides, ["gid", "part"]).select(F.struct("gid", "p", "q").alias("key"), "cls", "comp", F.lit(True).alias("asks")).join(texts, "cls")
-    more = materialise(search_blocks(rows, "key", width, similar), "links")
+    by_comp = named.groupBy("gid", "comp").agg(F.count("*").alias("n")).groupBy("gid").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps"))
+    major = by_comp.where("comps > 1").select("gid", F.col("m.comp").alias("major"))
+    left = materialise(named.join(major, "gid").withColumn("asks", F.col("comp") != F.col("major")), "open")
+    # Members outside their group's largest component ask, in chunks, all parts of the group that they can link with.
+    place = F.row_number().over(Window.partitionBy("gid").orderBy("size", "cls"))
+    askers = materialise(left.where("asks").withColumn("chunk", F.floor((place - 1) / BLOCK_MEMBERS).cast("int")).select("gid", "chunk", "cls", "size", "comp"), "askers")
+    spans = askers.groupBy("gid", "chunk").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    parts = left.groupBy("gid", "part").agg(F.min("size").alias("low2"), F.max("size").alias("high2"))
+    pairs = materialise(spans.join(parts, "gid").where(f"100 * high >= {similar} * low2 and 100 * high2 >= {similar} * low").select("gid", "chunk", "part"), "pairs")
+    asked = left.join(pairs, ["gid", "part"]).select(F.struct("gid", "chunk", "part").alias("key"), "cls", "comp", F.lit(False).alias("asks"))
+    asking = askers.join(pairs, ["gid", "chunk"]).select(F.struct("gid", "chunk", "part").alias("key"), "cls", "comp", F.lit(True).alias("asks"))
+    rows = asked.unionByName(asking)
+    more = materialise(searched_with_texts(rows, bits, classes, documents, width, similar), "links")
     labels = components(links.unionByName(more))
 
     named = classes.join(labels, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
