@@ -72,9 +72,9 @@ def signature_score(sig: tuple, c: dict[str, Column]) -> Column:
 
 
 def best_signature(c: dict[str, Column]) -> Column:
-    """struct(device, score): the first of the best scores above 0.3; the 23 signatures are literals of one expression, so
-    no join is needed."""
-    scores = [F.struct(signature_score(s, c).alias("score"), F.lit(-k).alias("order"), F.lit(s[0]).alias("device")) for k, s in enumerate(SIGNATURES)]
+    """struct(device, score): the first of the best scores above 0.3, equal to nine digits; the 23 signatures are literals of
+    one expression, so no join is needed."""
+    scores = [F.struct(F.round(signature_score(s, c), 9).alias("score"), F.lit(-k).alias("order"), F.lit(s[0]).alias("device")) for k, s in enumerate(SIGNATURES)]
     best = F.array_max(F.array(*scores))
     return F.when(best["score"] > 0.3, F.struct(best["device"].alias("device"), F.least(best["score"], F.lit(0.99)).alias("score"))).otherwise(F.struct(F.lit("unknown").alias("device"), F.lit(0.0).alias("score")))
 
