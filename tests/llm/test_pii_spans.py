@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from wattline.llm import pii_spans
 from wattline.llm.pii_spans import KINDS, Aligned, detect, find_spans, luhn, op1_pii_spans, redact, redact_documents
 
 PATTERNS = {
@@ -85,3 +87,27 @@ def test_query_and_redaction(spark, sf_dir):
     out = redact_documents(df)
     assert out.columns == df.columns and [(r.text, r.n_chars) for r in out.collect()] == [(None, None), ("", 0), ("mail <EMAIL> now", 16), ("plain", 5), ("plain", 5)]
     assert redact_documents(df.limit(0)).collect() == []
+
+
+def test_disguises_without_other_hints():
+    for text in ("john at example.com", "john arobase example.fr", "john_at_example.com", "john at example Dot com", "john@example Dot com now", "john AT example dot COM"):
+        assert find_spans(text)[1]["email"], text
+    assert find_spans("host one dot two dot three dot four")[1]["ip"] == [(5, 35)]
+    assert find_spans("call +0 six 12 three 45 seven 89!")[1]["phone"] == [(5, 32)]
+    assert find_spans('call "plus four nine one two three four five six seven"')[1]["phone"] == [(6, 54)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["john", "at", "AT", "@", "arobase", "dot", "Dot", "punkt", "example.com", "example", "com", "one", "Two", "three", "12", "plus", "+", "(", "[", ")", "]", ".", "-", "_", " ", " ", " ", ", ", "; ", "!", "ſix", "İ"]), max_size=14).map("".join))
+def test_filters_lose_no_rewrite(text):
+    a = Aligned(text)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pii_spans, "may_be_spelled", lambda _: True)
+        m.setattr(pii_spans, "may_have_signs", lambda _: True)
+        want = pii_spans.spelled(a).text, pii_spans.signs(a).text
+    assert (pii_spans.spelled(a).text, pii_spans.signs(a).text) == want
+
+
+def test_long_gaps_are_linear():
+    for text in ("a at b.c" + " " * 200_000 + "x", "a@b" + " " * 200_000 + "dot", "one " + "1 " * 100_000, "(at) " + "\n" * 200_000):
+        find_spans(text)

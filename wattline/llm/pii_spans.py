@@ -15,6 +15,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -163,12 +164,16 @@ _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 MIN_SPELLED = 3
 _RUN = re.compile(rf"(?:\bplus[\s-]+|\+\s*)?(?<!\w)(?:{_WORD}|[0-9]+)(?:[\s,-]+(?:{_WORD}|[0-9]+|{'|'.join(DOTS)})(?!\w))+", re.IGNORECASE)
 _TOKEN = re.compile(r"\w+|\+")
-_OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
+_WORDS = re.compile(r"\w+")
+_OPEN, _CLOSE = r"(?<!\s)\s*[\[({<]\s*", r"\s*[\])}>]\s*"
+_PLAIN = rf"(?:at|arobase|arroba|@)[\s_-]+(?=[A-Za-z0-9-]+(?:(?:[\s_-]+(?:{'|'.join(DOTS)})[\s_-]+|\.)[A-Za-z0-9-]+))"
 _SIGNS = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@|arobase|arroba){_CLOSE})|(?P<dot>{_OPEN}(?:\.|{'|'.join(DOTS)}){_CLOSE})|(?P<plain>(?<=[A-Za-z0-9])[\s_-]+(?:at|arobase|arroba|@)[\s_-]+(?=[A-Za-z0-9-]+(?:(?:[\s_-]+(?:{'|'.join(DOTS)})[\s_-]+|\.)[A-Za-z0-9-]+)))|(?P<spot>(?<=[A-Za-z0-9])[\s_-]+(?:{'|'.join(DOTS)})[\s_-]+(?=[A-Za-z0-9]))",
+    rf"(?P<at>{_OPEN}(?:at|@|arobase|arroba){_CLOSE})|(?P<dot>{_OPEN}(?:\.|{'|'.join(DOTS)}){_CLOSE})|(?P<plain>(?<=[A-Za-z0-9])[\s_-]+{_PLAIN})|(?P<spot>(?<=[A-Za-z0-9])[\s_-]+(?:{'|'.join(DOTS)})[\s_-]+(?=[A-Za-z0-9]))",
     re.IGNORECASE,
 )
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|\.|dot|p[ou]|arr?ob)", re.IGNORECASE)
+_SPACED_AT = re.compile(rf"[\s_-]{_PLAIN}", re.IGNORECASE)
+_SPACED_DOT = re.compile(rf"[\s_-](?:{'|'.join(DOTS)})[\s_-]", re.IGNORECASE)
 
 
 def fold(a: Aligned) -> Aligned:
@@ -178,12 +183,25 @@ def fold(a: Aligned) -> Aligned:
     return a.rewrite(edits) if edits else a
 
 
+def may_be_spelled(text: str) -> bool:
+    """Whether MIN_SPELLED spelled digits have only numerals and dot words between them, as every run of _RUN that counts."""
+    words = _WORDS.findall(text.casefold())
+    at = [k for k, word in enumerate(words) if word in DIGITS]
+    near = 1
+    for k, after in pairwise(at):
+        near = near + 1 if all(word.isdecimal() or word in DOTS for word in words[k + 1 : after]) else 1
+        if near >= MIN_SPELLED:
+            return True
+    return False
+
+
+def may_have_signs(text: str) -> bool:
+    """Whether _SIGNS finds more than dot words far from any at sign."""
+    return bool(_BRACKETED.search(text) or _SPACED_AT.search(text) or ("@" in text and _SPACED_DOT.search(text)))
+
+
 def spelled(a: Aligned) -> Aligned:
-    low = a.text.lower()
-    for c in ",-().+:":
-        low = low.replace(c, " ")
-    at = [k for k, word in enumerate(low.split()) if word in DIGITS]
-    if not any(at[k + MIN_SPELLED - 1] - at[k] < MIN_SPELLED for k in range(len(at) - MIN_SPELLED + 1)):
+    if not may_be_spelled(a.text):
         return a
     edits = []
     for m in _RUN.finditer(a.text):
@@ -196,7 +214,7 @@ def spelled(a: Aligned) -> Aligned:
 
 def signs(a: Aligned) -> Aligned:
     low = a.text
-    if not (any(d in low or d.upper() in low for d in DOTS) or _BRACKETED.search(low) or " @ " in low):
+    if not may_have_signs(low):
         return a
     found = list(_SIGNS.finditer(low))
     edits = []
