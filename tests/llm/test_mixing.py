@@ -64,3 +64,21 @@ def test_edges(spark):
     assert out.columns == [*df.columns, "mixed"] and {r.topic for r in out.collect()} <= {"clash"}
     assert mix(df.limit(0)).collect() == []
     assert cell_sums(df.limit(0).withColumn("n_tokens", tokens_of())).collect() == []
+
+
+def test_topics_by_words_and_digits(spark):
+    rows = [("\t\n \n",), ("12 345 6789",), ("a | b",), ("one two three four | five six",), ("one 2 three",)]
+    df = spark.createDataFrame(rows, "text string")
+    assert [r.t for r in df.select(topic_of().alias("t")).collect()] == ["empty", "record", "list", "prose", "prose"]
+    assert [r.t for r in df.select(topic_of("text", tokens_of()).alias("t")).collect()] == ["empty", "record", "list", "prose", "prose"]
+
+
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_languages_without_a_target_keep_their_share(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_CELLS", most)
+    monkeypatch.setattr(mixing, "SWEEPS", 200 if most > 2 else 2)
+    cells = [("a", "en", "prose", 70.0, 1), ("a", "fr", "prose", 20.0, 1), ("a", None, "prose", 6.0, 1), ("a", "xx", "prose", 4.0, 1)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double, n_docs long")
+    p = {r.lang: r.probability for r in probabilities(df).collect()}
+    kept = {lang: n * p[lang] for _, lang, _, n, _ in cells}
+    assert kept[None] / sum(kept.values()) == pytest.approx(0.06, abs=1e-6) and kept["xx"] / sum(kept.values()) == pytest.approx(0.04, abs=1e-6)

@@ -8,7 +8,7 @@ Cells are one row for each combination that occurs, summed before the shuffle. U
 raked on the driver; beyond that the same steps run as DataFrame sums, so their number isn't limited.
 
 Edge cases: null source, language or topic are categories of their own; categories without a target share keep their own
-share of what the targets leave (or get none if they leave nothing); targets for categories that don't occur are ignored
+share of what the targets leave (or their own share of all tokens if they leave nothing); targets for categories that don't occur are ignored
 and the others scaled up; documents without a token have weight 0 and follow their cell; rows that repeat id and text are
 kept or dropped together; an empty table gives an empty result.
 """
@@ -37,12 +37,20 @@ def tokens_of(text: str | Column = "text") -> Column:
     return F.regexp_count(column, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
 
 
-def topic_of(text: str | Column = "text") -> Column:
-    """A coarse topic from a text's form, for tables without such a column: empty, list (a bar for every 25 characters at
-    least) or prose. Lengths and plain replacement only, so it costs little on each of the two passes."""
+def topic_of(text: str | Column = "text", n_tokens: Column | None = None) -> Column:
+    """A coarse topic from a text's form, for tables without such a column: empty (no word), list (a bar for every four words
+    at least), record (more digits than words) or prose. n_tokens: the text's words where they were counted before."""
     column = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    words = tokens_of(column) if n_tokens is None else n_tokens
     bars = F.length(column) - F.length(F.replace(column, F.lit(" | "), F.lit("  ")))
-    return F.when(F.trim(column) == "", "empty").when(25 * bars > F.length(column), "list").otherwise("prose")
+    digits = F.length(column) - F.length(F.regexp_replace(column, "[0-9]+", ""))
+    return F.when(words == 0, "empty").when(4 * bars > words, "list").when(digits > words, "record").otherwise("prose")
+
+
+def left_over(targets: dict, own: float) -> float:
+    """The share of all categories without a target: what the targets leave, or their own if that is nothing."""
+    free = 1 - sum(targets.values())
+    return free if free > CLOSE else own
 
 
 def margin_shares(sums: dict, targets: dict | None, temperature: float = 1.0) -> dict:
@@ -53,7 +61,7 @@ def margin_shares(sums: dict, targets: dict | None, temperature: float = 1.0) ->
         return {c: p / (sum(powers.values()) or 1) for c, p in powers.items()}
     named = {c: targets[c] for c, n in sums.items() if c in targets and n}
     rest = {c: n for c, n in sums.items() if c not in targets}
-    free = max(0.0, 1 - sum(targets.values())) if rest and sum(rest.values()) else 0.0
+    free = left_over(targets, sum(rest.values()) / total) if rest and sum(rest.values()) else 0.0
     scale = (1 - free) / (sum(named.values()) or 1)
     return {c: named[c] * scale if c in named else free * rest[c] / sum(rest.values()) if c in rest and free else 0.0 for c in sums}
 
@@ -120,7 +128,7 @@ def _probabilities_of_many(cells: DataFrame, targets: dict, temperatures: dict)
         known = spark.createDataFrame(list(given.items()), f"{margin} string, goal double")
         both = own.join(F.broadcast(known), margin, "left")
         sums = both.agg(F.sum(F.when(F.col("own") > 0, F.col("goal"))).alias("named"), F.sum(F.when(F.col("goal").isNull(), F.col("own"))).alias("rest")).first()
-        free = max(0.0, 1 - sum(given.values())) if sums.rest else 0.0
+        free = left_over(given, sums.rest) if sums.rest else 0.0
         named = F.when(F.col("own") > 0, F.col("goal") * (1 - free) / (sums.named or 1)).otherwise(0.0)
         rest = F.col("own") * free / (sums.rest or 1)
         shares[margin] = materialise(both.select(margin, F.when(F.col("goal").isNotNull(), named).otherwise(rest).alias("share")), "share")
@@ -148,13 +156,14 @@ def chance(doc_id: str, text: str, seed: int = SEED) -> Column:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: dict = TARGETS, temperatures: dict = TEMPERATURES, seed: int = SEED) -> DataFrame:
     """The sampled documents with a struct column `mixed`: (topic, n_tokens, probability)."""
-    cell = {"__source": F.col(source).cast("string"), "__lang": F.col(lang).cast("string"), "__topic": F.col(topic).cast("string") if topic else topic_of(text)}
-    own = docs.withColumns(cell)
-    sums = cell_sums(own.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), tokens_of(text).alias("n_tokens")))
+    counted = docs.withColumn("__tokens", tokens_of(text))
+    cell = {"__source": F.col(source).cast("string"), "__lang": F.col(lang).cast("string"), "__topic": F.col(topic).cast("string") if topic else topic_of(text, F.col("__tokens"))}
+    own = counted.withColumns(cell)
+    sums = cell_sums(own.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens")))
     p = probabilities(sums, targets, temperatures).select(*(F.col(m).alias(f"__p_{m}") for m in MARGINS), F.col("probability").alias("__p"))
     same = [F.col(f"__{m}").eqNullSafe(F.col(f"__p_{m}")) for m in MARGINS]
     joined = own.join(p, same).where(chance(doc_id, text, seed) < F.col("__p"))
-    return joined.select(*docs.columns, F.struct(F.col("__topic").alias("topic"), tokens_of(text).alias("n_tokens"), F.col("__p").alias("probability")).alias("mixed"))
+    return joined.select(*docs.columns, F.struct(F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__p").alias("probability")).alias("mixed"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
