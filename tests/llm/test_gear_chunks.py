@@ -66,3 +66,10 @@ def test_insertions_move_few_chunks():
 def test_query_finds_long_repeated_passages(spark, sf_dir):
     want = {k[0]: v[:3] for k, v in brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]).items()}
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in op5_gear_chunks(spark, sf_dir).collect()} == want
+
+
+def test_short_copies_go(spark):
+    docs = [(1, "A short text of one line."), (2, "A short text of one line."), (3, "Another one.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: bytes(r.chunked.kept) for r in drop_repeated_chunks(df).collect()} == {1: docs[0][1].encode(), 2: b"", 3: docs[2][1].encode()}
+    assert [r.chunked.n_removed for r in drop_repeated_chunks(df, shortest=100).collect()] == [0, 0, 0]

@@ -3,7 +3,8 @@
 A gear hash rolls over the bytes of a text (each step shifts it by one and adds the byte's random number, so 32 bytes count);
 a chunk ends where the top BITS bits are zero, after LEAST bytes at least and MOST at most. Cuts depend on content, so an
 insertion moves only the chunks around it. Chunks are told apart by 128-bit digests; every chunk but the first of its
-digest, by (doc_id, position), is a repeat, and joined repeats of at least SHORTEST bytes are removed.
+digest, by (doc_id, position), is a repeat and removed. The option `shortest` leaves joined repeats of fewer bytes in; SHORTEST
+leaves none.
 
 Edge cases: null and empty texts have no chunks and stay; rows that repeat id and text count as one occurrence and get equal
 results; a null id sorts first; other columns are untouched.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from wattline.llm.common import materialise, mix64, read_table
 from wattline.llm.repeats import first_seen, keyed, map_slices, without
 
-LEAST, MOST, BITS, SHORTEST = 32, 512, 5, 100
+LEAST, MOST, BITS, SHORTEST = 32, 512, 5, 1
 
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
