@@ -47,3 +47,18 @@ def test_query_on_cycles(spark, duck, loud_dir, name):
         assert len(got[1]) == len(want[1])
         wrong = [(g, w) for g, w in zip(got[1], want[1], strict=True) if g != w]
         assert not wrong, wrong[:3]
+
+
+def test_pairs_of_all_cycles(spark, duck, loud_dir):
+    part = ORACLES["j05_similar_pairs"]
+    whole = part.replace(" WHERE cycle <= 12", "").replace("user_id * 1000", "user_id * 4294967296")
+    assert len(whole) < len(part)
+    want = {tuple(r[:3]) for r in duck.execute(whole).fetchall()}
+    got = [(r.phase, r.id_a, r.id_b) for r in QUERIES["j05_all_similar_pairs"](spark, loud_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_modes_see_all_cycles(spark, loud_dir):
+    n = QUERIES["a07_cycle_features"](spark, loud_dir).count()
+    seen = sum(r.seen for r in QUERIES["a17_operating_modes"](spark, loud_dir).collect())
+    assert seen > 0.5 * n

@@ -218,6 +218,13 @@ def j05(spark, sf_dir):
     return J.similar_pairs(k, "phase", "id", 0.05).select("phase", "id_a", "id_b", *r6("distance"))
 
 
+@query("j05_all_similar_pairs")
+def j05_all(spark, sf_dir):
+    """The pairs of all cycles; j05_similar_pairs gives those of each user's first runs, as its SQL says."""
+    k = cycles(spark, sf_dir).withColumn("id", F.shiftleft(F.col("user_id"), 32) + F.col("cycle"))
+    return J.similar_pairs(k, "phase", "id", 0.05).select("phase", "id_a", "id_b", *r6("distance"))
+
+
 @query("j06_latest_cycle", f"WITH {CYC} SELECT phase, label, end_s, user_id, cycle, round(avg_w, 6) AS avg_w FROM (SELECT *, row_number() OVER (PARTITION BY phase, label ORDER BY end_s DESC, user_id DESC, cycle DESC) AS rn FROM cyc) WHERE rn = 1")
 def j06(spark, sf_dir):
     return J.latest_per_key(cycles(spark, sf_dir), ("phase", "label"), ("end_s", "user_id", "cycle"), ("avg_w",)).select("phase", "label", "end_s", "user_id", "cycle", *r6("avg_w"))
@@ -550,7 +557,7 @@ def a17(spark, sf_dir):
     """Modes of each phase from its cycles in order."""
     from wattline.operators.learning import operating_modes
 
-    c = cycles(spark, sf_dir).where("cycle <= 4")
+    c = cycles(spark, sf_dir)
     ordered = c.groupBy("phase").agg(F.array_sort(F.collect_list(F.struct("start_s", "user_id", "cycle", "avg_w", "duration_s", "peak_w"))).alias("x"))
     return ordered.select("phase", F.posexplode(operating_modes(F.col("x"))).alias("mode_no", "m")).select("phase", "mode_no", "m.seen", F.round("m.avg_w", 6).alias("avg_w"))
 
