@@ -62,3 +62,14 @@ def test_modes_see_all_cycles(spark, loud_dir):
     n = QUERIES["a07_cycle_features"](spark, loud_dir).count()
     seen = sum(r.seen for r in QUERIES["a17_operating_modes"](spark, loud_dir).collect())
     assert seen > 0.5 * n
+
+
+def test_forest_has_its_defaults(spark, loud_dir, monkeypatch):
+    from wattline.operators import forest
+
+    models, train = [], forest.train
+    monkeypatch.setattr(forest, "train", lambda *a, **b: models.append(train(*a, **b)) or models[-1])
+    QUERIES["c11_random_forest"](spark, loud_dir)
+    trees = models[0].stages[-1]
+    assert trees.getNumTrees == 80 and trees.getOrDefault("maxDepth") == 10
+    assert {"heating", "motor", "active_phases"} <= set(models[0].stages[1].getInputCols())

@@ -478,8 +478,10 @@ def c08(spark, sf_dir):
 def c11(spark, sf_dir):
     from wattline.operators.forest import predict, train
 
-    rows = cycles(spark, sf_dir).cache()
-    model = train(rows, trees=10, depth=5)
+    # A series is one phase.
+    given = {"active_phases": F.lit(1.0), "heating": F.col("rise_rate") > 100, "motor": F.col("peak_to_avg") >= 1.25}
+    rows = cycles(spark, sf_dir).withColumns(given).cache()
+    model = train(rows)
     out = predict(model, rows) if model is not None else rows.withColumns({"predicted": F.lit(None).cast("string"), "probability": F.lit(0.0)})
     return out.select("user_id", "cycle", "label", "predicted", "probability")
 
