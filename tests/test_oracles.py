@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB; those without SQL must run."""
+"""Every registered query against its SQL in DuckDB on the smallest tables; `test_cycles_found` asks for rows."""
 
 import math
 
@@ -39,9 +39,3 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
     assert len(got[1]) == len(want[1])
     wrong = [(g, w) for g, w in zip(got[1], want[1], strict=True) if g != w]
     assert not wrong, wrong[:3]
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_runs(spark, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
-    assert len(df.collect()) >= 0 and len(set(df.columns)) == len(df.columns)

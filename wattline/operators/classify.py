@@ -55,27 +55,36 @@ def fallback_rules(peak: Column, dur: Column) -> Column:
     )
 
 
-def signature_score(sig: tuple, c: dict[str, Column]) -> Column:
-    """How well a cycle fits a signature; 0 where its peak is far outside."""
-    _, p0, p1, d0, d1, e0, e1, three, features, base = sig
+def signature_score(sig: Column, c: dict[str, Column]) -> Column:
+    """How well a cycle fits a signature (a struct); 0 where its peak is far outside."""
     ratio = c["var"] / F.nullif(c["avg"] * c["avg"], F.lit(0.0))
-    out = F.lit(base) + F.when(c["peak"].between(p0, p1), 0.15).otherwise(-0.10)
-    out = out + F.when(c["dur"].between(d0, d1), 0.12).when((c["dur"] < 0.5 * d0) | (c["dur"] > 2.0 * d1), -0.15).otherwise(0.0)
-    out = out + F.when(c["energy"].between(e0, e1), 0.10).otherwise(0.0) + F.when(~c["three"] | F.lit(three), 0.08).otherwise(-0.20)
+    out = sig["base"] + F.when(c["peak"].between(sig["p0"], sig["p1"]), 0.15).otherwise(-0.10)
+    out = out + F.when(c["dur"].between(sig["d0"], sig["d1"]), 0.12).when((c["dur"] < 0.5 * sig["d0"]) | (c["dur"] > 2.0 * sig["d1"]), -0.15).otherwise(0.0)
+    out = out + F.when(c["energy"].between(sig["e0"], sig["e1"]), 0.10).otherwise(0.0) + F.when(~c["three"] | sig["three"], 0.08).otherwise(-0.20)
     bonus = {
         "heating": (c["heating"], 0.10), "motor": (c["motor"], 0.10), "stable": (c["var"] < 0.3, 0.08), "short_cycles": (c["dur"] < 600, 0.08), "high_power_stable": ((c["peak"] > 700) & (ratio < 0.08), 0.12),
         "always_on": (c["dur"] > 3600, 0.08), "variable_power": ((ratio > 0.3) & (ratio < 1), 0.08), "multiple_modes": (c["modes"] > 1, 0.12),
     }
-    for name in features.split():
-        out = out + F.when(bonus[name][0], bonus[name][1]).otherwise(0.0)
-    return F.when((c["peak"] < 0.7 * p0) | (c["peak"] > 1.3 * p1), 0.0).otherwise(F.least(out, F.lit(1.0)))
+    for name, (holds, size) in bonus.items():
+        out = out + F.when(F.array_contains(sig["features"], name) & holds, size).otherwise(0.0)
+    return F.when((c["peak"] < 0.7 * sig["p0"]) | (c["peak"] > 1.3 * sig["p1"]), 0.0).otherwise(F.least(out, F.lit(1.0)))
+
+
+def signatures() -> Column:
+    """The signatures as an array of structs, a literal that is folded once."""
+    names = ("p0", "p1", "d0", "d1", "e0", "e1")
+    rows = []
+    for k, s in enumerate(SIGNATURES):
+        features = F.split(F.lit(s[8]), " ")
+        rows.append(F.struct(F.lit(-k).alias("order"), F.lit(s[0]).alias("device"), *(F.lit(float(v)).alias(n) for n, v in zip(names, s[1:7], strict=True)), F.lit(s[7]).alias("three"), features.alias("features"), F.lit(s[9]).alias("base")))
+    return F.array(*rows)
 
 
 def best_signature(c: dict[str, Column]) -> Column:
-    """struct(device, score): the first of the best scores above 0.3, equal to nine digits; the 23 signatures are literals of
-    one expression, so no join is needed."""
-    scores = [F.struct(F.round(signature_score(s, c), 9).alias("score"), F.lit(-k).alias("order"), F.lit(s[0]).alias("device")) for k, s in enumerate(SIGNATURES)]
-    best = F.array_max(F.array(*scores))
+    """struct(device, score): the first of the best scores above 0.3, equal to nine digits. The 23 signatures are one array that
+    a lambda scores, so there is neither a join nor a method too long to compile."""
+    scores = F.transform(signatures(), lambda s: F.struct(F.round(signature_score(s, c), 9).alias("score"), s["order"].alias("order"), s["device"].alias("device")))
+    best = F.array_max(scores)
     return F.when(best["score"] > 0.3, F.struct(best["device"].alias("device"), F.least(best["score"], F.lit(0.99)).alias("score"))).otherwise(F.struct(F.lit("unknown").alias("device"), F.lit(0.0).alias("score")))
 
 
