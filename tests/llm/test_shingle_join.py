@@ -80,11 +80,17 @@ def test_small_blocks_split_groups(spark, monkeypatch):
     check(spark, made(8))
 
 
-def test_no_heavy_tokens(spark, monkeypatch):
-    monkeypatch.setattr(shingle_join, "HEAVY", 1)
+def test_no_frequent_tokens(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "SHARE", 1)
     check(spark, made(9))
 
 
+def test_counts_that_are_equal_in_the_order(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "MOST_COUNTED", 3)
+    monkeypatch.setattr(shingle_join, "SHARE", 2)
+    check(spark, made(10))
+
+
 def test_keep_first_and_other_columns(spark):
     docs = made(4)
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id long, text string, th string, size int")

@@ -46,7 +46,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of steps that are done
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.step_path = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete what materialise wrote; only for steps that every reader has read and written on."""
+    for step in steps:
+        context = step.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(step.step_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_column(name: str) -> Column:

@@ -1,14 +1,19 @@
 """Exact Jaccard join of word n-gram sets by T-occurrence search (DivideSkip), and its connected components.
 
 Sets are hashed shingles (64 bits); documents with equal sets form a class (128-bit digest) and travel as one. Two sets that
-link share one of their first |A| - ceil(0.85 |A|) + 1 tokens in any order of all tokens; tokens that repeat inside slices
-of the corpus are ordered last (the HEAVY most frequent ones, a fixed number), so shared passages rarely meet.
-
-1. Classes that share a prefix token form a group; each is searched from the group's first class (a star).
-2. Components of the links so far are found; groups that lie in one component are done.
-3. In the other groups every class outside the group's largest component searches for classes of other components. A group
-   larger than a block is split by set size, those that ask are split as well, and every pair of a chunk and a part that can
-   link by size is a block. Components are found again.
+link share one of their first |A| - ceil(0.85 |A|) + 1 tokens in any order of all tokens. The order is by frequency, so
+passages that many documents share come last at every size of the corpus:
+
+1. Tokens of the lowest part of the hash range (twice the share that a prefix takes) are counted, a token a stream; those of
+   one class come first in the order and need no further work, since nothing shares them. The others go back to their class
+   with their counts. Sets with too few tokens in that part go on with their lowest tokens beyond it, and last of all come
+   the frequent tokens (of 1 / SHARE of all classes and more, at most SHARE x the mean size of a set), which are never counted.
+2. Classes that share a prefix token and lie in two neighbouring bands of size form a group; groups with the same members are
+   one. Nothing is collected: a group is known by its number of members, its first member and 128 bits of their digests.
+3. Each group is searched from its first class (a star). Components of the links so far are found; groups that lie in one
+   component are done.
+4. In the other groups every class outside the group's largest component searches for classes of other components, in blocks
+   of a chunk of those that ask and a part of the group. Components are found again.
 
 Before texts travel, bitmaps of the sets rule out members that can link with nobody in their block (an upper bound of the
 overlap, so no link is lost). A search takes the query's inverted lists in a block, sets the longest aside, merges the others and keeps what occurs often
@@ -30,17 +35,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import NO_ID, id_column, materialise, mix64, read_table, schema, text_column, utf8_parts
+from wattline.llm.common import NO_ID, discard, id_column, materialise, mix64, read_table, schema, text_column, utf8_parts
 from wattline.llm.repeats import keyed
 
 #: Words of a shingle, and the similarity that links, in hundredths.
 WORDS, SIMILAR = 4, 85
-#: Frequent tokens that are ordered last.
-HEAVY = 200_000
-#: Members and tokens of a block.
-BLOCK_MEMBERS, BLOCK_TOKENS = 512, 1_000_000
-#: Bits of a set's bitmap, which bounds the overlap of two sets from above.
-BITMAP = 2048
+#: Tokens of a class in so many, as far as slices hold them twice, are frequent and not counted one by one.
+SHARE = 512
+#: Counts above this are equal in the order, so a token's stream needs no more rows in memory.
+MOST_COUNTED = 4096
+#: Tokens of a class by which stars are drawn before groups are searched.
+LOWEST = 3
+#: Members of a block.
+BLOCK_MEMBERS = 512
+#: Bits of a set's bitmap for each token; bitmaps bound the overlap of two sets from above.
+BITS = 4
 RANDOM = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 FACTOR = 0x9E3779B97F4A7C55
 SPACES = np.zeros(256, dtype=bool)
@@ -120,116 +129,164 @@ def _first_of_each(names: list) -> np.ndarray:
     return out
 
 
-SURVEYED = schema("doc long, th long, size long, cls binary, bits binary, token long, n long")
+def bitmaps(tokens: np.ndarray, begins: np.ndarray) -> list[bytes]:
+    """A bitmap for each set: the bits of its tokens' hashes, BITS times as many as tokens or up to twice that, a power of two."""
+    sizes = np.diff(begins)
+    width = 1 << np.ceil(np.log2(np.maximum(BITS * sizes, 64))).astype(np.int64)
+    at = np.append(0, np.cumsum(width))
+    bits = np.zeros(at[-1], dtype=bool)
+    bits[np.repeat(at[:-1], sizes) + ((tokens >> np.uint64(20)).astype(np.int64) & np.repeat(width - 1, sizes))] = True
+    raw = np.packbits(bits).tobytes()
+    return [raw[a // 8 : b // 8] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def folded(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of equal width, that of the narrowest: the bitmap of half the width is the union of both halves."""
+    least, rows = min(map(len, bits)), []
+    for raw in bits:
+        row = np.frombuffer(raw, dtype=np.uint64)
+        while 8 * len(row) > least:
+            row = row[: len(row) // 2] | row[len(row) // 2 :]
+        rows.append(row)
+    return np.stack(rows)
+
+
+def digests(column: pa.Array) -> np.ndarray:
+    """A column of 16-byte digests as rows of two numbers."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)
+    return np.frombuffer(column.buffers()[2], dtype=np.uint64, count=2 * len(column), offset=int(offsets[column.offset])).reshape(-1, 2)
 
 
-def bitmaps(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """A bitmap of BITMAP bits for each set: the bits of its tokens' hashes."""
-    out = np.zeros((len(begins) - 1, BITMAP), dtype=bool)
-    out[np.repeat(np.arange(len(begins) - 1), np.diff(begins)), (tokens >> np.uint64(20)) % np.uint64(BITMAP)] = True
-    return np.packbits(out, axis=1)
+def digest_column(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+SURVEYED = schema("doc long, th long, size long, cls binary, token long, n long")
 
 
 def survey(documents: DataFrame, width: int) -> DataFrame:
-    """A row (doc, th, size, cls, bits) for each document, and rows (token, n) for tokens that several classes of a slice share."""
+    """A row (doc, th, size, cls) for each document, and rows (token, n) for tokens that several classes of a slice share."""
 
     def surveyed(batches):
         for doc, th, tokens, begins, names in slices(batches, width):
-            n = len(names)
-            empty = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(np.diff(begins)), pa.array(names, pa.binary()), pa.array([row.tobytes() for row in bitmaps(tokens, begins)], pa.binary()), empty, empty], SURVEYED.names)
-            own = np.repeat(_first_of_each(names), np.diff(begins))
-            value, count = np.unique(tokens[own], return_counts=True)
-            value, count = value[count > 1], count[count > 1]
+            empty = pa.nulls(len(names), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(np.diff(begins)), pa.array(names, pa.binary()), empty, empty], SURVEYED.names)
+            first = _first_of_each(names)
+            value, count = np.unique(tokens[np.repeat(first, np.diff(begins))], return_counts=True)
+            often = (count > 1) & (count * SHARE >= first.sum())
+            value, count = value[often], count[often]
             empty = pa.nulls(len(value), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(value), pa.binary()), pa.nulls(len(value), pa.binary()), pa.array(value.view(np.int64)), pa.array(count)], SURVEYED.names)
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(value), pa.binary()), pa.array(value.view(np.int64)), pa.array(count)], SURVEYED.names)
 
     return documents.mapInArrow(surveyed, SURVEYED)
 
 
-POSTED = schema("token long, size long, cls binary")
+POSTED = schema("token long, cls binary, size int, inside int")
+COUNTED = schema("token long, cls binary, size int, inside int, df int")
+
+
+def prefix_length(size, similar: int):
+    return size - (similar * size + 99) // 100 + 1
 
 
-def prefix_postings(documents: DataFrame, heavy, width: int, similar: int) -> DataFrame:
-    """The prefix tokens of each class; heavy: a broadcast pair (tokens, sorted; their place in the order)."""
+def postings(documents: DataFrame, frequent, width: int, similar: int) -> DataFrame:
+    """The tokens of each class that are counted, with their number in the set (inside); and, with inside = -1, the tokens
+    beyond them that its prefix needs. frequent: a broadcast pair (tokens, sorted; their place in the order)."""
+    bound = np.uint64(min(2**64 - 1, 2**64 * 2 * (100 - similar) // 100))
 
     def posted(batches):
-        known, rank = heavy.value
+        known, rank = frequent.value
         for _, _, tokens, begins, names in slices(batches, width):
             sizes = np.diff(begins)
-            own = _first_of_each(names)
             row = np.repeat(np.arange(len(sizes)), sizes)
-            signed = tokens.view(np.int64)
-            at = np.minimum(np.searchsorted(known, signed), max(0, len(known) - 1))
-            late = np.where(known[at] == signed, rank[at], 0) if len(known) else np.zeros(len(signed), dtype=np.int64)
-            order = np.lexsort((tokens, late, row))
-            place = np.arange(len(row)) - begins[:-1][row]
-            length = sizes - (similar * sizes + 99) // 100 + 1
-            pick = own[row] & (place < length[row])
-            rows = row[pick]
-            yield pa.RecordBatch.from_arrays([pa.array(signed[order][pick]), pa.array(sizes[rows]), pa.array([names[k] for k in rows.tolist()], pa.binary())], POSTED.names)
+            own = _first_of_each(names)
+            late = np.zeros(len(tokens), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                late = np.where(known[at] == tokens, rank[at], 0)
+            counted = (tokens < bound) & (late == 0)
+            inside = np.bincount(row[counted], minlength=len(sizes))
+            need = np.where(own, prefix_length(sizes, similar) - inside, 0)
+            rest = np.flatnonzero(~counted & (need > 0)[row])
+            rest = rest[np.lexsort((tokens[rest], late[rest], row[rest]))]
+            place = np.arange(len(rest)) - np.searchsorted(row[rest], row[rest])
+            rest = rest[place < need[row[rest]]]
+            pick = np.flatnonzero(counted & own[row])
+            rows = np.concatenate([row[pick], row[rest]])
+            known_classes = np.frombuffer(b"".join(x or bytes(16) for x in names), dtype=np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens[np.concatenate([pick, rest])].view(np.int64)), digest_column(known_classes[rows]), pa.array(sizes[rows].astype(np.int32)), pa.array(np.where(np.arange(len(rows)) < len(pick), inside[rows], -1).astype(np.int32))],
+                POSTED.names,
+            )
 
     return documents.mapInArrow(posted, POSTED)
 
 
-GROUPED = "gid binary, part int, members array<struct<cls:binary,size:long,center:binary>>"
-
-
-def groups_of(postings: DataFrame, similar: int) -> DataFrame:
-    """Classes that share a prefix token and whose sizes follow each other without a gap that no link can bridge, in parts of
-    at most a block; equal groups of different tokens have equal gids where the group is one part. A center is the smallest
-    class that is still within reach of the member's size."""
-
-    def grouped(batches):
-        kind = pa.struct([("cls", pa.binary()), ("size", pa.int64()), ("center", pa.binary())])
-        out: list[tuple] = []
-        held, tokens, token, part, center = [], 0, None, 0, None
-        previous, latest, origin = None, 0, b""  # the last member's name and size, the group's first member
+def counted_tokens(posted: DataFrame) -> DataFrame:
+    """The postings with the number of classes of their token, without tokens of one class. Those with inside = -1 are spread
+    over all tasks and pass as they are."""
 
-        def put(last: bool) -> None:
-            nonlocal held, tokens, part
-            if held and (part or not last or len(held) > 1):
-                gid = xxhash.xxh3_128_digest(b"".join(m[0] for m in held)) if last and not part else token.to_bytes(8, "big", signed=True) + origin
-                out.append((gid, part, [dict(zip(("cls", "size", "center"), m, strict=True)) for m in held]))
-                part += 1
-            held, tokens = [], 0
+    def counted(batches):
+        held, flushed = None, None
 
-        def rows():
-            batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.list_(kind))], ["gid", "part", "members"])
-            out.clear()
-            return batch
+        def rows(c, df):
+            keep = (df > 1) | (c["inside"] < 0)
+            return pa.RecordBatch.from_arrays([pa.array(c["token"][keep]), digest_column(c["cls"][keep]), pa.array(c["size"][keep]), pa.array(c["inside"][keep]), pa.array(df[keep].astype(np.int32))], COUNTED.names)
 
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            same = keys[1:] == keys[:-1]
-            need = np.ones(len(keys), dtype=bool)  # inner rows that stand alone form no group
-            need[1:-1] = same[1:] | same[:-1]
-            at = np.flatnonzero(need)
-            picked = batch.take(pa.array(at))
-            for key, size, name in zip(keys[at].tolist(), picked.column(1).to_pylist(), picked.column(2).to_pylist(), strict=True):
-                if key != token:
-                    put(True)
-                    token, part, center, origin = key, 0, None, name
-                elif previous == name:
-                    continue
-                elif 100 * latest < similar * size:  # nothing beyond this gap can link with what lies before it
-                    put(True)
-                    part, center, origin = 0, None, name
-                elif len(held) >= BLOCK_MEMBERS or tokens > BLOCK_TOKENS:
-                    put(False)
-                if center is None or 100 * center[1] < similar * size:
-                    center = (name, size)
-                held.append((name, size, center[0]))
-                previous, latest = name, size
-                tokens += size
-            if len(out) > 2000:
-                yield rows()
-        put(True)
-        if out:
-            yield rows()
-
-    dealt = postings.repartition("token").sortWithinPartitions("token", "size", "cls")
-    return dealt.mapInArrow(grouped, GROUPED)
+            if not batch.num_rows:
+                continue
+            c = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("token", "size", "inside")} | {"cls": digests(batch.column("cls"))}
+            if held is not None:
+                c = {n: np.concatenate([held[n], c[n]]) for n in c}
+            same = (c["token"][1:] == c["token"][:-1]) & (c["cls"][1:] == c["cls"][:-1]).all(axis=1)
+            fresh = np.append(True, ~same)  # classes that several slices hold come several times
+            c = {n: x[fresh] for n, x in c.items()}
+            new = np.append(True, c["token"][1:] != c["token"][:-1])
+            begins = np.flatnonzero(new)
+            lengths = np.diff(np.append(begins, len(new)))
+            df = np.repeat(np.minimum(lengths, MOST_COUNTED), lengths)
+            if flushed is not None:
+                df[c["token"] == flushed] = MOST_COUNTED
+            end = len(new)
+            if lengths[-1] < MOST_COUNTED and c["token"][-1] != flushed:
+                end = begins[-1]  # the last token may go on in the next batch
+            else:
+                flushed, end = c["token"][-1], end - 1  # the last row stays, to know its copies by
+            held = {n: x[end:] for n, x in c.items()}
+            yield rows({n: x[:end] for n, x in c.items()}, df[:end])
+        if held is not None:
+            n = len(held["token"])
+            yield rows(held, np.full(n, MOST_COUNTED if held["token"][0] == flushed else n))
+
+    route = F.when(F.col("inside") >= 0, F.col("token")).otherwise(F.xxhash64("token", "cls"))
+    return posted.repartition(route).sortWithinPartitions("token", "cls").mapInArrow(counted, COUNTED)
+
+
+def prefixes(counted: DataFrame, similar: int) -> DataFrame:
+    """(token, cls, size, prefix, lowest): the tokens of each class's prefix that other classes may hold, and the LOWEST of
+    smallest hash that they do hold (like the minima of MinHash, copies mostly agree in them)."""
+    by_class = Window.partitionBy("cls")
+    length = F.col("size") - F.floor((similar * F.col("size") + 99) / 100) + 1
+    repeated = F.count(F.when(F.col("inside") >= 0, 1)).over(by_class)
+    inside = F.max("inside").over(by_class)
+    # Tokens that no other class holds come first; they fill a part of the prefix and are not here.
+    left = F.when(inside >= 0, length - (inside - repeated)).otherwise(length)
+    place = F.row_number().over(by_class.orderBy("df", "token"))
+    smallest = F.row_number().over(by_class.orderBy(F.col("inside") < 0, F.col("token").bitwiseXOR(F.lit(-(2**63)))))
+    placed = counted.select("token", "cls", "size", "inside", place.alias("place"), left.alias("left"), (smallest <= LOWEST).alias("lowest"))
+    return placed.select("token", "cls", "size", F.expr("inside < 0 or place <= left").alias("prefix"), "lowest").where("prefix or lowest")
+
+
+def groups_of(posted: DataFrame, similar: int) -> DataFrame:
+    """(token, low, cls): the members of groups of at least two classes that share a token and lie in the bands of size low and
+    low + 1, one group for each set of members. Sizes that can link lie in one band or in neighbouring ones."""
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(np.log(100 / similar) * 1.0001)).cast("int")
+    spread = posted.select("token", "cls", F.explode(F.array(band - 1, band)).alias("low"))
+    digest = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"d{k}") for k in (1, 2)]
+    groups = spread.groupBy("token", "low").agg(F.count("*").alias("n"), F.min("cls").alias("first"), *digest).where("n > 1")
+    groups = groups.groupBy("n", "first", "d1", "d2").agg(F.min(F.struct("token", "low")).alias("g")).select("g.*")
+    return spread.join(groups, ["token", "low"])
 
 
 class Block:
@@ -301,8 +358,9 @@ class Block:
 HOPEFUL = "key binary, cls binary, comp binary, asks boolean"
 
 
-def hopeful(rows: DataFrame, similar: int) -> DataFrame:
-    """rows: key, cls, comp, asks, size, bits. Those that may link with a member of another component of their block.
+def hopeful(rows: DataFrame, similar: int, best: bool = False) -> DataFrame:
+    """rows: key, cls, comp, asks, size, bits. Those that may link with a member of another component of their block; or, with
+    best, for each that asks a row (key = its class, cls) with the most similar member by bitmaps of each other component.
 
     A token in one set only sets a bit that the other may lack, so two bitmaps that differ in d bits have an overlap of at most
     (|A| + |B| - d) / 2; members for which no partner reaches the needed overlap need no text. Nothing else is left out."""
@@ -316,15 +374,22 @@ def hopeful(rows: DataFrame, similar: int) -> DataFrame:
                 names: dict = {}
                 comp = np.array([names.setdefault(r[2], len(names)) for r in held])
                 size = np.array([r[4] for r in held], dtype=np.int64)
-                bits = np.frombuffer(b"".join(r[5] for r in held), dtype=np.uint64).reshape(len(held), -1)
+                bits = folded([r[5] for r in held])
                 stays = np.zeros(len(held), dtype=bool)
                 for k in np.flatnonzero([r[3] for r in held]):
-                    differ = np.bitwise_count(bits ^ bits[k]).sum(axis=1, dtype=np.int64)
-                    most = np.minimum((size + size[k] - differ) // 2, np.minimum(size, size[k]))
-                    near = (comp != comp[k]) & (100 * most >= similar * (size + size[k] - most))
-                    stays |= near
+                    other = np.flatnonzero(comp != comp[k])
+                    differ = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
+                    most = np.minimum((size[other] + size[k] - differ) // 2, np.minimum(size[other], size[k]))
+                    near = 100 * most >= similar * (size[other] + size[k] - most)
+                    if best:
+                        found, likeness = other[near], (most / (size[other] + size[k] - most))[near]
+                        found = found[np.lexsort((-likeness, comp[found]))]
+                        first = np.append(True, comp[found][1:] != comp[found][:-1])[: len(found)]
+                        out += [(held[k][1], held[m][1], held[m][2], False) for m in found[first].tolist()]
+                    stays[other[near]] = True
                     stays[k] |= near.any()
-                out = [held[k][:4] for k in np.flatnonzero(stays)]
+                if not best:
+                    out = [held[k][:4] for k in np.flatnonzero(stays)]
             held.clear()
             return out
 
@@ -402,17 +467,82 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near.withColumnRenamed("a", "cls"), "cls", "left").select("cls", F.least("comp", "other").alias("comp"), F.col("comp").alias("old"))
         jump = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("further"))
         step = materialise(step.join(jump, "comp", "left").select("cls", F.least("comp", "further").alias("comp"), "old"), "labels")
-        labels = step.select("cls", "comp")
+        discard(labels)
+        labels = step
         if not step.where("comp != old").limit(1).count():
-            return labels
+            discard(both)
+            return step
+
 
+FETCHED = schema("cls binary, size long, bits binary, text string")
 
-def searched_with_texts(rows: DataFrame, bits: DataFrame, classes: DataFrame, documents: DataFrame, width: int, similar: int) -> DataFrame:
-    """The links of blocks: bitmaps first, then the texts of those that may link (each of one document of its class)."""
-    left = materialise(hopeful(rows.join(bits, "cls"), similar), "hopeful")
-    wanted = left.select("cls").distinct().join(classes, "cls").select("cls", "first.*")
-    texts = documents.join(wanted, ["doc", "th"]).select("cls", "text")
-    return search_blocks(left.join(texts, "cls"), "key", width, similar)
+
+def fetched(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cls, size, bits, text) of the classes (cls, doc, th), each from one document."""
+
+    def with_bits(batches):
+        for batch in batches:
+            for at, data, offsets in utf8_parts(batch.column(1)):
+                tokens, begins = shingle_sets(data, offsets, width)
+                n = len(begins) - 1
+                bits = pa.array(bitmaps(tokens, begins), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.diff(begins)), bits, batch.column(1).slice(at, n)], FETCHED.names)
+
+    return documents.join(wanted, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("cls", "text").mapInArrow(with_bits, FETCHED)
+
+
+def with_bits(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    return rows.join(texts.select("cls", "size", "bits"), "cls")
+
+
+def searched_with_texts(rows: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
+    return materialise(search_blocks(rows.join(texts.select("cls", "text"), "cls"), "key", width, similar), "links")
+
+
+def frequent_tokens(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent tokens, sorted, and their place in the order, from 1. What slices report of them adds up to 1 / SHARE of the
+    documents at least, so there are no more of them than SHARE times the mean size of a set."""
+    counts = surveyed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") * SHARE >= F.lit(surveyed.where("cls is not null").count())).toPandas()
+    tokens = found["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    place = np.empty(len(tokens), dtype=np.int64)
+    place[np.lexsort((tokens, found["n"].to_numpy(dtype=np.int64)))] = np.arange(1, len(tokens) + 1)
+    order = np.argsort(tokens)
+    return tokens[order], place[order]
+
+
+def drawn_stars(posted: DataFrame, similar: int) -> DataFrame:
+    """(center, cls): of the classes that share a token one, chosen by a hash, and all whose size it can link with."""
+    center = F.min(F.struct(F.xxhash64("token", "cls").alias("draw"), "cls", "size")).alias("c")
+    centers = posted.groupBy("token").agg(center).select("token", F.col("c.cls").alias("center"), F.col("c.size").alias("center_size"))
+    reached = (F.col("cls") != F.col("center")) & (100 * F.least("size", "center_size") >= similar * F.greatest("size", "center_size"))
+    return posted.join(centers, "token").where(reached).select("center", "cls")
+
+
+def star_blocks(pairs: DataFrame) -> DataFrame:
+    """Rows (key, cls, comp, asks): each center asks its classes, in blocks."""
+    stars = materialise(pairs.distinct(), "stars")
+    many = stars.groupBy("center").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("salts"))
+    asked = stars.join(many, "center").select(F.struct("center", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt")).alias("key"), "cls", F.lit(False).alias("asks"))
+    asks = many.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    asks = asks.select(F.struct("center", "salt").alias("key"), F.col("center").alias("cls"), F.lit(True).alias("asks"))
+    return asked.unionByName(asks).withColumn("comp", F.col("cls"))
+
+
+def open_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, cls, comp, asks) of the groups whose members are in several components: a chunk of those outside the largest
+    component asks a part of the group."""
+    named = members.join(labels, "cls", "left").select("token", "low", "cls", F.coalesce("comp", "cls").alias("comp"))
+    by_comp = named.groupBy("token", "low", "comp").agg(F.count("*").alias("n"))
+    sizes = by_comp.groupBy("token", "low").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps"))
+    blocks = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("int")
+    left = sizes.where("comps > 1").select("token", "low", F.col("m.comp").alias("major"), blocks(F.col("n")).alias("parts"), blocks(F.col("n") - F.col("m.n")).alias("chunks"))
+    left = materialise(named.join(left, ["token", "low"]), "open")
+    mine = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = left.select("token", "low", "cls", "comp", every("chunks").alias("chunk"), mine("parts").alias("part"), F.lit(False).alias("asks"))
+    asking = left.where("comp != major").select("token", "low", "cls", "comp", mine("chunks").alias("chunk"), every("parts").alias("part"), F.lit(True).alias("asks"))
+    return asked.unionByName(asking).select(F.struct("token", "low", "chunk", "part").alias("key"), "cls", "comp", "asks")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -421,41 +551,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark, documents = docs.sparkSession, keyed(docs, doc_id, text)
     surveyed = materialise(survey(documents, width), "survey")
     placed = surveyed.where("doc is not null").select("doc", "th", "size", "cls")
-    heavy = surveyed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).toPandas()
-    heavy = heavy.sort_values(["n", "token"]).reset_index(drop=True)
-    by_token = heavy["token"].to_numpy(dtype=np.int64)
-    order = np.argsort(by_token)
-    sent = spark.sparkContext.broadcast((by_token[order], order + 1))
-
-    groups = materialise(groups_of(prefix_postings(documents, sent, width, similar), similar).dropDuplicates(["gid", "part"]), "groups")
-    members = groups.select("gid", "part", F.posexplode("members").alias("place", "m")).select("gid", "part", "place", "m.*")
     classes = placed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc", "th")).alias("first"))
-    bits = materialise(surveyed.where("cls is not null").join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "bits")
-    stars = materialise(members.where("cls != center").select("center", "cls").distinct(), "stars")
-    # A center with many members has a block for every BLOCK_MEMBERS of them.
-    many = stars.groupBy("center").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("salts"))
-    key = F.struct("center", "salt")
-    asked = stars.join(many, "center").select(F.struct("center", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt")).alias("key"), "cls", F.lit(False).alias("asks"))
-    asks = many.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(key.alias("key"), F.col("center").alias("cls"), F.lit(True).alias("asks"))
-    rows = asked.unionByName(asks).withColumn("comp", F.col("cls"))
-    links = materialise(searched_with_texts(rows, bits, classes, documents, width, similar), "links")
+    sent = spark.sparkContext.broadcast(frequent_tokens(surveyed))
+    posted = materialise(prefixes(counted_tokens(postings(documents, sent, width, similar)), similar), "prefixes")
+    members = materialise(groups_of(posted.where("prefix"), similar), "members")
+    wanted = materialise(members.select("cls").distinct(), "wanted")
+    texts = materialise(fetched(documents, classes.join(wanted, "cls").select("cls", "first.*"), width), "texts")
+    # Stars first, then each class with the most similar one of every other component of its groups, then whatever is left.
+    stars = star_blocks(drawn_stars(posted.where("lowest").join(wanted, "cls", "left_semi"), similar))
+    near = materialise(hopeful(with_bits(stars, texts), similar), "hopeful")
+    links = searched_with_texts(near, texts, width, similar)
+    discard(near)
     labels = components(links)
-
-    # Groups whose members are in several components. A group's first class has been compared with all that it can link with.
-    named = members.where("part > 0 or place > 0").join(labels, "cls", "left").select("gid", "part", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
-    by_comp = named.groupBy("gid", "comp").agg(F.count("*").alias("n")).groupBy("gid").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps"))
-    major = by_comp.where("comps > 1").select("gid", F.col("m.comp").alias("major"))
-    left = materialise(named.join(major, "gid").withColumn("asks", F.col("comp") != F.col("major")), "open")
-    # Members outside their group's largest component ask, in chunks, all parts of the group that they can link with.
-    place = F.row_number().over(Window.partitionBy("gid").orderBy("size", "cls"))
-    askers = materialise(left.where("asks").withColumn("chunk", F.floor((place - 1) / BLOCK_MEMBERS).cast("int")).select("gid", "chunk", "cls", "size", "comp"), "askers")
-    spans = askers.groupBy("gid", "chunk").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    parts = left.groupBy("gid", "part").agg(F.min("size").alias("low2"), F.max("size").alias("high2"))
-    pairs = materialise(spans.join(parts, "gid").where(f"100 * high >= {similar} * low2 and 100 * high2 >= {similar} * low").select("gid", "chunk", "part"), "pairs")
-    asked = left.join(pairs, ["gid", "part"]).select(F.struct("gid", "chunk", "part").alias("key"), "cls", "comp", F.lit(False).alias("asks"))
-    asking = askers.join(pairs, ["gid", "chunk"]).select(F.struct("gid", "chunk", "part").alias("key"), "cls", "comp", F.lit(True).alias("asks"))
-    rows = asked.unionByName(asking)
-    more = materialise(searched_with_texts(rows, bits, classes, documents, width, similar), "links")
+    pairs = hopeful(with_bits(open_blocks(members, labels), texts), similar, best=True).select(F.col("key").alias("center"), "cls")
+    links = links.unionByName(searched_with_texts(star_blocks(pairs), texts, width, similar))
+    discard(labels)
+    labels = components(links)
+    near = materialise(hopeful(with_bits(open_blocks(members, labels), texts), similar), "hopeful")
+    more = searched_with_texts(near, texts, width, similar)
+    discard(near)
+    discard(posted, labels, members, wanted, texts)
     labels = components(links.unionByName(more))
 
     named = classes.join(labels, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
