@@ -111,3 +111,18 @@ def test_filters_lose_no_rewrite(text):
 def test_long_gaps_are_linear():
     for text in ("a at b.c" + " " * 200_000 + "x", "a@b" + " " * 200_000 + "dot", "one " + "1 " * 100_000, "(at) " + "\n" * 200_000):
         find_spans(text)
+
+
+def test_hostile_texts_take_a_second():
+    import time
+
+    n = 100_000
+    for text in ("dot" + " " * n + "x", " " * n, "\t" * n, "x at" + "-" * n, "x at " + "a-" * n, "_at_" * n, "(" * n, "( " * n, "[at" + " " * n, "one " * n, "one,1," * n, "+" + " " * n, "a@" * n, "1-" * n, "- " * n + "at y"):
+        start = time.time()
+        find_spans(text)
+        assert time.time() - start < 5, text[:20]
+
+
+def test_a_dot_between_spaces_counts_after_a_disguised_sign_only():
+    assert find_spans("name [@] host . tld now")[1]["email"] == [(0, 19)]
+    assert find_spans("bob@host.org . Then more")[1]["email"] == []

@@ -29,12 +29,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is configured (tests)."""
+    """The folder that the cluster shares; a temporary one only in local mode where none is configured (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wattline-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -59,8 +61,22 @@ def discard(*steps: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def id_column(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+def id_column(docs: DataFrame, name: str) -> Column:
+    """A document's id as a whole number; ids of other types count, and are ordered, by a 64-bit hash. Null, like -2^63, is NO_ID."""
+    whole = isinstance(docs.schema[name].dataType, T.IntegralType)
+    own = F.col(name).cast("long") if whole else F.when(F.col(name).isNotNull(), F.xxhash64(name))
+    return F.coalesce(own, F.lit(NO_ID))
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as set them apart from all columns, upper and lower case alike."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def text_column(name: str) -> Column:

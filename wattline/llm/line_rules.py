@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm.common import read_table, schema
+from wattline.llm.common import free_names, read_table, schema
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -137,9 +137,9 @@ def judge_lines(text: str | Column = "text") -> Column:
 def clean_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """The documents that pass, their failing lines taken out; `n_chars` follows the new text."""
     # Not deterministic by declaration only, so that the filter below doesn't make a second evaluation of it.
-    out = docs.withColumn("__clean", line_cleaned.asNondeterministic()(F.col(text))).where(F.col("__clean.kept"))
-    kind = docs.schema[text].dataType
-    out = out.withColumn(text, F.col("__clean.clean_text").cast(kind)).drop("__clean")
+    (clean,) = free_names(docs, "clean")
+    out = docs.withColumn(clean, line_cleaned.asNondeterministic()(F.col(text))).where(F.col(clean)["kept"])
+    out = out.withColumn(text, F.col(clean)["clean_text"].cast(docs.schema[text].dataType)).drop(clean)
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars and n_chars in docs.columns else out
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm.common import id_column, materialise, read_table, text_column
+from wattline.llm.common import free_names, id_column, materialise, read_table, text_column
 
 MARGINS = ("source", "lang", "topic")
 #: Production targets: languages by share; sources and topics by a power of their own share, which lifts the small ones
@@ -149,21 +149,25 @@ def _probabilities_of_many(cells: DataFrame, targets: dict, temperatures: dict)
     return factors.select(*MARGINS, F.coalesce(F.round(F.col("f") / largest, DIGITS), F.lit(1.0)).alias("probability"))
 
 
-def chance(doc_id: str, text: str, seed: int = SEED) -> Column:
+def chance(docs: DataFrame, doc_id: str, text: str, seed: int = SEED) -> Column:
     """A number in [0, 1) from id, text and seed."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_column(doc_id), text_column(text)), 11).cast("double") / F.lit(float(2**53))
-
-
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: dict = TARGETS, temperatures: dict = TEMPERATURES, seed: int = SEED) -> DataFrame:
-    """The sampled documents with a struct column `mixed`: (topic, n_tokens, probability)."""
-    counted = docs.withColumn("__tokens", tokens_of(text))
-    cell = {"__source": F.col(source).cast("string"), "__lang": F.col(lang).cast("string"), "__topic": F.col(topic).cast("string") if topic else topic_of(text, F.col("__tokens"))}
-    own = counted.withColumns(cell)
-    sums = cell_sums(own.select(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens")))
-    p = probabilities(sums, targets, temperatures).select(*(F.col(m).alias(f"__p_{m}") for m in MARGINS), F.col("probability").alias("__p"))
-    same = [F.col(f"__{m}").eqNullSafe(F.col(f"__p_{m}")) for m in MARGINS]
-    joined = own.join(p, same).where(chance(doc_id, text, seed) < F.col("__p"))
-    return joined.select(*docs.columns, F.struct(F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__p").alias("probability")).alias("mixed"))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_column(docs, doc_id), text_column(text)), 11).cast("double") / F.lit(float(2**53))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, targets: dict = TARGETS, temperatures: dict = TEMPERATURES, seed: int = SEED, into: str = "mixed") -> DataFrame:
+    """The sampled documents with a struct column `into`, in place of one that has its name: (topic, n_tokens, probability)."""
+    own_names = dict(zip(MARGINS, free_names(docs, *(f"own_{m}" for m in MARGINS)), strict=True))
+    cell_names = dict(zip(MARGINS, free_names(docs, *(f"cell_{m}" for m in MARGINS)), strict=True))
+    tokens, chosen = free_names(docs, "own_tokens", "cell_probability")
+    counted = docs.withColumn(tokens, tokens_of(text))
+    topics = F.col(topic).cast("string") if topic else topic_of(text, F.col(tokens))
+    own = counted.withColumns({own_names["source"]: F.col(source).cast("string"), own_names["lang"]: F.col(lang).cast("string"), own_names["topic"]: topics})
+    sums = cell_sums(own.select(*(F.col(n).alias(m) for m, n in own_names.items()), F.col(tokens).alias("n_tokens")))
+    p = probabilities(sums, targets, temperatures).select(*(F.col(m).alias(n) for m, n in cell_names.items()), F.col("probability").alias(chosen))
+    same = [F.col(own_names[m]).eqNullSafe(F.col(cell_names[m])) for m in MARGINS]
+    joined = own.join(p, same).where(chance(docs, doc_id, text, seed) < F.col(chosen))
+    mixed = F.struct(F.col(own_names["topic"]).alias("topic"), F.col(tokens).alias("n_tokens"), F.col(chosen).alias("probability")).alias(into)
+    return joined.select(*(c for c in docs.columns if c.lower() != into.lower()), mixed)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,15 +165,19 @@ MIN_SPELLED = 3
 _RUN = re.compile(rf"(?:\bplus[\s-]+|\+\s*)?(?<!\w)(?:{_WORD}|[0-9]+)(?:[\s,-]+(?:{_WORD}|[0-9]+|{'|'.join(DOTS)})(?!\w))+", re.IGNORECASE)
 _TOKEN = re.compile(r"\w+|\+")
 _WORDS = re.compile(r"\w+")
-_OPEN, _CLOSE = r"(?<!\s)\s*[\[({<]\s*", r"\s*[\])}>]\s*"
-_PLAIN = rf"(?:at|arobase|arroba|@)[\s_-]+(?=[A-Za-z0-9-]+(?:(?:[\s_-]+(?:{'|'.join(DOTS)})[\s_-]+|\.)[A-Za-z0-9-]+))"
+_OPEN, _CLOSE = r"(?<!\s)\s*+[\[({<]\s*+", r"\s*+[\])}>]\s*+"
+_DOT = "|".join(DOTS)
+#: A label of a host, at most as long as names may be; so no position is read more often than that.
+_LABEL = rf"[A-Za-z0-9]{{1,63}}+(?:-{{1,63}}+(?!(?:{_DOT})[\s_-])[A-Za-z0-9]{{1,63}}+){{0,63}}+"
+_PLAIN = rf"(?:at|arobase|arroba|@)[\s_-]++(?={_LABEL}(?:[\s_-]++(?:{_DOT})[\s_-]++|\.)[A-Za-z0-9-])"
 _SIGNS = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@|arobase|arroba){_CLOSE})|(?P<dot>{_OPEN}(?:\.|{'|'.join(DOTS)}){_CLOSE})|(?P<plain>(?<=[A-Za-z0-9])[\s_-]+{_PLAIN})|(?P<spot>(?<=[A-Za-z0-9])[\s_-]+(?:{'|'.join(DOTS)})[\s_-]+(?=[A-Za-z0-9]))",
+    rf"(?P<at>{_OPEN}(?:at|@|arobase|arroba){_CLOSE})|(?P<dot>{_OPEN}(?:\.|{_DOT}){_CLOSE})|(?P<plain>(?<=[A-Za-z0-9])[\s_-]++{_PLAIN})"
+    rf"|(?P<spot>(?<=[A-Za-z0-9])[\s_-]++(?:{_DOT})[\s_-]++(?=[A-Za-z0-9]))|(?P<gap>(?<=[A-Za-z0-9])[^\S\n]++\.[^\S\n]++(?=[A-Za-z0-9]))",
     re.IGNORECASE,
 )
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|\.|dot|p[ou]|arr?ob)", re.IGNORECASE)
+_BRACKETED = re.compile(r"[\[({<]\s*+(?:at|@|\.|dot|p[ou]|arr?ob)", re.IGNORECASE)
 _SPACED_AT = re.compile(rf"[\s_-]{_PLAIN}", re.IGNORECASE)
-_SPACED_DOT = re.compile(rf"[\s_-](?:{'|'.join(DOTS)})[\s_-]", re.IGNORECASE)
+_SPACED_DOT = re.compile(rf"[\s_-](?:{_DOT})[\s_-]", re.IGNORECASE)
 
 
 def fold(a: Aligned) -> Aligned:
@@ -219,6 +223,9 @@ def signs(a: Aligned) -> Aligned:
     found = list(_SIGNS.finditer(low))
     edits = []
     for k, m in enumerate(found):
+        # a dot between spaces counts only after a disguised at sign on its line
+        if m["gap"] and not any((f["at"] or f["plain"]) and "\n" not in low[f.end() : m.start()] for f in found[max(0, k - 6) : k] if m.start() - f.end() < 80):
+            continue
         # a dot word counts only near an at sign: on the same line, at most a few words on
         if m["spot"] and not any(f["at"] or f["plain"] for f in found[max(0, k - 6) : k] if m.start() - f.end() < 80) and "@" not in low[max(0, m.start() - 80) : m.start()]:
             if not any(f["at"] or f["plain"] for f in found[k + 1 : k + 5] if f.start() - m.end() < 40):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import id_column, mix64, schema, text_column, utf8_parts
+from wattline.llm.common import free_names, id_column, mix64, schema, text_column, utf8_parts
 
 STRETCHES = schema("route long, k2 long, doc long, th long, start long, size long, done boolean")
 FOUND = schema("open boolean, route long, doc long, th long, start long, size long")
@@ -23,7 +23,7 @@ FOUND = schema("open boolean, route long, doc long, th long, start long, size lo
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, th, text) of every document, none of them null."""
     plain = text_column(text)
-    return docs.select(id_column(doc_id).alias("doc"), F.xxhash64(plain).alias("th"), plain.alias("text"))
+    return docs.select(id_column(docs, doc_id).alias("doc"), F.xxhash64(plain).alias("th"), plain.alias("text"))
 
 
 def batch_of(columns: dict[str, np.ndarray], names: list[str]) -> pa.RecordBatch:
@@ -139,8 +139,11 @@ def cut_out(texts: pd.Series, starts: pd.Series, ends: pd.Series, least: pd.Seri
 
 
 def without(docs: DataFrame, spans: DataFrame, doc_id: str, text: str, into: str, least: int = 1) -> DataFrame:
-    """docs with a struct column `into`: (n_bytes, n_removed, n_spans, kept, span_starts, span_ends). spans: (doc, th, start, size)."""
-    by_doc = spans.groupBy("doc", "th").agg(F.collect_list("start").alias("__s"), F.collect_list(F.col("start") + F.col("size")).alias("__e")).withColumnsRenamed({"doc": "__doc", "th": "__th"})
-    own = docs.withColumns({"__doc": id_column(doc_id), "__th": F.xxhash64(text_column(text)), "__t": text_column(text)})
-    joined = own.join(by_doc, ["__doc", "__th"], "left")
-    return joined.withColumn(into, cut_out("__t", "__s", "__e", F.lit(least))).drop("__doc", "__th", "__t", "__s", "__e")
+    """docs with a struct column `into`, in place of one that has its name: (n_bytes, n_removed, n_spans, kept, span_starts,
+    span_ends). spans: (doc, th, start, size)."""
+    doc, th, plain, starts, ends = free_names(docs, "doc", "th", "plain", "starts", "ends")
+    by_doc = spans.groupBy(F.col("doc").alias(doc), F.col("th").alias(th)).agg(F.collect_list("start").alias(starts), F.collect_list(F.col("start") + F.col("size")).alias(ends))
+    own = docs.withColumns({doc: id_column(docs, doc_id), th: F.xxhash64(text_column(text)), plain: text_column(text)})
+    joined = own.join(by_doc, [doc, th], "left")
+    cut = cut_out(plain, starts, ends, F.lit(least)).alias(into)
+    return joined.select(*(c for c in docs.columns if c.lower() != into.lower()), cut)

@@ -22,7 +22,8 @@ component are skipped: they change no component. Nothing is capped: all pairs of
 
 Edge cases: null and empty texts have an empty set, link with nothing and are components of their own; texts with fewer
 words than WORDS are one shingle; rows that repeat id and text are equal members of their class; rows that share an id only
-are told apart by their text; a null id sorts first; other columns are untouched.
+are told apart by their text; a null id sorts first; ids that are no whole numbers are ordered by a hash; other columns
+are untouched.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import NO_ID, discard, id_column, materialise, mix64, read_table, schema, text_column, utf8_parts
+from wattline.llm.common import NO_ID, discard, free_names, id_column, materialise, mix64, read_table, schema, text_column, utf8_parts
 from wattline.llm.repeats import keyed
 
 #: Words of a shingle, and the similarity that links, in hundredths.
@@ -582,9 +583,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """The documents without those that are connected with an earlier one; of rows that repeat id and text one stays."""
-    firsts = near_duplicates(docs, doc_id, text, width, similar).where("doc = comp_doc and th = comp_th").select(F.col("doc").alias("__doc"), F.col("th").alias("__th"))
-    own = docs.withColumns({"__doc": id_column(doc_id), "__th": F.xxhash64(text_column(text))})
-    return own.join(firsts, ["__doc", "__th"], "left_semi").dropDuplicates(["__doc", "__th"]).drop("__doc", "__th")
+    doc, th = free_names(docs, "doc", "th")
+    firsts = near_duplicates(docs, doc_id, text, width, similar).where("doc = comp_doc and th = comp_th").select(F.col("doc").alias(doc), F.col("th").alias(th))
+    own = docs.withColumns({doc: id_column(docs, doc_id), th: F.xxhash64(text_column(text))})
+    return own.join(firsts, [doc, th], "left_semi").dropDuplicates([doc, th]).select(*docs.columns)
 
 
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
