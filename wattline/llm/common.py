@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,12 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps that are done and that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    release(spark)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of steps that are done
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.step_path = path
     return out

@@ -361,7 +361,8 @@ HOPEFUL = "key binary, cls binary, comp binary, asks boolean"
 
 def hopeful(rows: DataFrame, similar: int, best: bool = False) -> DataFrame:
     """rows: key, cls, comp, asks, size, bits. Those that may link with a member of another component of their block; or, with
-    best, for each that asks a row (key = its class, cls) with the most similar member by bitmaps of each other component.
+    best, rows (key, cls) of pairs, the most similar by bitmaps first, that would join the components of the block into as few
+    as possible.
 
     A token in one set only sets a bit that the other may lack, so two bitmaps that differ in d bits have an overlap of at most
     (|A| + |B| - d) / 2; members for which no partner reaches the needed overlap need no text. Nothing else is left out."""
@@ -384,9 +385,10 @@ def hopeful(rows: DataFrame, similar: int, best: bool = False) -> DataFrame:
                     near = 100 * most >= similar * (size[other] + size[k] - most)
                     if best:
                         found, likeness = other[near], (most / (size[other] + size[k] - most))[near]
-                        found = found[np.lexsort((-likeness, comp[found]))]
-                        first = np.append(True, comp[found][1:] != comp[found][:-1])[: len(found)]
-                        out += [(held[k][1], held[m][1], held[m][2], False) for m in found[first].tolist()]
+                        for m in found[np.argsort(-likeness, kind="stable")].tolist():
+                            if comp[m] != comp[k]:  # as if they linked, so a block gives fewer rows than it has members
+                                out.append((held[k][1], held[m][1], held[m][2], False))
+                                comp[comp == comp[m]] = comp[k]
                     stays[other[near]] = True
                     stays[k] |= near.any()
                 if not best:
@@ -489,15 +491,15 @@ def fetched(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 bits = pa.array(bitmaps(tokens, begins), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.diff(begins)), bits, batch.column(1).slice(at, n)], FETCHED.names)
 
-    return documents.join(wanted, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("cls", "text").mapInArrow(with_bits, FETCHED)
+    return documents.join(wanted.hint("merge"), ["doc", "th"]).dropDuplicates(["doc", "th"]).select("cls", "text").mapInArrow(with_bits, FETCHED)
 
 
 def with_bits(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    return rows.join(texts.select("cls", "size", "bits"), "cls")
+    return rows.join(texts.select("cls", "size", "bits").hint("merge"), "cls")
 
 
 def searched_with_texts(rows: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
-    return materialise(search_blocks(rows.join(texts.select("cls", "text"), "cls"), "key", width, similar), "links")
+    return materialise(search_blocks(rows.join(texts.select("cls", "text").hint("merge"), "cls"), "key", width, similar), "links")
 
 
 def frequent_tokens(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -558,7 +560,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = materialise(groups_of(posted.where("prefix"), similar), "members")
     wanted = materialise(members.select("cls").distinct(), "wanted")
     texts = materialise(fetched(documents, classes.join(wanted, "cls").select("cls", "first.*"), width), "texts")
-    # Stars first, then each class with the most similar one of every other component of its groups, then whatever is left.
+    # Stars first, then the pairs that would join each group's components, then whatever is left.
     stars = star_blocks(drawn_stars(posted.where("lowest").join(wanted, "cls", "left_semi"), similar))
     near = materialise(hopeful(with_bits(stars, texts), similar), "hopeful")
     links = searched_with_texts(near, texts, width, similar)
