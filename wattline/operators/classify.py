@@ -129,7 +129,7 @@ def pattern_quality(patterns: DataFrame) -> DataFrame:
     cv = std / F.greatest(F.lit(1.0), avg)
     out = patterns.withColumn("rep", rep).withColumn("cv", cv).withColumn("stability", F.round(0.55 * S.clamp(1 - F.col("cv")) + 0.45 * F.col("rep"), 4))
     plausible = device_plausibility({"power": avg, "dur": F.col("duration_s"), "cv": F.col("cv"), "rep": F.col("rep"), "plateaus": F.col("plateaus"), "peak_to_avg": F.col("peak_to_avg")})
-    ranked = F.array_max(F.array(*(F.struct(v.alias("score"), F.lit(-k).alias("order"), F.lit(n).alias("type")) for k, (n, v) in enumerate(plausible.items()))))
+    ranked = F.array_max(F.array(*(F.struct(F.round(v, 9).alias("score"), F.lit(-k).alias("order"), F.lit(n).alias("type")) for k, (n, v) in enumerate(plausible.items()))))
     out = out.withColumn("__best", ranked).withColumn("best_type", F.col("__best.type")).withColumn("plausibility", F.col("__best.score"))
     out = out.withColumn("confidence", S.clamp(0.7 * F.col("confidence") + 0.3 * F.col("plausibility")))
     score = F.when(seen >= 7, 0.28).when(seen >= 4, 0.16).otherwise(-0.12) + 0.5 * (F.col("stability") - 0.5) + 0.7 * (F.col("plausibility") - 0.5) + 0.6 * (F.col("confidence") - 0.5) - F.when((F.col("plateaus") >= 5) & (F.col("jumps") >= 7), 0.2).otherwise(0.0)

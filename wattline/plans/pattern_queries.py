@@ -147,7 +147,11 @@ def p34(spark, sf_dir):
     return patterns(spark, sf_dir).select("phase", "label", S.auto_confirm(F.col("seen"), F.col("confidence") / 100, F.col("duty")).alias("confirmed"))
 
 
-@query("p36_unknown_subclass")
+@query("p36_unknown_subclass", f"""WITH {CYC}, r AS (SELECT *, variance / avg_w AS nv, peak_to_avg AS inrush, peak_to_avg >= 1.25 AS motor FROM cyc)
+SELECT user_id, cycle, CASE WHEN n % 7 = 0 THEN 'unknown_multistage' WHEN avg_w < 70 AND duration_s >= 300 AND nv <= 3.5 AND inrush < 1.15 THEN 'always_on_low_power' WHEN avg_w < 180 AND duration_s >= 120 AND nv <= 5 AND inrush < 1.2 THEN 'psu_constant_load'
+WHEN avg_w < 240 AND duration_s >= 90 AND nv <= 7 AND inrush < 1.25 THEN 'electronics_cluster' WHEN avg_w < 120 AND duration_s >= 120 AND nv <= 6 THEN 'constant_low_power' WHEN avg_w >= 120 AND avg_w < 450 AND duration_s >= 90 AND nv <= 8 THEN 'constant_medium_power'
+WHEN inrush >= 1.7 AND avg_w <= 400 THEN 'compressor_low_power' WHEN inrush >= 1.7 THEN 'compressor_high_power' WHEN motor AND avg_w <= 220 AND inrush < 1.6 THEN 'fan_small' WHEN motor AND avg_w <= 450 AND inrush < 1.7 THEN 'pump_small' WHEN motor AND nv <= 9 THEN 'pump_constant' WHEN motor THEN 'pump_variable'
+WHEN rise_rate > 100 AND nv <= 6 THEN 'heater_resistive' WHEN duration_s <= 20 THEN 'unknown_short_pulse' WHEN duration_s >= 1800 AND avg_w <= 160 THEN 'unknown_low_power_long' WHEN nv >= 12 OR std_w > greatest(0.08 * avg_w, 15.0) THEN 'unknown_variable_load' ELSE 'unknown_cluster' END AS subclass FROM r""")
 def p36(spark, sf_dir):
     c = {"avg": F.col("avg_w"), "dur": F.col("duration_s"), "nv": F.col("variance") / F.col("avg_w"), "inrush": F.col("peak_to_avg"), "motor": F.col("peak_to_avg") >= 1.25, "heating": F.col("rise_rate") > 100, "multi": F.col("n") % 7 == 0, "flat": F.col("std_w") <= F.greatest(0.08 * F.col("avg_w"), F.lit(15.0))}
     return cycles(spark, sf_dir).select("user_id", "cycle", K.unknown_subclass(c).alias("subclass"))
@@ -189,13 +193,34 @@ def c04(spark, sf_dir):
     return cycles(spark, sf_dir).select("user_id", "cycle", best.alias("b")).select("user_id", "cycle", "b.device", F.round("b.score", 6).alias("score"))
 
 
-@query("c20_pattern_quality")
+def _quality_sql() -> str:
+    """Plausibility, stability and quality label of each pattern."""
+    inside = lambda x: f"least(greatest({x}, 0.0), 1.0)"
+    pick = lambda condition, yes, no: f"CASE WHEN {condition} THEN {yes} ELSE {no} END"
+    types = {
+        "fridge": [pick("avg_w BETWEEN 70 AND 350", 0.2, -0.18), pick("duration_s BETWEEN 300 AND 3600", 0.18, -0.15), pick("cv <= 0.25", 0.1, -0.08), pick("rep >= 0.5", 0.08, -0.05)],
+        "pump": [pick("avg_w BETWEEN 120 AND 1800", 0.2, -0.15), pick("duration_s BETWEEN 45 AND 5400", 0.16, -0.12), pick("cv <= 0.2", 0.16, -0.1)],
+        "kettle": [pick("avg_w BETWEEN 1200 AND 3200", 0.24, -0.26), pick("duration_s BETWEEN 20 AND 420", 0.22, -0.28), pick("seen % 6 <= 2", 0.08, -0.08)],
+        "microwave": [pick("avg_w BETWEEN 700 AND 2200", 0.2, -0.18), pick("duration_s BETWEEN 30 AND 1800", 0.16, -0.2), pick("seen % 6 <= 3", 0.06, -0.05)],
+        "oven": [pick("avg_w BETWEEN 900 AND 4200", 0.2, -0.15), pick("duration_s BETWEEN 600 AND 14400", 0.2, -0.16), pick("seen % 6 >= 2", 0.1, -0.06)],
+        "heater": [pick("avg_w BETWEEN 400 AND 3500", 0.18, -0.14), pick("duration_s >= 300", 0.2, -0.18), pick("peak_w / avg_w <= 1.45", 0.1, -0.08)],
+    }
+    ranked = " UNION ALL ".join(f"SELECT phase, label, {-k} AS o, '{t}' AS best_type, CAST({inside('0.5 + ' + ' + '.join(parts))} AS DOUBLE) AS plausibility FROM q" for k, (t, parts) in enumerate(types.items()))
+    rep = f"0.45 * {inside('seen / 12.0')} + 0.35 * {inside('1 - sqrt(variance) / greatest(70.0, avg_w)')} + 0.20 * {inside('per_day / 8.0')}"
+    return f"""WITH {PAT}, q AS (SELECT *, sqrt(variance) / greatest(1.0, avg_w) AS cv, {rep} AS rep FROM pat), t AS ({ranked}),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phase, label ORDER BY round(plausibility, 9) DESC, o DESC) AS rn FROM t) WHERE rn = 1),
+r AS (SELECT q.phase, q.label, seen, best_type, plausibility, round(0.55 * {inside('1 - cv')} + 0.45 * rep, 4) AS stability, {inside('0.7 * 0.42 + 0.3 * plausibility')} AS confidence FROM q JOIN b ON q.phase = b.phase AND q.label = b.label),
+c AS (SELECT *, CASE WHEN seen >= 7 THEN 0.28 WHEN seen >= 4 THEN 0.16 ELSE -0.12 END + 0.5 * (stability - 0.5) + 0.7 * (plausibility - 0.5) + 0.6 * (confidence - 0.5) - CASE WHEN seen % 6 >= 5 AND seen % 9 >= 7 THEN 0.2 ELSE 0 END AS score FROM r),
+quality AS (SELECT phase, label, best_type, CASE WHEN score >= 0.55 AND confidence >= 0.65 THEN 'sehr_gut' WHEN score >= 0.20 AND confidence >= 0.45 THEN 'brauchbar' WHEN score >= -0.10 AND confidence >= 0.25 THEN 'unsicher' ELSE 'verwerfen' END AS quality, CAST(round(stability, 6) AS DOUBLE) AS stability, CAST(round(confidence, 6) AS DOUBLE) AS confidence, CAST(round(score, 6) AS DOUBLE) AS score FROM c)"""
+
+
+@query("c20_pattern_quality", f"{_quality_sql()} SELECT * FROM quality")
 def c20(spark, sf_dir):
     p = patterns(spark, sf_dir).select("phase", "label", "seen", "avg_w", F.sqrt("variance").alias("std_w"), "duration_s", "per_day", (F.col("seen") % 6).alias("plateaus"), (F.col("seen") % 9).alias("jumps"), (F.col("peak_w") / F.col("avg_w")).alias("peak_to_avg"), F.lit(0.42).alias("confidence"))
     return K.pattern_quality(p).select("phase", "label", "best_type", "quality", *r6("stability", "confidence", "score"))
 
 
-@query("a23_quality_counts")
+@query("a23_quality_counts", f"{_quality_sql()} SELECT quality, best_type, count(*) AS n FROM quality GROUP BY quality, best_type")
 def a23(spark, sf_dir):
     return c20(spark, sf_dir).groupBy("quality", "best_type").agg(F.count("*").alias("n"))
 
@@ -235,7 +260,10 @@ def j07(spark, sf_dir):
     return out.select("user_id", "cycle", "event_id", "t", "value")
 
 
-@query("j08_event_phases")
+@query("j08_event_phases", f"""WITH {CYC}, m AS (SELECT * FROM i WHERE active), u AS (SELECT *, coalesce(value >= lag(value) OVER (PARTITION BY user_id, cycle ORDER BY ts, event_id), true) AS up FROM m),
+v AS (SELECT *, CASE WHEN up = lag(up) OVER (PARTITION BY user_id, cycle ORDER BY ts, event_id) THEN 0 ELSE 1 END AS turn FROM u),
+p AS (SELECT *, CAST(sum(turn) OVER (PARTITION BY user_id, cycle ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS phase_index FROM v)
+SELECT user_id, cycle, phase_index, up AS rising, count(*) AS n, round(avg(value), 6) AS avg_w, max(value) AS peak_w FROM p GROUP BY user_id, cycle, phase_index, up""")
 def j08(spark, sf_dir):
     """Each cycle's readings as phases of rising and falling power, one row for each."""
     samples = C.island_cycles(events(spark, sf_dir), LEVEL).withColumn("__up", F.coalesce(F.col("value") >= F.lag("value").over(Window.partitionBy("user_id", "cycle").orderBy("ts", "event_id")), F.lit(True)))
@@ -572,7 +600,7 @@ def c15(spark, sf_dir):
     return learn(first, c.where("cycle > 6")).select("phase", "label", "seen", "peak_w", *r6("avg_w", "duration_s"))
 
 
-@query("c17_promoted_patterns")
+@query("c17_promoted_patterns", f"WITH {PAT} SELECT phase, label, seen, CASE WHEN seen >= 10 THEN 'promoted' ELSE 'weak_pattern' END AS status FROM pat")
 def c17(spark, sf_dir):
     from wattline.operators.learning import promoted
 
