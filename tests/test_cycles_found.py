@@ -6,9 +6,11 @@ import duckdb
 import pytest
 
 from tests.test_oracles import TABLES, rows_of
-from wattline.plans.pattern_queries import ORACLES, QUERIES
+from wattline.plans import pattern_queries, profile_queries
 
 SOURCE = "/root/testdata/sf0.01"
+QUERIES = {**pattern_queries.QUERIES, **profile_queries.QUERIES}
+ORACLES = {**pattern_queries.ORACLES, **profile_queries.ORACLES}
 
 
 @pytest.fixture(scope="module")

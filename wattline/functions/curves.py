@@ -100,12 +100,13 @@ def blended(a: Column, b: Column) -> Column:
 
 
 def shape_distance(a: Column, b: Column) -> Column:
-    """Mean absolute difference of two curves, each over its own peak, at most 1."""
+    """Mean absolute difference of two curves, each over its own peak, at most 1; null without both curves."""
     def scaled(c: Column) -> Column:
         peak = F.greatest(F.array_max(F.transform(c, F.abs)), F.lit(1e-9))
         return F.transform(c, lambda v: v / peak)
 
-    return F.least(F.lit(1.0), mean(F.zip_with(scaled(a), scaled(b), lambda x, y: F.abs(x - y))))
+    difference = mean(F.zip_with(scaled(a), scaled(b), lambda x, y: F.abs(x - y)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(F.lit(1.0), difference))
 
 
 def profile_distance(a: Column, b: Column, floor: float = 80.0) -> Column:
