@@ -17,10 +17,11 @@ LEVELS = "array<struct<level:double,seconds:double>>"
 
 
 def profiles(readings: DataFrame, key: tuple[str, ...], t: Column, tie: str, value: str) -> DataFrame:
-    """(key, points): the readings of each key in order, t counted from the first."""
+    """(key, points, from_t, to_t): the readings of each key in order, t counted from the first, and the times of both ends."""
     sample = F.struct(t.cast("double").alias("t"), F.col(tie).alias("tie"), F.col(value).cast("double").alias("p"))
     ordered = readings.groupBy(*key).agg(F.array_sort(F.collect_list(sample)).alias("points"))
-    first = F.element_at("points", 1)["t"]
+    ordered = ordered.withColumns({"from_t": F.element_at("points", 1)["t"], "to_t": F.element_at("points", -1)["t"]})
+    first = F.col("from_t")
     return ordered.withColumn("points", F.transform("points", lambda x: F.struct((x["t"] - first).alias("t"), x["tie"].alias("tie"), x["p"].alias("p"))))
 
 

@@ -1,7 +1,4 @@
-"""Registered queries over cycles and patterns found in the events table: (Spark query, SQL) by name.
-
-A cycle is a run of at least three readings of LEVEL watts or more of one user; its phase is the user's number modulo three, its times are scaled
-down because readings lie hours apart."""
+"""Registered queries over cycles and patterns found in the events table: (Spark query, SQL) by name."""
 
 from __future__ import annotations
 
@@ -16,11 +13,10 @@ from wattline.operators import maintenance as M
 from wattline.operators import matching as J
 from wattline.operators import patterns as P
 from wattline.operators import series as R
+from wattline.plans.cycle_tables import CYC, LEVEL, PAT, STAGED, STAGED_PATTERNS, cycles, patterns, staged, staged_patterns
 from wattline.plans.series_queries import SCALE, events, r6
 from wattline.sources import exports as X
 
-#: The readings of the events table have a median of 35 W and a 90th percentile of 113 W.
-LEVEL = 40.0
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -35,34 +31,6 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = C.cycle_features(C.island_cycles(events(spark, sf_dir), LEVEL))
-    scaled = out.withColumns({"duration_s": F.col("duration_s") / SCALE, "energy_wh": F.col("energy_wh") / SCALE, "rise_rate": F.col("rise_rate") * SCALE, "fall_rate": F.col("fall_rate") * SCALE})
-    label = K.fallback_rules(F.col("peak_w"), F.col("duration_s"))
-    return scaled.withColumn("phase", F.concat(F.lit("L"), (F.col("user_id") % 3 + 1).cast("string"))).withColumn("label", F.concat_ws("_", label, (F.col("n") % 4).cast("string")))
-
-
-CYC = f"""s AS (SELECT *, epoch_us(ts) / 1e6 AS t, value >= {LEVEL} AS active FROM events),
-g AS (SELECT *, CASE WHEN active = lag(active) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS c FROM s),
-i AS (SELECT *, CAST(sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cycle FROM g),
-x AS (SELECT *, (value + lag(value) OVER w) / 2 * (t - lag(t) OVER w) AS e, min(value) OVER (PARTITION BY user_id, cycle) AS low, max(value) OVER (PARTITION BY user_id, cycle) AS high FROM i WHERE active WINDOW w AS (PARTITION BY user_id, cycle ORDER BY ts, event_id)),
-y AS (SELECT user_id, cycle, count(*) AS n, min(t) AS start_s, max(t) AS end_s, avg(value) AS avg_w, max(value) AS peak_w, var_pop(value) AS variance, stddev_pop(value) AS std_w, coalesce(sum(e), 0) / 3600 / {SCALE} AS energy_wh,
-avg(CASE WHEN value >= 0.5 * high THEN 1.0 ELSE 0.0 END) AS duty, min(CASE WHEN value >= low + 0.1 * (high - low) THEN t END) AS r10, min(CASE WHEN value >= low + 0.8 * (high - low) THEN t END) AS r80,
-max(CASE WHEN value >= low + 0.8 * (high - low) THEN t END) AS f80, max(CASE WHEN value <= low + 0.1 * (high - low) THEN t END) AS f10, max(high - low) AS band FROM x GROUP BY user_id, cycle HAVING count(*) >= 3),
-z AS (SELECT *, (end_s - start_s) / {SCALE} AS duration_s, peak_w / greatest(avg_w, 1e-9) AS peak_to_avg, CASE WHEN r80 >= r10 THEN 0.7 * band / greatest(r80 - r10, 0.1) ELSE 0.0 END * {SCALE} AS rise_rate,
-CASE WHEN f10 IS NOT NULL AND f80 IS NOT NULL THEN 0.7 * band / greatest(f10 - f80, 0.1) ELSE 0.0 END * {SCALE} AS fall_rate, 'L' || CAST(user_id % 3 + 1 AS VARCHAR) AS phase FROM y),
-cyc AS (SELECT *, CASE WHEN peak_w < 350 AND duration_s BETWEEN 120 AND 3600 THEN 'fridge' WHEN peak_w BETWEEN 400 AND 1600 AND duration_s BETWEEN 1200 AND 10800 THEN 'washing_machine' WHEN peak_w BETWEEN 700 AND 2600 AND duration_s BETWEEN 1200 AND 14400 THEN 'dishwasher'
-WHEN peak_w >= 1400 AND duration_s <= 900 THEN 'kettle' ELSE 'unknown' END || '_' || CAST(n % 4 AS VARCHAR) AS label FROM z)"""
-PAT = CYC + """, pat0 AS (SELECT phase, label, count(*) AS seen, avg(avg_w) AS avg_w, max(peak_w) AS peak_w, avg(duration_s) AS duration_s, avg(energy_wh) AS energy_wh, avg(variance) AS variance, avg(duty) AS duty, min(start_s) AS first_s, max(end_s) AS last_s FROM cyc GROUP BY phase, label),
-pat1 AS (SELECT *, seen / greatest((last_s - first_s) / 86400.0, 1.0 / 24.0) AS per_day, CAST(trunc(CASE WHEN avg_w > 10 THEN least(greatest(100 - 100 * variance / (avg_w * avg_w), 0), 100) ELSE 50.0 END) AS INTEGER) AS stability FROM pat0),
-pat AS (SELECT *, 100 * (0.7 * (stability / 100.0) + 0.3 * (1 - exp(-seen / 8.0))) AS confidence FROM pat1)"""
-
-
-def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = P.patterns_of(cycles(spark, sf_dir)).withColumn("stability", S.stability_score(F.col("variance"), F.col("avg_w")))
-    return P.scored(out, F.col("stability") / 100.0)
-
-
 def rel(a: str, b: str) -> str:
     return f"(abs({a} - {b}) / greatest(abs({a}), abs({b}), 1.0))"
 
@@ -123,11 +91,11 @@ def a18(spark, sf_dir):
     return cycles(spark, sf_dir).groupBy("label", "phase").agg(F.round(F.avg("duty"), 6).alias("confidence"), F.count("*").alias("times_seen"), F.bool_or(F.col("peak_w") > 480).alias("confirmed"), F.max("end_s").alias("updated_s"))
 
 
-@query("a19_device_cycles", f"""WITH {CYC} SELECT label, phase, phase || ':' || CAST(n AS VARCHAR) || ':' || CASE WHEN duration_s < 90 THEN 'short' WHEN duration_s > 900 THEN 'long' ELSE 'mid' END || ':' || CASE WHEN duty < 0.2 THEN 'low' WHEN duty > 0.8 THEN 'high' ELSE 'mid' END AS cycle_type,
-count(*) AS n_cycles, round(avg(duration_s), 5) AS duration_s, round(avg(energy_wh), 5) AS energy_wh, round(avg(avg_w), 5) AS avg_w FROM cyc GROUP BY ALL""")
+@query("a19_device_cycles", f"""WITH {STAGED} SELECT label, phase, phase || ':' || CAST(n_substates AS VARCHAR) || ':' || CASE WHEN duration_s < 90 THEN 'short' WHEN duration_s > 900 THEN 'long' ELSE 'mid' END || ':' || CASE WHEN duty < 0.2 THEN 'low' WHEN duty > 0.8 THEN 'high' ELSE 'mid' END AS cycle_type,
+count(*) AS n_cycles, round(avg(duration_s), 5) AS duration_s, round(avg(energy_wh), 5) AS energy_wh, round(avg(avg_w), 5) AS avg_w FROM staged GROUP BY ALL""")
 def a19(spark, sf_dir):
-    mode = S.mode_key(F.col("phase"), F.col("n"), F.col("duration_s"), F.col("duty"))
-    return cycles(spark, sf_dir).groupBy("label", "phase", mode.alias("cycle_type")).agg(F.count("*").alias("n_cycles"), *(F.round(F.avg(c), 5).alias(c) for c in ("duration_s", "energy_wh", "avg_w")))
+    mode = S.mode_key(F.col("phase"), F.col("n_substates"), F.col("duration_s"), F.col("duty"))
+    return staged(spark, sf_dir).groupBy("label", "phase", mode.alias("cycle_type")).agg(F.count("*").alias("n_cycles"), *(F.round(F.avg(c), 5).alias(c) for c in ("duration_s", "energy_wh", "avg_w")))
 
 
 @query("p22_pattern_scores", f"""WITH {PAT} SELECT phase, label, stability, round(confidence, 6) AS confidence, CASE WHEN per_day > 50 AND avg_w <= 350 THEN 'fridge' WHEN per_day > 50 THEN 'pump' WHEN per_day < 5 AND label = 'unknown' THEN 'manual_device' ELSE label END AS refined,
@@ -147,26 +115,26 @@ def p34(spark, sf_dir):
     return patterns(spark, sf_dir).select("phase", "label", S.auto_confirm(F.col("seen"), F.col("confidence") / 100, F.col("duty")).alias("confirmed"))
 
 
-@query("p36_unknown_subclass", f"""WITH {CYC}, r AS (SELECT *, variance / avg_w AS nv, peak_to_avg AS inrush, peak_to_avg >= 1.25 AS motor FROM cyc)
-SELECT user_id, cycle, CASE WHEN n % 7 = 0 THEN 'unknown_multistage' WHEN avg_w < 70 AND duration_s >= 300 AND nv <= 3.5 AND inrush < 1.15 THEN 'always_on_low_power' WHEN avg_w < 180 AND duration_s >= 120 AND nv <= 5 AND inrush < 1.2 THEN 'psu_constant_load'
+@query("p36_unknown_subclass", f"""WITH {STAGED}, r AS (SELECT *, variance / avg_w AS nv, peak_to_avg AS inrush, peak_to_avg >= 1.25 AS motor FROM staged)
+SELECT user_id, cycle, CASE WHEN n_substates >= 2 OR steps >= 2 THEN 'unknown_multistage' WHEN avg_w < 70 AND duration_s >= 300 AND nv <= 3.5 AND inrush < 1.15 THEN 'always_on_low_power' WHEN avg_w < 180 AND duration_s >= 120 AND nv <= 5 AND inrush < 1.2 THEN 'psu_constant_load'
 WHEN avg_w < 240 AND duration_s >= 90 AND nv <= 7 AND inrush < 1.25 THEN 'electronics_cluster' WHEN avg_w < 120 AND duration_s >= 120 AND nv <= 6 THEN 'constant_low_power' WHEN avg_w >= 120 AND avg_w < 450 AND duration_s >= 90 AND nv <= 8 THEN 'constant_medium_power'
 WHEN inrush >= 1.7 AND avg_w <= 400 THEN 'compressor_low_power' WHEN inrush >= 1.7 THEN 'compressor_high_power' WHEN motor AND avg_w <= 220 AND inrush < 1.6 THEN 'fan_small' WHEN motor AND avg_w <= 450 AND inrush < 1.7 THEN 'pump_small' WHEN motor AND nv <= 9 THEN 'pump_constant' WHEN motor THEN 'pump_variable'
 WHEN rise_rate > 100 AND nv <= 6 THEN 'heater_resistive' WHEN duration_s <= 20 THEN 'unknown_short_pulse' WHEN duration_s >= 1800 AND avg_w <= 160 THEN 'unknown_low_power_long' WHEN nv >= 12 OR std_w > greatest(0.08 * avg_w, 15.0) THEN 'unknown_variable_load' ELSE 'unknown_cluster' END AS subclass FROM r""")
 def p36(spark, sf_dir):
-    c = {"avg": F.col("avg_w"), "dur": F.col("duration_s"), "nv": F.col("variance") / F.col("avg_w"), "inrush": F.col("peak_to_avg"), "motor": F.col("peak_to_avg") >= 1.25, "heating": F.col("rise_rate") > 100, "multi": F.col("n") % 7 == 0, "flat": F.col("std_w") <= F.greatest(0.08 * F.col("avg_w"), F.lit(15.0))}
-    return cycles(spark, sf_dir).select("user_id", "cycle", K.unknown_subclass(c).alias("subclass"))
+    c = {"avg": F.col("avg_w"), "dur": F.col("duration_s"), "nv": F.col("variance") / F.col("avg_w"), "inrush": F.col("peak_to_avg"), "motor": F.col("peak_to_avg") >= 1.25, "heating": F.col("rise_rate") > 100, "multi": (F.col("n_substates") >= 2) | (F.col("steps") >= 2), "flat": F.col("std_w") <= F.greatest(0.08 * F.col("avg_w"), F.lit(15.0))}
+    return staged(spark, sf_dir).select("user_id", "cycle", K.unknown_subclass(c).alias("subclass"))
 
 
 def rule_columns() -> dict:
-    return {"heating": F.col("rise_rate") > 100, "motor": F.col("peak_to_avg") >= 1.25, "rise": F.col("rise_rate"), "peak": 4 * F.col("peak_w"), "dur": F.col("duration_s"), "var": F.col("variance"), "avg": 4 * F.col("avg_w"), "duty": F.col("duty"), "substates": F.col("n") % 4, "energy": F.col("energy_wh"), "three": F.col("phase") == "L3", "modes": F.col("n") % 3}
+    return {"heating": F.col("rise_rate") > 100, "motor": F.col("peak_to_avg") >= 1.25, "rise": F.col("rise_rate"), "peak": 4 * F.col("peak_w"), "dur": F.col("duration_s"), "var": F.col("variance"), "avg": 4 * F.col("avg_w"), "duty": F.col("duty"), "substates": F.col("n_substates"), "energy": F.col("energy_wh"), "three": F.col("phase") == "L3", "modes": F.col("n_substates")}
 
 
-@query("c01_first_level", f"""WITH {CYC}, r AS (SELECT *, 4 * peak_w AS p4, 4 * avg_w AS a4, rise_rate > 100 AS heating, peak_to_avg >= 1.25 AS motor, variance / greatest(16 * avg_w * avg_w, 1.0) AS ratio FROM cyc)
+@query("c01_first_level", f"""WITH {STAGED}, r AS (SELECT *, 4 * peak_w AS p4, 4 * avg_w AS a4, rise_rate > 100 AS heating, peak_to_avg >= 1.25 AS motor, variance / greatest(16 * avg_w * avg_w, 1.0) AS ratio FROM staged)
 SELECT user_id, cycle, CASE WHEN heating AND rise_rate > 100 AND p4 >= 1400 AND duration_s BETWEEN 30 AND 900 AND ratio < 0.08 THEN 'kettle' WHEN motor AND p4 < 350 AND duration_s BETWEEN 120 AND 3600 AND duty < 0.7 THEN 'fridge'
-WHEN n % 4 >= 2 AND motor AND p4 BETWEEN 400 AND 1600 AND duration_s BETWEEN 1200 AND 10800 THEN 'washing_machine' WHEN heating AND p4 BETWEEN 700 AND 2600 AND duration_s BETWEEN 1200 AND 14400 THEN 'dishwasher'
+WHEN n_substates >= 2 AND motor AND p4 BETWEEN 400 AND 1600 AND duration_s BETWEEN 1200 AND 10800 THEN 'washing_machine' WHEN heating AND p4 BETWEEN 700 AND 2600 AND duration_s BETWEEN 1200 AND 14400 THEN 'dishwasher'
 WHEN p4 >= 800 AND duration_s BETWEEN 30 AND 600 AND ratio < 0.05 AND p4 / greatest(a4, 1e-9) < 1.35 THEN 'microwave' ELSE 'unknown' END AS device FROM r""")
 def c01(spark, sf_dir):
-    return cycles(spark, sf_dir).select("user_id", "cycle", K.first_level(rule_columns()).alias("device"))
+    return staged(spark, sf_dir).select("user_id", "cycle", K.first_level(rule_columns()).alias("device"))
 
 
 @query("c02_fallback_rules", f"WITH {CYC} SELECT user_id, cycle, left(label, len(label) - 2) AS device FROM cyc")
@@ -177,10 +145,10 @@ def c02(spark, sf_dir):
 def _signature_sql() -> str:
     rows = ", ".join("(" + ", ".join([str(-k), f"'{s[0]}'", *map(str, s[1:7]), str(s[7]).lower(), f"'{s[8]}'", str(s[9])]) + ")" for k, s in enumerate(K.SIGNATURES))
     has = lambda f: f"list_contains(string_split(f, ' '), '{f}')"
-    bonus = {"heating": "rise_rate > 100", "motor": "peak_to_avg >= 1.25", "stable": "variance < 0.3", "short_cycles": "duration_s < 600", "high_power_stable": "p4 > 700 AND ratio < 0.08", "always_on": "duration_s > 3600", "variable_power": "ratio > 0.3 AND ratio < 1", "multiple_modes": "n % 3 > 1"}
+    bonus = {"heating": "rise_rate > 100", "motor": "peak_to_avg >= 1.25", "stable": "variance < 0.3", "short_cycles": "duration_s < 600", "high_power_stable": "p4 > 700 AND ratio < 0.08", "always_on": "duration_s > 3600", "variable_power": "ratio > 0.3 AND ratio < 1", "multiple_modes": "n_substates > 1"}
     size = {"heating": 0.10, "motor": 0.10, "stable": 0.08, "short_cycles": 0.08, "high_power_stable": 0.12, "always_on": 0.08, "variable_power": 0.08, "multiple_modes": 0.12}
     extra = " + ".join(f"CASE WHEN {has(f)} AND {c} THEN {size[f]} ELSE 0 END" for f, c in bonus.items())
-    return f"""WITH {CYC}, sig(o, device, p0, p1, d0, d1, e0, e1, three, f, base) AS (VALUES {rows}), r AS (SELECT *, 4 * peak_w AS p4, variance / (16 * avg_w * avg_w) AS ratio FROM cyc),
+    return f"""WITH {STAGED}, sig(o, device, p0, p1, d0, d1, e0, e1, three, f, base) AS (VALUES {rows}), r AS (SELECT *, 4 * peak_w AS p4, variance / (16 * avg_w * avg_w) AS ratio FROM staged),
 sc AS (SELECT user_id, cycle, o, device, CASE WHEN p4 < 0.7 * p0 OR p4 > 1.3 * p1 THEN 0.0 ELSE least(1.0, base + CASE WHEN p4 BETWEEN p0 AND p1 THEN 0.15 ELSE -0.10 END + CASE WHEN duration_s BETWEEN d0 AND d1 THEN 0.12 WHEN duration_s < 0.5 * d0 OR duration_s > 2.0 * d1 THEN -0.15 ELSE 0 END
 + CASE WHEN energy_wh BETWEEN e0 AND e1 THEN 0.10 ELSE 0 END + CASE WHEN phase <> 'L3' OR three THEN 0.08 ELSE -0.20 END + {extra}) END AS score FROM r, sig),
 b AS (SELECT *, row_number() OVER (PARTITION BY user_id, cycle ORDER BY round(score, 9) DESC, o DESC) AS rn FROM sc)
@@ -190,7 +158,7 @@ SELECT user_id, cycle, CASE WHEN score > 0.3 THEN device ELSE 'unknown' END AS d
 @query("c04_signatures", _signature_sql())
 def c04(spark, sf_dir):
     best = K.best_signature(rule_columns())
-    return cycles(spark, sf_dir).select("user_id", "cycle", best.alias("b")).select("user_id", "cycle", "b.device", F.round("b.score", 6).alias("score"))
+    return staged(spark, sf_dir).select("user_id", "cycle", best.alias("b")).select("user_id", "cycle", "b.device", F.round("b.score", 6).alias("score"))
 
 
 def _quality_sql() -> str:
@@ -200,23 +168,23 @@ def _quality_sql() -> str:
     types = {
         "fridge": [pick("avg_w BETWEEN 70 AND 350", 0.2, -0.18), pick("duration_s BETWEEN 300 AND 3600", 0.18, -0.15), pick("cv <= 0.25", 0.1, -0.08), pick("rep >= 0.5", 0.08, -0.05)],
         "pump": [pick("avg_w BETWEEN 120 AND 1800", 0.2, -0.15), pick("duration_s BETWEEN 45 AND 5400", 0.16, -0.12), pick("cv <= 0.2", 0.16, -0.1)],
-        "kettle": [pick("avg_w BETWEEN 1200 AND 3200", 0.24, -0.26), pick("duration_s BETWEEN 20 AND 420", 0.22, -0.28), pick("seen % 6 <= 2", 0.08, -0.08)],
-        "microwave": [pick("avg_w BETWEEN 700 AND 2200", 0.2, -0.18), pick("duration_s BETWEEN 30 AND 1800", 0.16, -0.2), pick("seen % 6 <= 3", 0.06, -0.05)],
-        "oven": [pick("avg_w BETWEEN 900 AND 4200", 0.2, -0.15), pick("duration_s BETWEEN 600 AND 14400", 0.2, -0.16), pick("seen % 6 >= 2", 0.1, -0.06)],
+        "kettle": [pick("avg_w BETWEEN 1200 AND 3200", 0.24, -0.26), pick("duration_s BETWEEN 20 AND 420", 0.22, -0.28), pick("plateaus <= 2", 0.08, -0.08)],
+        "microwave": [pick("avg_w BETWEEN 700 AND 2200", 0.2, -0.18), pick("duration_s BETWEEN 30 AND 1800", 0.16, -0.2), pick("plateaus <= 3", 0.06, -0.05)],
+        "oven": [pick("avg_w BETWEEN 900 AND 4200", 0.2, -0.15), pick("duration_s BETWEEN 600 AND 14400", 0.2, -0.16), pick("plateaus >= 2", 0.1, -0.06)],
         "heater": [pick("avg_w BETWEEN 400 AND 3500", 0.18, -0.14), pick("duration_s >= 300", 0.2, -0.18), pick("peak_w / avg_w <= 1.45", 0.1, -0.08)],
     }
     ranked = " UNION ALL ".join(f"SELECT phase, label, {-k} AS o, '{t}' AS best_type, CAST({inside('0.5 + ' + ' + '.join(parts))} AS DOUBLE) AS plausibility FROM q" for k, (t, parts) in enumerate(types.items()))
     rep = f"0.45 * {inside('seen / 12.0')} + 0.35 * {inside('1 - sqrt(variance) / greatest(70.0, avg_w)')} + 0.20 * {inside('per_day / 8.0')}"
-    return f"""WITH {PAT}, q AS (SELECT *, sqrt(variance) / greatest(1.0, avg_w) AS cv, {rep} AS rep FROM pat), t AS ({ranked}),
+    return f"""WITH {STAGED_PATTERNS}, q AS (SELECT *, sqrt(variance) / greatest(1.0, avg_w) AS cv, {rep} AS rep FROM staged_pat), t AS ({ranked}),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phase, label ORDER BY round(plausibility, 9) DESC, o DESC) AS rn FROM t) WHERE rn = 1),
-r AS (SELECT q.phase, q.label, seen, best_type, plausibility, round(0.55 * {inside('1 - cv')} + 0.45 * rep, 4) AS stability, {inside('0.7 * 0.42 + 0.3 * plausibility')} AS confidence FROM q JOIN b ON q.phase = b.phase AND q.label = b.label),
-c AS (SELECT *, CASE WHEN seen >= 7 THEN 0.28 WHEN seen >= 4 THEN 0.16 ELSE -0.12 END + 0.5 * (stability - 0.5) + 0.7 * (plausibility - 0.5) + 0.6 * (confidence - 0.5) - CASE WHEN seen % 6 >= 5 AND seen % 9 >= 7 THEN 0.2 ELSE 0 END AS score FROM r),
+r AS (SELECT q.phase, q.label, seen, plateaus, jumps, best_type, plausibility, round(0.55 * {inside('1 - cv')} + 0.45 * rep, 4) AS stability, {inside('0.7 * q.confidence / 100 + 0.3 * plausibility')} AS confidence FROM q JOIN b ON q.phase = b.phase AND q.label = b.label),
+c AS (SELECT *, CASE WHEN seen >= 7 THEN 0.28 WHEN seen >= 4 THEN 0.16 ELSE -0.12 END + 0.5 * (stability - 0.5) + 0.7 * (plausibility - 0.5) + 0.6 * (confidence - 0.5) - CASE WHEN plateaus >= 5 AND jumps >= 7 THEN 0.2 ELSE 0 END AS score FROM r),
 quality AS (SELECT phase, label, best_type, CASE WHEN score >= 0.55 AND confidence >= 0.65 THEN 'sehr_gut' WHEN score >= 0.20 AND confidence >= 0.45 THEN 'brauchbar' WHEN score >= -0.10 AND confidence >= 0.25 THEN 'unsicher' ELSE 'verwerfen' END AS quality, CAST(round(stability, 6) AS DOUBLE) AS stability, CAST(round(confidence, 6) AS DOUBLE) AS confidence, CAST(round(score, 6) AS DOUBLE) AS score FROM c)"""
 
 
 @query("c20_pattern_quality", f"{_quality_sql()} SELECT * FROM quality")
 def c20(spark, sf_dir):
-    p = patterns(spark, sf_dir).select("phase", "label", "seen", "avg_w", F.sqrt("variance").alias("std_w"), "duration_s", "per_day", (F.col("seen") % 6).alias("plateaus"), (F.col("seen") % 9).alias("jumps"), (F.col("peak_w") / F.col("avg_w")).alias("peak_to_avg"), F.lit(0.42).alias("confidence"))
+    p = staged_patterns(spark, sf_dir).select("phase", "label", "seen", "avg_w", F.sqrt("variance").alias("std_w"), "duration_s", "per_day", "plateaus", "jumps", (F.col("peak_w") / F.col("avg_w")).alias("peak_to_avg"), (F.col("confidence") / 100).alias("confidence"))
     return K.pattern_quality(p).select("phase", "label", "best_type", "quality", *r6("stability", "confidence", "score"))
 
 
@@ -449,21 +417,21 @@ def w39(spark, sf_dir):
 
 
 def summary_columns() -> dict:
-    c = {"avg": F.col("avg_w"), "peak": F.col("peak_w"), "var": F.col("variance"), "dur": F.col("duration_s"), "points": F.col("n"), "plateau_std": F.col("std_w"), "substates": F.col("n") % 4, "steps": F.col("n") % 3, "pre_s": F.col("n") % 5, "post_s": F.col("cycle") % 5, "cut_start": F.col("n") % 5 == 0, "cut_end": F.col("cycle") % 5 == 0}
+    c = {"avg": F.col("avg_w"), "peak": F.col("peak_w"), "var": F.col("variance"), "dur": F.col("duration_s"), "points": F.col("n"), "plateau_std": F.col("std_w"), "substates": F.col("n_substates"), "steps": F.col("steps"), "pre_s": F.col("pre_s"), "post_s": F.col("post_s"), "cut_start": F.col("pre_s") <= 0, "cut_end": F.col("post_s") <= 0}
     from wattline.operators.decision import waveform_summary
 
     return {**c, **waveform_summary(c), "motor": F.col("peak_to_avg") >= 1.25, "heating": F.col("rise_rate") > 100, "cut": c["cut_start"] | c["cut_end"]}
 
 
-SUM = f"""WITH {CYC}, w AS (SELECT *, CASE WHEN n % 5 > 0 THEN least((n % 5) / 3.0, 1.0) ELSE 0.25 END AS pre, CASE WHEN cycle % 5 > 0 THEN least((cycle % 5) / 3.0, 1.0) ELSE 0.25 END AS post, std_w <= greatest(0.08 * avg_w, 15.0) AS flat FROM cyc),
-v AS (SELECT *, least(greatest(0.24 * pre + 0.24 * post + 0.18 * CASE WHEN n % 5 > 0 THEN 1.0 ELSE 0.25 END + 0.18 * CASE WHEN cycle % 5 > 0 THEN 1.0 ELSE 0.25 END + 0.16 * least(n / 18.0, 1.0), 0), 1) AS completeness, CASE WHEN flat AND duration_s >= 90 THEN 1.0 WHEN duration_s >= 45 THEN 0.78 ELSE 0.55 END AS plateau FROM w),
-u AS (SELECT *, least(greatest(0.24 * pre + 0.24 * post + 0.34 * completeness + 0.18 * plateau - CASE WHEN n % 5 = 0 THEN 0.08 ELSE 0 END - CASE WHEN cycle % 5 = 0 THEN 0.06 ELSE 0 END, 0), 1) AS seg FROM v)"""
+SUM = f"""WITH {STAGED}, w AS (SELECT *, CASE WHEN pre_s > 0 THEN least(pre_s / 3.0, 1.0) ELSE 0.25 END AS pre, CASE WHEN post_s > 0 THEN least(post_s / 3.0, 1.0) ELSE 0.25 END AS post, std_w <= greatest(0.08 * avg_w, 15.0) AS flat FROM staged),
+v AS (SELECT *, least(greatest(0.24 * pre + 0.24 * post + 0.18 * CASE WHEN pre_s > 0 THEN 1.0 ELSE 0.25 END + 0.18 * CASE WHEN post_s > 0 THEN 1.0 ELSE 0.25 END + 0.16 * least(n / 18.0, 1.0), 0), 1) AS completeness, CASE WHEN flat AND duration_s >= 90 THEN 1.0 WHEN duration_s >= 45 THEN 0.78 ELSE 0.55 END AS plateau FROM w),
+u AS (SELECT *, least(greatest(0.24 * pre + 0.24 * post + 0.34 * completeness + 0.18 * plateau - CASE WHEN pre_s <= 0 THEN 0.08 ELSE 0 END - CASE WHEN post_s <= 0 THEN 0.06 ELSE 0 END, 0), 1) AS seg FROM v)"""
 
 
 @query("r36_waveform_summary", f"{SUM} SELECT user_id, cycle, round(completeness, 6) AS completeness, round(seg, 6) AS seg, flat, CASE WHEN seg >= 0.60 THEN 'stable' WHEN seg >= 0.28 THEN 'provisional' ELSE 'blocked' END AS tier FROM u")
 def r36(spark, sf_dir):
     c = summary_columns()
-    return cycles(spark, sf_dir).select("user_id", "cycle", F.round(c["completeness"], 6).alias("completeness"), F.round(c["seg"], 6).alias("seg"), c["flat"].alias("flat"), c["tier"].alias("tier"))
+    return staged(spark, sf_dir).select("user_id", "cycle", F.round(c["completeness"], 6).alias("completeness"), F.round(c["seg"], 6).alias("seg"), c["flat"].alias("flat"), c["tier"].alias("tier"))
 
 
 def temporal(spark, sf_dir) -> DataFrame:
@@ -485,7 +453,7 @@ def decided(spark, sf_dir) -> DataFrame:
     from wattline.operators.decision import candidates, decide
 
     c = {**summary_columns(), "occ": F.col("occ"), "temporal": F.col("temporal")}
-    out = cycles(spark, sf_dir).join(temporal(spark, sf_dir), ["user_id", "cycle"]).withColumn("found", candidates(c))
+    out = staged(spark, sf_dir).join(temporal(spark, sf_dir), ["user_id", "cycle"]).withColumn("found", candidates(c))
     d = decide(F.col("found"), c, F.lit(0.5))
     return out.withColumns({"decided": d["label"], "confidence": d["confidence"], "source": d["source"]})
 
@@ -516,9 +484,9 @@ def c11(spark, sf_dir):
 def c22(spark, sf_dir):
     from wattline.operators.decision import analyzer_quality
 
-    p = patterns(spark, sf_dir)
+    p = staged_patterns(spark, sf_dir)
     stable = F.col("stability") / 100.0
-    q = analyzer_quality({"rep": S.repeatability(F.col("seen"), stable, F.col("per_day")), "stability": stable, "seen": F.col("seen"), "cv": F.sqrt("variance") / F.col("avg_w"), "plateaus": F.col("seen") % 3, "jumps": F.col("seen") % 10, "mixed": F.col("seen") % 11 == 0, "risk": F.col("seen") % 7 == 0, "energy_ratio": F.col("energy_wh") / F.greatest(F.col("avg_w") * F.col("duration_s") / 3600, F.lit(1e-9)), "conf": F.col("confidence") / 100, "best": F.lit(0.7), "label_fit": F.lit(0.6)})
+    q = analyzer_quality({"rep": S.repeatability(F.col("seen"), stable, F.col("per_day")), "stability": stable, "seen": F.col("seen"), "cv": F.sqrt("variance") / F.col("avg_w"), "plateaus": F.col("plateaus"), "jumps": F.col("jumps"), "mixed": F.col("seen") % 11 == 0, "risk": F.col("seen") % 7 == 0, "energy_ratio": F.col("energy_wh") / F.greatest(F.col("avg_w") * F.col("duration_s") / 3600, F.lit(1e-9)), "conf": F.col("confidence") / 100, "best": F.lit(0.7), "label_fit": F.lit(0.6)})
     return p.select("phase", "label", q["quality"].alias("quality"), F.round(q["total"], 6).alias("total"), F.round(q["adjusted"], 6).alias("adjusted"))
 
 

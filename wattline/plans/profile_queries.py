@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.functions import curves as V
 from wattline.operators import matching as J
 from wattline.operators import profiles as A
-from wattline.operators import series as R
-from wattline.plans.pattern_queries import CYC, cycles
-from wattline.plans.series_queries import SCALE, events, r6
+from wattline.plans.cycle_tables import PROFILE, STAGED, profiled, shaped
+from wattline.plans.series_queries import r6
 
-DAY = 86400.0
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,27 +23,6 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles with their profiles, in scaled seconds."""
-    found = cycles(spark, sf_dir)
-    readings = events(spark, sf_dir).select("user_id", "event_id", "ts", "value")
-    around = J.interval_context(found.select("user_id", "cycle", "start_s", "end_s"), readings, "user_id", DAY, DAY, R.EVENTS.seconds(), DAY)
-    return found.join(A.profiles(around, ("user_id", "cycle"), F.col("t") / SCALE, "event_id", "value"), ["user_id", "cycle"])
-
-
-def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles with everything that the distances compare."""
-    out = A.with_shape(A.with_substates(A.with_baseline_delta(profiled(spark, sf_dir))))
-    v = F.transform("points", lambda x: x["p"])
-    return out.withColumns({"n_substates": F.size("substates"), "heating": V.rising_start(v), "motor": V.oscillates(v), "phases": F.lit(1.0)})
-
-
-PROFILE = f"""{CYC},
-ctx AS (SELECT c.user_id, c.cycle, c.avg_w, e.value AS p, epoch_us(e.ts) / 1e6 / {SCALE} AS t, e.event_id FROM cyc c JOIN events e
-ON c.user_id = e.user_id AND epoch_us(e.ts) / 1e6 BETWEEN c.start_s - {DAY} AND c.end_s + {DAY}),
-prof0 AS (SELECT user_id, cycle, any_value(avg_w) AS avg_w, count(*) AS n, list(p ORDER BY t, event_id) AS v, list(t ORDER BY t, event_id) AS t0 FROM ctx GROUP BY user_id, cycle),
-prof AS (SELECT user_id, cycle, avg_w, n, v, list_transform(t0, lambda x: x - t0[1]) AS t, t0[n] - t0[1] AS span FROM prof0)"""
-
 DELTA = f"""WITH {PROFILE},
 h AS (SELECT *, greatest(1, least(n // 5, 6)) AS k FROM prof),
 b AS (SELECT *, list_median(v[1:k]) AS before_w, list_median(v[n - k + 1:n]) AS after_w FROM h),
@@ -73,23 +48,7 @@ def r24(spark, sf_dir):
     return out.select("user_id", "cycle", F.size("points").cast("long").alias("n"), *r6(*figures), F.round("delta_peak_w", 3).alias("delta_peak_w"), F.col("plateaus").cast("long").alias("plateaus"))
 
 
-BLEND = "{'level': (A.level * A.seconds + B.level * B.seconds) / (A.seconds + B.seconds), 'seconds': A.seconds + B.seconds}"
-SUBSTATES = f"""WITH {PROFILE},
-a AS (SELECT *, list_max(v) - list_min(v) AS amp FROM prof),
-j AS (SELECT *, greatest(15.0, 0.06 * amp) AS near, list_filter(range(2, n + 1), lambda i: abs(v[i] - v[i - 1]) > greatest(25.0, 0.12 * amp)) AS breaks FROM a),
-p AS (SELECT *, list_transform(list_zip([1] || breaks, list_transform(breaks, lambda i: i - 1) || [n]),
-lambda z: {{'level': list_avg(v[z[1]:z[2]]), 'seconds': CASE WHEN z[2] - z[1] + 1 >= CASE WHEN z[2] = n THEN 2 ELSE greatest(2, CAST(floor(n * 0.03) AS BIGINT)) END THEN t[z[2]] - t[z[1]] ELSE 0.0 END}}) AS pl FROM j),
-plateau AS (SELECT *, list_transform(list_filter(pl, lambda x: x.seconds > 0), lambda x: [x]) AS held FROM p),
-m AS (SELECT *, CASE WHEN len(held) = 0 THEN [] ELSE list_reduce(held, lambda d, x: CASE WHEN abs(d[-1].level - x[1].level) <= near
-THEN d[1:len(d) - 1] || [{BLEND.replace("A.", "d[-1].").replace("B.", "x[1].")}] ELSE d || x END) END AS merged FROM plateau),
-lasting AS (SELECT *, list_filter(merged, lambda x: x.seconds >= greatest(2.0, 0.03 * span)) AS long FROM m),
-k AS (SELECT *, list_transform(CASE WHEN len(long) > 0 THEN long ELSE merged END, lambda x: [x]) AS kept FROM lasting),
-l AS (SELECT *, CASE WHEN len(kept) = 0 THEN [] ELSE list_reduce(kept, lambda d, x: CASE WHEN len(list_filter(d, lambda y: abs(x[1].level - y.level) <= near)) > 0
-THEN list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i = list_filter(range(1, len(d) + 1), lambda q: abs(x[1].level - d[q].level) <= near)[1] THEN {BLEND.replace("A.", "d[i].").replace("B.", "x[1].")} ELSE d[i] END)
-ELSE d || x END) END AS levels FROM k)
-SELECT user_id, cycle, CASE WHEN n < 5 THEN 0 WHEN amp < 10 THEN 1 ELSE len(levels) END AS n_substates, CASE WHEN n < 5 OR amp < 10 THEN 0 ELSE len(breaks) END AS steps,
-round(CASE WHEN n < 5 THEN NULL WHEN amp < 10 THEN list_avg(v) ELSE list_max(list_transform(levels, lambda x: x.level)) END, 5) AS highest_w,
-round(CASE WHEN n < 5 THEN NULL WHEN amp < 10 THEN span ELSE list_max(list_transform(levels, lambda x: x.seconds)) END, 5) AS longest_s FROM l"""
+SUBSTATES = f"WITH {STAGED} SELECT user_id, cycle, n_substates, steps, round(highest_w, 5) AS highest_w, round(longest_s, 5) AS longest_s FROM sub"
 
 
 @query("r27_substates", SUBSTATES)
