@@ -10,6 +10,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda m, x: m + x)
 
 
+def _once(value: Column, then) -> Column:
+    """then(value) with the value computed once, also where lambdas inside of `then` use it for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def mean(a: Column) -> Column:
     return _sum(a) / F.size(a)
 
@@ -49,17 +54,18 @@ def resample(a: Column, length: int = 32) -> Column:
 
 def resample_by_time(points: Column, length: int = 16) -> Column:
     """Interpolation of array<struct<t_norm, power_w>> by its own time; null below two points."""
-    sorted_points = F.array_sort(F.transform(points, lambda p: F.struct(p["t_norm"].alias("t"), p["power_w"].alias("p"))))
+    in_order = F.array_sort(F.transform(points, lambda p: F.struct(p["t_norm"].alias("t"), p["power_w"].alias("p"))))
 
-    def at(i: Column) -> Column:
+    def at(known: Column, i: Column) -> Column:
         t = i / F.lit(float(length - 1))
-        before = F.element_at(F.filter(sorted_points, lambda p: p["t"] <= t), -1)
-        after = F.element_at(F.filter(sorted_points, lambda p: p["t"] >= t), 1)
-        left, right = F.coalesce(before, F.element_at(sorted_points, 1)), F.coalesce(after, F.element_at(sorted_points, -1))
+        before = F.element_at(F.filter(known, lambda p: p["t"] <= t), -1)
+        after = F.element_at(F.filter(known, lambda p: p["t"] >= t), 1)
+        left, right = F.coalesce(before, F.element_at(known, 1)), F.coalesce(after, F.element_at(known, -1))
         gap = right["t"] - left["t"]
         return F.when(gap > 0, left["p"] + (right["p"] - left["p"]) * (t - left["t"]) / gap).otherwise(left["p"])
 
-    return F.when(F.size(points) >= 2, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at))
+    steps = F.sequence(F.lit(0), F.lit(length - 1))
+    return F.when(F.size(points) >= 2, _once(in_order, lambda known: F.transform(steps, lambda i: at(known, i))))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -103,7 +109,7 @@ def shape_distance(a: Column, b: Column) -> Column:
     """Mean absolute difference of two curves, each over its own peak, at most 1; null without both curves."""
     def scaled(c: Column) -> Column:
         peak = F.greatest(F.array_max(F.transform(c, F.abs)), F.lit(1e-9))
-        return F.transform(c, lambda v: v / peak)
+        return _once(peak, lambda top: F.transform(c, lambda v: v / top))
 
     difference = mean(F.zip_with(scaled(a), scaled(b), lambda x, y: F.abs(x - y)))
     return F.when(a.isNotNull() & b.isNotNull(), F.least(F.lit(1.0), difference))
@@ -140,11 +146,15 @@ def rising_start(a: Column) -> Column:
 
 def oscillates(a: Column) -> Column:
     """A motor pattern: variation in [0.25, 0.85] and three crossings of the mean at least (15 points at least)."""
-    m = mean(a)
-    variation = F.sqrt(mean(F.transform(a, lambda v: (v - m) * (v - m)))) / F.greatest(m, F.lit(1e-9))
-    above = F.transform(a, lambda v: (v > m).cast("int"))
-    crossings = F.size(F.filter(F.zip_with(F.slice(above, 2, F.greatest(F.size(a) - 1, F.lit(1))), F.slice(above, 1, F.greatest(F.size(a) - 1, F.lit(1))), lambda y, x: y != x), lambda v: v))
-    return F.coalesce((F.size(a) >= 15) & variation.between(0.25, 0.85) & (crossings >= 3), F.lit(False))
+    n = F.greatest(F.size(a) - 1, F.lit(1))
+
+    def judged(m: Column) -> Column:
+        variation = F.sqrt(mean(F.transform(a, lambda v: (v - m) * (v - m)))) / F.greatest(m, F.lit(1e-9))
+        above = F.transform(a, lambda v: (v > m).cast("int"))
+        crossings = F.size(F.filter(F.zip_with(F.slice(above, 2, n), F.slice(above, 1, n), lambda y, x: y != x), lambda v: v))
+        return variation.between(0.25, 0.85) & (crossings >= 3)
+
+    return F.coalesce(F.when(F.size(a) >= 15, _once(mean(a), judged)), F.lit(False))
 
 
 def cluster_levels(levels: Column, tolerance: float) -> Column:
