@@ -21,7 +21,7 @@ def test_scalars(spark):
     texts = ["12,5", "3.5", "x", "", None, "NaN", "inf"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(S.safe_float(F.col("t"), -1.0)).collect()] == [12.5, 3.5, -1.0, -1.0, -1.0, -1.0, -1.0]
-    labels = spark.createDataFrame([("fridge",), ("Meine Waschmaschine",), ("Oma Erna",), ("unknown_x",), (None,)], "l string")
+    labels = spark.createDataFrame([("fridge",), ("My washing machine",), ("Oma Erna",), ("unknown_x",), (None,)], "l string")
     assert [r[0] for r in labels.select(S.public_label(F.col("l"))).collect()] == ["fridge", "washing_machine", "custom_user_label", "unknown", "unknown"]
     r = one(spark, S.rel(F.lit(0.2), F.lit(0.4)).alias("small"), S.rel(F.lit(100.0), F.lit(50.0)).alias("half"), S.parse_power(F.lit("12,5 W")).alias("w"), S.parse_power(F.lit("unavailable")).alias("n"), S.circular_hours(F.lit(23.0), F.lit(1.0)).alias("h"))
     assert (r.small, r.half, r.w, r.n, r.h) == (pytest.approx(0.2), 0.5, 12.5, None, 2.0)

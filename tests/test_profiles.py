@@ -127,3 +127,12 @@ def test_distance_and_similarity(pairs):
         assert g.s == pytest.approx(min(1, s))
         assert g.c == (far is not None and 1 - far >= 0.92 and plain_rel(x["avg_w"], y["avg_w"]) <= 0.25 and plain_rel(x["duration_s"], y["duration_s"]) <= 0.4 and plain_rel(x["plateaus"], y["plateaus"]) <= 0.75)
     assert {g.c for g in got} == {True, False}
+
+
+def test_public_labels(spark):
+    from wattline.functions import scalars as S
+
+    want = {"": "unknown", "Fan small": "fan_small", "Omas Kühlschrank": "fridge", "unknown_motor": "unknown_motor", "unknown_77": "unknown", "dishwasher": "dishwasher", "Washing 2": "washing_machine", "Pumpe links": "pump", "Zimmer 3": "custom_user_label"}
+    got = spark.createDataFrame([(k,) for k in want], "label string").select("label", S.public_label(F.col("label")).alias("p")).collect()
+    assert {r.label: r.p for r in got} == want
+    assert len(set(S.PUBLIC_LABELS)) == 48

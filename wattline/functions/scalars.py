@@ -167,15 +167,25 @@ def circular_hours(a: Column, b: Column) -> Column:
     return F.least(d, 24 - d)
 
 
-# Labels that may be published, and the keywords that lead to one of them.
-PUBLIC_LABELS = ("fridge", "freezer", "washing_machine", "dishwasher", "dryer", "oven", "microwave", "kettle", "pump", "heater", "tv", "computer", "server", "lighting", "boiler", "heat_pump", "ev_charger")
-PUBLIC_KEYWORDS = (("kuehl", "fridge"), ("kühl", "fridge"), ("fridge", "fridge"), ("wasch", "washing_machine"), ("spül", "dishwasher"), ("trockner", "dryer"), ("ofen", "oven"), ("mikro", "microwave"), ("wasserkocher", "kettle"), ("pumpe", "pump"), ("pump", "pump"), ("heiz", "heater"))
+# Labels that may be published, and the keywords, in order, that lead to one of them.
+PUBLIC_LABELS = (
+    "fridge", "freezer", "kettle", "microwave", "washing_machine", "dishwasher", "oven", "toaster", "clothes_dryer", "space_heater", "immersion_heater", "hot_water_tank",
+    "ac_unit", "induction_cooktop", "electric_stove", "tv", "pump", "pump_candidate", "small_pump_motor", "large_pump_motor", "motor_candidate", "fridge_candidate",
+    "compressor_candidate", "compressor_small", "compressor_large", "heater", "motor", "electronics", "long_running", "unknown", "unknown_motor", "unknown_constant_load",
+    "unknown_variable_load", "unknown_low_power_long", "unknown_high_inrush", "unknown_multistage", "unknown_motor_like", "unknown_heater_like", "unknown_short_pulse",
+    "unknown_long_running", "unknown_low_power_cycle", "unknown_electronics", "always_on_low_power", "electronics_cluster", "psu_constant_load", "fan_small", "pump_small", "unknown_cluster",
+)
+PUBLIC_KEYWORDS = (
+    ("fridge", "fridge"), ("kühlschrank", "fridge"), ("freezer", "freezer"), ("gefrier", "freezer"), ("pump", "pump"), ("pumpe", "pump"), ("washer", "washing_machine"),
+    ("washing", "washing_machine"), ("dishwasher", "dishwasher"), ("oven", "oven"), ("microwave", "microwave"), ("kettle", "kettle"),
+)
 
 
 def public_label(label: Column) -> Column:
-    """A label without anything private: allowed ones stay, known words lead to theirs, others become custom_user_label."""
+    """A label without anything private: allowed ones stay, known words lead to theirs, other unknown ones become unknown and
+    the rest custom_user_label."""
     low = F.replace(F.lower(F.trim(F.coalesce(label, F.lit("")))), F.lit(" "), F.lit("_"))
-    out = F.when((low == "") | low.startswith("unknown"), "unknown").when(low.isin(*PUBLIC_LABELS), low)
+    out = F.when(low == "", "unknown").when(low.isin(*PUBLIC_LABELS), low)
     for word, plain in PUBLIC_KEYWORDS:
         out = out.when(low.contains(word), plain)
-    return out.otherwise("custom_user_label")
+    return out.when(low.startswith("unknown"), "unknown").otherwise("custom_user_label")

@@ -314,7 +314,7 @@ def m07(spark, sf_dir):
     return M.repaired_bounds(patterns(spark, sf_dir).select("phase", "label", F.col("last_s").alias("first_s"), F.col("first_s").alias("last_s")), "first_s", "last_s").select("phase", "label", "first_s", "last_s")
 
 
-@query("k04_pattern_pack", f"""WITH {PAT}, r AS (SELECT phase, CASE WHEN label LIKE 'unknown%' THEN 'unknown' WHEN label LIKE '%fridge%' THEN 'fridge' WHEN label LIKE '%wasch%' THEN 'washing_machine' ELSE 'custom_user_label' END AS label, CAST(round(avg_w) AS BIGINT) AS avg_w, CAST(round(peak_w) AS BIGINT) AS peak_w, CAST(round(duration_s) AS BIGINT) AS duration_s, seen FROM pat)
+@query("k04_pattern_pack", f"""WITH {PAT}, r AS (SELECT phase, CASE WHEN label LIKE 'unknown%' THEN 'unknown' WHEN label LIKE '%fridge%' THEN 'fridge' WHEN label LIKE '%wash%' THEN 'washing_machine' WHEN label LIKE '%kettle%' THEN 'kettle' ELSE 'custom_user_label' END AS label, CAST(round(avg_w) AS BIGINT) AS avg_w, CAST(round(peak_w) AS BIGINT) AS peak_w, CAST(round(duration_s) AS BIGINT) AS duration_s, seen FROM pat)
 SELECT label, avg_w, peak_w, duration_s, seen FROM r""")
 def k04(spark, sf_dir):
     return X.pattern_pack(patterns(spark, sf_dir)).select("label", "avg_w", "peak_w", "duration_s", "seen")
