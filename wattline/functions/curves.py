@@ -24,9 +24,13 @@ def norm(a: Column) -> Column:
 
 
 def median(a: Column) -> Column:
-    """The true median: the mean of the two middle values."""
-    v, n = F.array_sort(a), F.size(a)
-    return F.when(n > 0, (F.element_at(v, F.floor((n + 1) / 2).cast("int")) + F.element_at(v, F.floor(n / 2 + 1).cast("int"))) / 2)
+    """The true median of values without nulls: the mean of the two middle ones. Sorted once, without a comparing lambda."""
+
+    def middle(v: Column) -> Column:
+        n = F.size(v)
+        return F.when(n > 0, (F.element_at(v, F.floor((n + 1) / 2).cast("int")) + F.element_at(v, F.floor(n / 2 + 1).cast("int"))) / 2)
+
+    return _once(F.sort_array(a), middle)
 
 
 def upper_median(a: Column) -> Column:

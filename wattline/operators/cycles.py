@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions import curves as V
 from wattline.operators.series import EVENTS, Series
 
 
@@ -94,14 +95,10 @@ def offline_events(df: DataFrame, threshold: float = 25.0, least_s: float = 8.0,
     sample = F.struct(s.seconds().alias("t"), F.col(s.tie).alias("tie"), F.col(s.value).cast("double").alias("p"))
     arrays = df.groupBy(*s.key).agg(F.array_sort(F.collect_list(sample)).alias("x"))
     first = F.transform(F.slice("x", 1, seed), lambda v: v["p"])
-    start = F.struct(first.alias("seen"), F.lit(False).alias("on"), F.lit(0.0).alias("since"), F.lit(0.0).alias("base"), F.lit(0.0).alias("t"), F.array().cast(none).alias("rows"))
-
-    def middle(values: Column) -> Column:
-        v, n = F.array_sort(values), F.size(values)
-        return (F.element_at(v, F.floor((n + 1) / 2).cast("int")) + F.element_at(v, F.floor(n / 2 + 1).cast("int"))) / 2
+    start = F.struct(first.alias("seen"), V.median(first).alias("now"), F.lit(False).alias("on"), F.lit(0.0).alias("since"), F.lit(0.0).alias("base"), F.lit(0.0).alias("t"), F.array().cast(none).alias("rows"))
 
     def step(a: Column, x: Column) -> Column:
-        base = middle(a["seen"])
+        base = a["now"]
         fresh = ~a["on"] & (x["p"] > base + threshold)
         on = a["on"] | fresh
         since, at = F.when(fresh, x["t"]).otherwise(a["since"]), F.when(fresh, base).otherwise(a["base"])
@@ -110,8 +107,12 @@ def offline_events(df: DataFrame, threshold: float = 25.0, least_s: float = 8.0,
         rows = F.when(ends & (x["t"] - since >= least_s), F.concat(a["rows"], F.array(row))).otherwise(a["rows"])
         idle = ends | ~on
         kept = F.slice(a["seen"], F.greatest(F.size(a["seen"]) - (window - 2), F.lit(1)), window - 1)
-        seen = F.when(idle, F.concat(kept, F.array(x["p"]))).otherwise(a["seen"])
-        return F.struct(seen.alias("seen"), (on & ~ends).alias("on"), since.alias("since"), at.alias("base"), x["t"].alias("t"), rows.alias("rows"))
+        seen = F.concat(kept, F.array(x["p"]))
+        # The median is carried along and computed anew only when a sample joins the window.
+        return F.struct(
+            F.when(idle, seen).otherwise(a["seen"]).alias("seen"), F.when(idle, V.median(seen)).otherwise(base).alias("now"),
+            (on & ~ends).alias("on"), since.alias("since"), at.alias("base"), x["t"].alias("t"), rows.alias("rows"),
+        )
 
     def finish(a: Column) -> Column:
         row = F.struct(a["since"].alias("start_s"), a["t"].alias("end_s"), a["base"].alias("baseline"))

@@ -18,10 +18,9 @@ Rule = tuple[str, Callable[[Column, Column], Column], str, float]
 
 def detect(df: DataFrame, flags: tuple[str, ...], rules: list[Rule], s: Series = EVENTS) -> DataFrame:
     """(key, t, tie, state, confidence) for every sample that a rule fits."""
-    none = "array<struct<t:double,tie:bigint,state:string,confidence:double>>"
-    start = F.struct(F.lit(OFF).alias("state"), F.lit(0.0).alias("since"), F.array().cast(none).alias("rows"))
+    start = F.struct(F.lit(OFF).alias("state"), F.lit(0.0).alias("since"))
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
         runtime = x["t"] - a["since"]
         state = confidence = None
         for name, condition, then, sure in rules:
@@ -31,9 +30,9 @@ def detect(df: DataFrame, flags: tuple[str, ...], rules: list[Rule], s: Series =
         now = F.coalesce(state, a["state"])
         row = F.struct(x["t"].alias("t"), x["tie"].alias("tie"), now.alias("state"), confidence.alias("confidence"))
         since = F.when((a["state"] == OFF) & (now == STARTING), x["t"]).otherwise(a["since"])
-        return F.struct(now.alias("state"), since.alias("since"), F.when(confidence.isNotNull(), F.concat(a["rows"], F.array(row))).otherwise(a["rows"]).alias("rows"))
+        return F.struct(now.alias("state"), since.alias("since")), F.when(confidence.isNotNull(), row)
 
-    return s.fold(df, start, step, lambda a: a["rows"], flags).select(*s.key, F.inline("out")).withColumnRenamed("tie", s.tie)
+    return s.scan(df, start, step, "struct<t:double,tie:bigint,state:string,confidence:double>", flags)
 
 
 def always(x: Column, runtime: Column) -> Column:

@@ -37,6 +37,28 @@ class Series:
         arrays = df.groupBy(*self.key).agg(F.array_sort(F.collect_list(sample)).alias("__samples"))
         return arrays.select(*self.key, F.aggregate("__samples", start, step, finish or (lambda a: a)).alias("out"))
 
+    def scan(self, df: DataFrame, start: Column, step, row: str, keep: tuple[str, ...] = (), chunk: int = 256) -> DataFrame:
+        """The rows that a fold gives on its way: step(state, sample) is (state, row or null), `row` the type of a row.
+
+        Rows are gathered a chunk of samples at a time, so that no sample copies all rows before it: time is linear in the series."""
+        sample = F.struct(self.seconds().alias("t"), F.col(self.tie).alias("tie"), F.col(self.value).alias("p"), *keep)
+        arrays = df.groupBy(*self.key).agg(F.array_sort(F.collect_list(sample)).alias("__samples"))
+        firsts = F.sequence(F.lit(1), F.size("__samples"), F.lit(chunk))
+        none = F.array().cast(f"array<{row}>")
+
+        def one(a: Column, x: Column) -> Column:
+            state, out = step(a["state"], x)
+            return F.struct(state.alias("state"), F.when(out.isNull(), a["rows"]).otherwise(F.concat(a["rows"], F.array(out.cast(row)))).alias("rows"))
+
+        def many(a: Column, first: Column) -> Column:
+            done = F.aggregate(F.slice("__samples", first, F.lit(chunk)), F.struct(a["state"].alias("state"), none.alias("rows")), one)
+            gathered = lambda d: F.struct(d["state"].alias("state"), F.concat(a["rows"], F.array(d["rows"])).alias("rows"))
+            return F.element_at(F.transform(F.array(done), gathered), 1)
+
+        begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{row}>>").alias("rows"))
+        rows = F.flatten(F.aggregate(firsts, begin, many, lambda a: a["rows"]))
+        return arrays.select(*self.key, F.inline(rows)).withColumnRenamed("tie", self.tie)
+
 
 EVENTS = Series()
 
@@ -53,16 +75,15 @@ def noise_gate(df: DataFrame, s: Series = EVENTS, size: int = 5, most: float = 2
 
 def learned_baseline(df: DataFrame, s: Series = EVENTS, band: float = 5.0, most: int = 50) -> DataFrame:
     """A baseline that follows samples near or below it, the first `most` of them; a row for each sample."""
-    none = "array<struct<t:double,tie:bigint,corrected:double,baseline:double>>"
-    start = F.struct(F.lit(0.0).alias("base"), F.lit(0).alias("n"), F.array().cast(none).alias("rows"))
+    start = F.struct(F.lit(0.0).alias("base"), F.lit(0).alias("n"))
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
         learns = (x["p"] <= a["base"] + band) & (a["n"] < most)
         base = F.when(learns, a["base"] + (x["p"] - a["base"]) / (a["n"] + 1)).otherwise(a["base"])
         row = F.struct(x["t"].alias("t"), x["tie"].alias("tie"), F.greatest(x["p"], base).alias("corrected"), base.alias("baseline"))
-        return F.struct(base.alias("base"), (a["n"] + learns.cast("int")).alias("n"), F.concat(a["rows"], F.array(row)).alias("rows"))
+        return F.struct(base.alias("base"), (a["n"] + learns.cast("int")).alias("n")), row
 
-    return s.fold(df, start, step, lambda a: a["rows"]).select(*s.key, F.inline("out")).withColumnRenamed("tie", s.tie)
+    return s.scan(df, start, step, "struct<t:double,tie:bigint,corrected:double,baseline:double>")
 
 
 def median_filter(df: DataFrame, s: Series = EVENTS, size: int = 3, into: str = "filtered") -> DataFrame:
