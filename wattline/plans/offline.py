@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wattline.functions import curves as V
 from wattline.operators import classify, cycles
@@ -29,50 +29,54 @@ def event_features(events: DataFrame, readings: DataFrame, s: Series = EVENTS, k
     return out.withColumn("profile", F.transform(V.resample(F.col("curve"), 32), lambda v: F.round(v, 2))).withColumn("peak_to_avg", F.when(F.col("avg_w") > 1e-9, F.col("peak_w") / F.col("avg_w")).otherwise(1.0)).drop("sum_w", "dt", "curve")
 
 
-CLUSTERED = "user_id long, event_no long, pattern_no long"
+class Clusters:
+    """Running means of the patterns of one series, as arrays over the patterns, so that an event meets all of them at once."""
+
+    def __init__(self, most: float, alpha: float):
+        self.most, self.alpha, self.n = most, alpha, 0
+        self.seen, self.means, self.curves = np.zeros(8), np.zeros((8, 3)), np.zeros((8, 32))
+
+    def add(self, watts: float, seconds: float, plateaus: float, curve: np.ndarray) -> int:
+        """The pattern that the event joins: the nearest of the compatible ones, the first of equals, else a new one."""
+        n = self.n
+        means, curves = self.means[:n], self.curves[:n]
+        far = np.abs(np.array([watts, seconds, plateaus]) - means) / np.maximum(means, (80.0, 30.0, 0.0), where=(True, True, False), out=np.ones((n, 3)))
+        shape = np.abs(curves - curve).mean(1) / np.maximum(np.maximum(80.0, curve.mean()), curves.mean(1))
+        distance = 0.4 * far[:, 0] + 0.25 * far[:, 1] + 0.25 * shape + 0.10 * np.minimum(1.0, far[:, 2] / 4)
+        distance[(far[:, 0] > 0.15) | (far[:, 1] > 0.5) | (far[:, 2] > 2) | (distance > self.most)] = np.inf
+        if n and distance.min() < np.inf:
+            k = int(distance.argmin())
+            self.means[k] = (self.means[k] * self.seen[k] + (watts, seconds, plateaus)) / (self.seen[k] + 1)
+            self.means[k, 2] = np.round(self.means[k, 2])
+            self.curves[k] = (1 - self.alpha) * self.curves[k] + self.alpha * curve
+            self.seen[k] += 1
+            return k
+        if n == len(self.seen):
+            self.seen, self.means, self.curves = (np.concatenate([x, np.zeros_like(x)]) for x in (self.seen, self.means, self.curves))
+        self.seen[n], self.means[n], self.curves[n] = 1, (watts, seconds, plateaus), curve
+        self.n += 1
+        return n
 
 
 def cluster(features: DataFrame, key: str = "user_id", most: float = 0.85, alpha: float = 0.22) -> DataFrame:
-    """(key, event_no, pattern_no): events in order join the nearest compatible pattern of their series or begin one.
-
-    Order matters, so a series is one group; it holds its patterns' means and not its events."""
-
-    def grouped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns: list[dict] = []
-        rows = []
-        for e in pd.concat(list(frames)).sort_values(["start_s", "event_no"]).itertuples(index=False):
-            best, near = None, most
-            for k, p in enumerate(patterns):
-                watts, seconds = max(80.0, p["avg_w"]), max(30.0, p["duration_s"])
-                a, d, n = abs(e.avg_w - p["avg_w"]) / watts, abs(e.duration_s - p["duration_s"]) / seconds, abs(e.plateaus - p["plateaus"])
-                if a > 0.15 or d > 0.5 or n > 2:
-                    continue
-                scale = max(80.0, sum(e.profile) / 32, sum(p["profile"]) / 32)
-                shape = sum(abs(x - y) for x, y in zip(e.profile, p["profile"], strict=True)) / 32 / scale
-                distance = 0.4 * a + 0.25 * d + 0.25 * shape + 0.10 * min(1.0, n / 4)
-                if distance <= near and (best is None or distance < near):
-                    best, near = k, distance
-            if best is None:
-                patterns.append({"seen": 1, "avg_w": e.avg_w, "duration_s": e.duration_s, "plateaus": e.plateaus, "profile": list(e.profile)})
-                best = len(patterns) - 1
-            else:
-                p = patterns[best]
-                for c in ("avg_w", "duration_s", "plateaus"):
-                    p[c] = (p[c] * p["seen"] + getattr(e, c)) / (p["seen"] + 1)
-                p["plateaus"] = round(p["plateaus"])
-                p["profile"] = [(1 - alpha) * o + alpha * x for o, x in zip(p["profile"], e.profile, strict=True)]
-                p["seen"] += 1
-            rows.append((int(getattr(e, key)), int(e.event_no), best))
-        yield pd.DataFrame(rows, columns=["user_id", "event_no", "pattern_no"])
-
-    return features.groupBy(key).applyInPandas(lambda df: next(grouped(iter([df]))), CLUSTERED)
+    """The features with pattern_no: events in order join the nearest compatible pattern of their series or begin one.
+
+    Order matters, so a series is one group. Its events come once, with the number added, so nothing upstream runs twice."""
+
+    def grouped(events: pd.DataFrame) -> pd.DataFrame:
+        events, known = events.sort_values(["start_s", "event_no"]), Clusters(most, alpha)
+        columns = zip(events.avg_w, events.duration_s, events.plateaus, events.profile, strict=True)
+        return events.assign(pattern_no=[known.add(w, s, n, np.asarray(curve, dtype=float)) for w, s, n, curve in columns])
+
+    schema = StructType([*features.schema.fields, StructField("pattern_no", LongType())])
+    return features.groupBy(key).applyInPandas(grouped, schema)
 
 
 def run(readings: DataFrame, threshold: float = 25.0, least_s: float = 8.0, gap_s: float = 6.0, key: str = "user_id") -> tuple[DataFrame, DataFrame]:
     """(features with their pattern, evaluated patterns)."""
     events = cycles.merge_gaps(cycles.offline_events(readings, threshold, least_s), gap_s)
     features = event_features(events, readings)
-    named = features.join(cluster(features), [key, "event_no"])
+    named = cluster(features, key)
     w = Window.partitionBy(key, "pattern_no").orderBy("start_s", "event_no")
     gaps = named.withColumn("gap", F.col("start_s") - F.lag("start_s").over(w))
     patterns = gaps.groupBy(key, "pattern_no").agg(
