@@ -16,7 +16,8 @@ def _once(value: Column, then) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return _sum(a) / F.size(a)
+    """Null for an empty array."""
+    return F.try_divide(_sum(a), F.size(a))
 
 
 def norm(a: Column) -> Column:

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-DELTA = f"""WITH {PROFILE},
+DELTA_STEPS = f"""WITH {PROFILE},
 h AS (SELECT *, greatest(1, least(n // 5, 6)) AS k FROM prof),
 b AS (SELECT *, list_median(v[1:k]) AS before_w, list_median(v[n - k + 1:n]) AS after_w FROM h),
 q AS (SELECT *, greatest(list_median(list_transform(v[1:k], lambda x: abs(x - before_w))), list_median(list_transform(v[n - k + 1:n], lambda x: abs(x - after_w)))) AS noise_w,
@@ -33,7 +33,8 @@ o AS (SELECT *, list_transform(d, lambda x: greatest(x, 0.0)) AS over, list_tran
 steady AS (SELECT *, list_max(r) AS delta_peak_w, avg_w - before_w AS delta_avg_w, greatest(list_median(over[cut + 1:n - cut]), 0.0) AS steady_w, list_max(over) AS inrush_w,
 coalesce(list_sum(list_transform(range(2, n + 1), lambda i: (over[i - 1] + over[i]) / 2 * (t[i] - t[i - 1]))), 0.0) / 3600 AS delta_wh FROM o),
 f AS (SELECT *, list_filter(range(list_position(r, delta_peak_w), n + 1), lambda i: abs(r[i] - steady_w) <= greatest(0.15 * steady_w, 8.0)) AS settled,
-list_transform(over, lambda x: abs(x - steady_w) <= greatest(0.12 * steady_w, 6.0)) AS held FROM steady)
+list_transform(over, lambda x: abs(x - steady_w) <= greatest(0.12 * steady_w, 6.0)) AS held FROM steady)"""
+DELTA = f"""{DELTA_STEPS}
 SELECT user_id, cycle, n, round(before_w, 6) AS before_w, round(after_w, 6) AS after_w, round(noise_w, 6) AS noise_w,
 round(greatest(0.0, 1 - noise_w / scale - drift_w / (2.5 * scale)), 6) AS baseline_quality, round(delta_avg_w, 6) AS delta_avg_w, round(delta_peak_w, 3) AS delta_peak_w,
 round(delta_wh, 6) AS delta_wh, round(steady_w, 6) AS steady_w, round(inrush_w / greatest(CASE WHEN steady_w > 0 THEN steady_w ELSE abs(delta_avg_w) END, 1.0), 6) AS inrush_ratio,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattline.plans import pattern_queries, profile_queries, series_queries
+from wattline.plans import pattern_queries, phase_queries, profile_queries, series_queries
 
-QUERIES: dict = {**series_queries.QUERIES, **pattern_queries.QUERIES, **profile_queries.QUERIES}
-ORACLES: dict[str, str] = {**series_queries.ORACLES, **pattern_queries.ORACLES, **profile_queries.ORACLES}
+QUERIES: dict = {**series_queries.QUERIES, **pattern_queries.QUERIES, **profile_queries.QUERIES, **phase_queries.QUERIES}
+ORACLES: dict[str, str] = {**series_queries.ORACLES, **pattern_queries.ORACLES, **profile_queries.ORACLES, **phase_queries.ORACLES}
