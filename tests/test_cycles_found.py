@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 from tests.test_oracles import TABLES, rows_of
-from wattline.plans import pattern_queries, phase_queries, profile_queries
+from wattline.plans import catalog_queries, pattern_queries, phase_queries, profile_queries
 
 SOURCE = "/root/testdata/sf0.01"
-QUERIES = {**pattern_queries.QUERIES, **profile_queries.QUERIES, **phase_queries.QUERIES}
-ORACLES = {**pattern_queries.ORACLES, **profile_queries.ORACLES, **phase_queries.ORACLES}
+QUERIES = {**pattern_queries.QUERIES, **profile_queries.QUERIES, **phase_queries.QUERIES, **catalog_queries.QUERIES}
+ORACLES = {**pattern_queries.ORACLES, **profile_queries.ORACLES, **phase_queries.ORACLES, **catalog_queries.ORACLES}
 
 
 @pytest.fixture(scope="module")

@@ -115,11 +115,14 @@ def p34(spark, sf_dir):
     return patterns(spark, sf_dir).select("phase", "label", S.auto_confirm(F.col("seen"), F.col("confidence") / 100, F.col("duty")).alias("confirmed"))
 
 
-@query("p36_unknown_subclass", f"""WITH {STAGED}, r AS (SELECT *, variance / avg_w AS nv, peak_to_avg AS inrush, peak_to_avg >= 1.25 AS motor FROM staged)
-SELECT user_id, cycle, CASE WHEN n_substates >= 2 OR steps >= 2 THEN 'unknown_multistage' WHEN avg_w < 70 AND duration_s >= 300 AND nv <= 3.5 AND inrush < 1.15 THEN 'always_on_low_power' WHEN avg_w < 180 AND duration_s >= 120 AND nv <= 5 AND inrush < 1.2 THEN 'psu_constant_load'
+UNKNOWN_CLASS = """CASE WHEN n_substates >= 2 OR steps >= 2 THEN 'unknown_multistage' WHEN avg_w < 70 AND duration_s >= 300 AND nv <= 3.5 AND inrush < 1.15 THEN 'always_on_low_power' WHEN avg_w < 180 AND duration_s >= 120 AND nv <= 5 AND inrush < 1.2 THEN 'psu_constant_load'
 WHEN avg_w < 240 AND duration_s >= 90 AND nv <= 7 AND inrush < 1.25 THEN 'electronics_cluster' WHEN avg_w < 120 AND duration_s >= 120 AND nv <= 6 THEN 'constant_low_power' WHEN avg_w >= 120 AND avg_w < 450 AND duration_s >= 90 AND nv <= 8 THEN 'constant_medium_power'
 WHEN inrush >= 1.7 AND avg_w <= 400 THEN 'compressor_low_power' WHEN inrush >= 1.7 THEN 'compressor_high_power' WHEN motor AND avg_w <= 220 AND inrush < 1.6 THEN 'fan_small' WHEN motor AND avg_w <= 450 AND inrush < 1.7 THEN 'pump_small' WHEN motor AND nv <= 9 THEN 'pump_constant' WHEN motor THEN 'pump_variable'
-WHEN rise_rate > 100 AND nv <= 6 THEN 'heater_resistive' WHEN duration_s <= 20 THEN 'unknown_short_pulse' WHEN duration_s >= 1800 AND avg_w <= 160 THEN 'unknown_low_power_long' WHEN nv >= 12 OR std_w > greatest(0.08 * avg_w, 15.0) THEN 'unknown_variable_load' ELSE 'unknown_cluster' END AS subclass FROM r""")
+WHEN rise_rate > 100 AND nv <= 6 THEN 'heater_resistive' WHEN duration_s <= 20 THEN 'unknown_short_pulse' WHEN duration_s >= 1800 AND avg_w <= 160 THEN 'unknown_low_power_long' WHEN nv >= 12 OR std_w > greatest(0.08 * avg_w, 15.0) THEN 'unknown_variable_load' ELSE 'unknown_cluster' END"""
+
+
+@query("p36_unknown_subclass", f"""WITH {STAGED}, r AS (SELECT *, variance / avg_w AS nv, peak_to_avg AS inrush, peak_to_avg >= 1.25 AS motor FROM staged)
+SELECT user_id, cycle, {UNKNOWN_CLASS} AS subclass FROM r""")
 def p36(spark, sf_dir):
     c = {"avg": F.col("avg_w"), "dur": F.col("duration_s"), "nv": F.col("variance") / F.col("avg_w"), "inrush": F.col("peak_to_avg"), "motor": F.col("peak_to_avg") >= 1.25, "heating": F.col("rise_rate") > 100, "multi": (F.col("n_substates") >= 2) | (F.col("steps") >= 2), "flat": F.col("std_w") <= F.greatest(0.08 * F.col("avg_w"), F.lit(15.0))}
     return staged(spark, sf_dir).select("user_id", "cycle", K.unknown_subclass(c).alias("subclass"))
