@@ -162,7 +162,7 @@ def oscillates(a: Column) -> Column:
     return F.coalesce(F.when(F.size(a) >= 15, _once(mean(a), judged)), F.lit(False))
 
 
-def cluster_levels(levels: Column, tolerance: float) -> Column:
+def cluster_levels(levels: Column, tolerance: float | Column) -> Column:
     """Sorted levels joined while they lie within the tolerance of the running mean of their cluster; the clusters' means."""
     none = "array<struct<sum:double,n:int>>"
 

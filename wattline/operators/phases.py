@@ -157,3 +157,23 @@ def feature_snapshot(df: DataFrame) -> DataFrame:
         "delta_cv": F.col("delta_std") / F.greatest(F.abs("__mean"), F.lit(1.0)), "delta_range": F.array_max("delta") - F.array_min("delta"),
         "avg_step_w": F.when(F.col("steps") > 0, spread / F.col("steps")).otherwise(0.0),
     }).drop("__mean")
+
+
+def with_plateaus(df: DataFrame) -> DataFrame:
+    """Stretches of a profile whose steps stay small, two points at least: adds `stretches` (level, points), `levels` (their levels
+    joined), n_jumps, max_jump_w and mean_jump_w. Below three points there is nothing."""
+    out = df.withColumn("__v", F.transform("points", lambda x: x["p"]))
+    n, v = F.size("__v"), F.col("__v")
+    out = out.withColumn("__near", F.greatest(F.lit(12.0), 0.08 * F.abs(V.median(v)))).withColumn("__jump", F.greatest(F.lit(20.0), 0.1 * F.array_max(v)))
+    moves = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.abs(F.try_element_at(v, i) - F.element_at(v, i - 1)))
+    out = out.withColumn("__moves", F.when(n >= 3, moves).otherwise(F.array().cast("array<double>")))
+    out = out.withColumn("__breaks", F.filter(F.transform("__moves", lambda m, i: F.when(m > F.col("__near"), i + 2)), lambda i: i.isNotNull()))
+    stretch = lambda a, b: F.struct(V.mean(F.slice(v, a, b - a + 1)).alias("level"), (b - a + 1).alias("points"))
+    cut = F.zip_with(F.concat(F.array(F.lit(1)), F.col("__breaks")), F.concat(F.transform("__breaks", lambda i: i - 1), F.array(n)), stretch)
+    out = out.withColumn("stretches", F.when(n >= 3, F.filter(cut, lambda x: x["points"] >= 2)).otherwise(F.filter(cut, lambda x: F.lit(False))))
+    out = out.withColumn("levels", V.cluster_levels(F.transform("stretches", lambda x: x["level"]), F.greatest(F.lit(18.0), 1.4 * F.col("__near"))))
+    jumps = F.filter("__moves", lambda m: m >= F.col("__jump"))
+    out = out.withColumn("__jumps", jumps)
+    return out.withColumns({
+        "n_jumps": F.size("__jumps"), "max_jump_w": F.coalesce(F.array_max("__jumps"), F.lit(0.0)), "mean_jump_w": F.coalesce(V.mean(F.col("__jumps")), F.lit(0.0)),
+    }).drop("__v", "__near", "__jump", "__moves", "__breaks", "__jumps")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wattline.operators import phases as E
 from wattline.operators import profiles as A
-from wattline.plans.cycle_tables import HELD, profiled
+from wattline.plans.cycle_tables import HELD, PROFILE, profiled
 from wattline.plans.profile_queries import DELTA_STEPS
 from wattline.plans.series_queries import SCALE, r6
 
@@ -128,3 +128,15 @@ def w17(spark, sf_dir):
     above = F.size(F.filter("inside", lambda x: x["p"] >= F.col("before_w") + ON))
     lasts = F.col("end_s") / SCALE - F.col("start_s") / SCALE
     return around(spark, sf_dir).select(*KEY, E.accepted(F.size("inside"), lasts, above, longest=28800.0 / SCALE * 10).alias("accepted"))
+
+
+@query("r30_profile_plateaus", f"""WITH {PROFILE}, a AS (SELECT *, greatest(12.0, 0.08 * abs(list_median(v))) AS near, greatest(20.0, 0.1 * list_max(v)) AS jump, list_transform(range(2, n + 1), lambda i: abs(v[i] - v[i - 1])) AS moves FROM prof),
+b AS (SELECT *, list_filter(range(2, n + 1), lambda i: moves[i - 1] > near) AS breaks, CASE WHEN n >= 3 THEN list_filter(moves, lambda m: m >= jump) ELSE [] END AS jumps FROM a),
+c AS (SELECT *, CASE WHEN n >= 3 THEN list_filter(list_transform(list_zip([1] || breaks, list_transform(breaks, lambda i: i - 1) || [n]), lambda z: {{'level': list_avg(v[z[1]:z[2]]), 'points': z[2] - z[1] + 1}}), lambda x: x.points >= 2) ELSE [] END AS held FROM b),
+d AS (SELECT *, list_transform(list_sort(list_transform(held, lambda x: x.level)), lambda x: [{{'s': x, 'k': 1}}]) AS lv FROM c),
+e AS (SELECT *, CASE WHEN len(lv) = 0 THEN 0 ELSE len(list_reduce(lv, lambda q, x: CASE WHEN abs(x[1].s - q[-1].s / q[-1].k) <= greatest(18.0, 1.4 * near) THEN q[1:len(q) - 1] || [{{'s': q[-1].s + x[1].s, 'k': q[-1].k + 1}}] ELSE q || x END)) END AS n_levels FROM d)
+SELECT user_id, cycle, len(held) AS n_plateaus, n_levels, len(jumps) AS n_jumps, round(coalesce(list_max(jumps), 0), 6) AS max_jump_w, round(coalesce(list_avg(jumps), 0), 6) AS mean_jump_w, greatest(len(held) - 1, 0) AS n_transitions FROM e""")
+def r30(spark, sf_dir):
+    out = E.with_plateaus(profiled(spark, sf_dir))
+    sizes = {"n_plateaus": F.size("stretches"), "n_levels": F.size("levels"), "n_jumps": F.col("n_jumps"), "n_transitions": F.greatest(F.size("stretches") - 1, F.lit(0))}
+    return out.select(*KEY, *(c.cast("long").alias(name) for name, c in sizes.items()), *r6("max_jump_w", "mean_jump_w"))
