@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from wattline.functions import labels as L
 from wattline.operators import phases as E
 from wattline.operators import profiles as A
-from wattline.operators.series import learned_baseline
+from wattline.operators.series import hysteresis, learned_baseline
 from wattline.sources import exports as X
 
 
@@ -73,3 +73,11 @@ def test_a_scan_over_many_chunks_keeps_every_row(spark):
     df = spark.range(1000).selectExpr("1L user_id", "id event_id", "timestamp_micros(id * 1000000) ts", "cast(id % 7 as double) value")
     got = [r.corrected for r in learned_baseline(df, most=3).orderBy("event_id").collect()]
     assert len(got) == 1000 and got[:4] == [0.0, 1.0, 2.0, 3.0] and got[700:707] == [1.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+
+
+def test_a_switch_stays_on_for_its_least_time(spark):
+    watts = [0.0, 50.0, 0.0, 0.0, 0.0, 0.0, 50.0, 0.0]
+    df = spark.createDataFrame([(1, i, i, w) for i, w in enumerate(watts)], "user_id long, event_id long, s long, value double").selectExpr("user_id", "event_id", "timestamp_seconds(s) ts", "value")
+    at = lambda least: [(int(r.t), r.state) for r in hysteresis(df, 40.0, 10.0, least_s=least).orderBy("t").collect()]
+    assert at(0.0) == [(1, "on"), (2, "off"), (6, "on"), (7, "off")]
+    assert at(3.0) == [(1, "on"), (4, "off"), (6, "on")]

@@ -190,17 +190,18 @@ def carried_forward(df: DataFrame, phase: str, phases: list, s: Series = EVENTS)
     return out.withColumn("total_w", total).where(F.col("total_w") > 0)
 
 
-def hysteresis(df: DataFrame, on: float, off: float, s: Series = EVENTS) -> DataFrame:
-    """Transitions of a two-threshold switch, folded in order: rows (t, tie, state) where the state changes."""
-    none = "array<struct<t:double,tie:bigint,state:string>>"
-    start = F.struct(F.lit(False).alias("on"), F.array().cast(none).alias("rows"))
+def hysteresis(df: DataFrame, on: float, off: float, s: Series = EVENTS, least_s: float = 0.0) -> DataFrame:
+    """Transitions of a two-threshold switch, folded in order: rows (t, tie, state) where the state changes. A switch that is on
+    stays so for least_s seconds."""
+    start = F.struct(F.lit(False).alias("on"), F.lit(0.0).alias("since"))
 
-    def step(a: Column, x: Column) -> Column:
-        now = F.when(a["on"], x["p"] > off).otherwise(x["p"] >= on)
+    def step(a: Column, x: Column) -> tuple[Column, Column]:
+        now = F.when(a["on"], (x["p"] > off) | (x["t"] - a["since"] < least_s)).otherwise(x["p"] >= on)
         row = F.struct(x["t"].alias("t"), x["tie"].alias("tie"), F.when(now, "on").otherwise("off").alias("state"))
-        return F.struct(now.alias("on"), F.when(now != a["on"], F.concat(a["rows"], F.array(row))).otherwise(a["rows"]).alias("rows"))
+        since = F.when(now & ~a["on"], x["t"]).otherwise(a["since"])
+        return F.struct(now.alias("on"), since.alias("since")), F.when(now != a["on"], row)
 
-    return s.fold(df, start, step, lambda a: a["rows"]).select(*s.key, F.inline("out")).withColumnRenamed("tie", s.tie)
+    return s.scan(df, start, step, "struct<t:double,tie:bigint,state:string>")
 
 
 def daily_counters(transitions: DataFrame, s: Series = EVENTS) -> DataFrame:
