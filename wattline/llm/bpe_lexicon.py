@@ -38,9 +38,8 @@ NEVER = 2**31
 #: Longer words are merged with a heap.
 SHORT_WORD = 64
 
-# The pieces that are merged apart, as the tokenizer file's byte-level step cuts them; the first letters of the alternatives
-# differ, so their order is free except that contractions come before other signs.
-PIECES = regex.compile(r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Fixed value: the published pattern of byte-level pre-tokenization, as published.
+PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 SINGLE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 
 

@@ -20,7 +20,7 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 TERMINAL = tuple(".!?…:;\"'”’»)。！？")
 SEPARATORS = re.compile(r"[|>»›·•/]")
 LETTERS = re.compile(r"[^\W\d_]")
-# Phrases that mark a line as boilerplate, in lower case.
+#: Phrases of our own choice that mark a line as boilerplate, in lower case.
 BOILERPLATE = (
     "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "copyright", "©", "javascript", "subscribe to",
     "sign up for", "click here", "read more", "share this", "share on", "follow us", "log in", "powered by", "lorem ipsum",

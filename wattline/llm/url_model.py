@@ -21,7 +21,7 @@ BITS, GRAMS, STEPS, PENALTY, RATE = 14, (3, 4, 5), 400, 1e-3, 2.0
 MOST_LABELS = 100_000
 #: (host and path prefix, allow?)
 RULES = (("com/", True), ("example.com/en/", False), ("www.example.com/en/", True), ("net/es/", False), ("net/fr/", False))
-# Labelled urls, 1 to block.
+#: Labelled urls of our own making, 1 to block.
 LABELLED = (
     ("https://news.example.org/en/2021/world/article-one.html", 0), ("https://www.university.edu/research/papers/language.html", 0),
     ("https://blog.writer.example.net/en/essays/on-reading", 0), ("https://en.encyclopedia.org/wiki/Astronomy", 0),
