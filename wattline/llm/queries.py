@@ -8,6 +8,7 @@ from wattline.llm.gear_chunks import op5_gear_chunks
 from wattline.llm.line_rules import op2_line_rules
 from wattline.llm.mixing import op8_mixing
 from wattline.llm.mpeg_audio import op3_mpeg_audio
+from wattline.llm.phrase_names import op11_phrase_names
 from wattline.llm.pii_spans import op1_pii_spans
 from wattline.llm.shingle_join import op7_shingle_join
 from wattline.llm.suffix_dedup import op9_suffix_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_model": op10_url_model,
+    "op11_phrase_names": op11_phrase_names,
 }
 ORACLES: dict[str, str] = {}
