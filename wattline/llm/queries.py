@@ -5,6 +5,8 @@ from __future__ import annotations
 from wattline.llm.bpe_lexicon import op4_bpe_lexicon
 from wattline.llm.chat_trees import op6_chat_trees
 from wattline.llm.gear_chunks import op5_gear_chunks
+from wattline.llm.inverted_treaps import ORACLE as RANKED
+from wattline.llm.inverted_treaps import op13_inverted_treaps
 from wattline.llm.line_rules import op2_line_rules
 from wattline.llm.mixing import op8_mixing
 from wattline.llm.mpeg_audio import op3_mpeg_audio
@@ -26,5 +28,6 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_model": op10_url_model,
     "op11_phrase_names": op11_phrase_names,
+    "op13_inverted_treaps": op13_inverted_treaps,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_inverted_treaps": RANKED}
