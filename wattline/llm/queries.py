@@ -15,6 +15,8 @@ from wattline.llm.pii_spans import op1_pii_spans
 from wattline.llm.shingle_join import op7_shingle_join
 from wattline.llm.suffix_dedup import op9_suffix_dedup
 from wattline.llm.url_model import op10_url_model
+from wattline.llm.vantage_points import ORACLE as MINED
+from wattline.llm.vantage_points import op12_vantage_points
 
 QUERIES = {
     "op1_pii_spans": op1_pii_spans,
@@ -28,6 +30,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_model": op10_url_model,
     "op11_phrase_names": op11_phrase_names,
+    "op12_vantage_points": op12_vantage_points,
     "op13_inverted_treaps": op13_inverted_treaps,
 }
-ORACLES: dict[str, str] = {"op13_inverted_treaps": RANKED}
+ORACLES: dict[str, str] = {"op12_vantage_points": MINED, "op13_inverted_treaps": RANKED}
