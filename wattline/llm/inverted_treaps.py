@@ -199,7 +199,10 @@ class Shard:
         none = np.zeros(len(begin), dtype=np.int32)
         waiting = [(query[begin], none, none + np.int32(len(self.ids) - 1), np.diff(begin, append=len(query)), node)]
         while waiting:
-            query, low, high, size, node = waiting.pop()
+            batch = [waiting.pop()]
+            while waiting and sum(len(b[0]) for b in batch) < RANGES:
+                batch.append(waiting.pop())
+            query, low, high, size, node = (np.concatenate(x) for x in zip(*batch, strict=True)) if len(batch) > 1 else batch[0]
             bound = np.add.reduceat(self.score[node], np.cumsum(size) - size)
             keep = best.open(query, bound, self.ids[low])
             if not keep.any():
