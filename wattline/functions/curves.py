@@ -10,7 +10,7 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda m, x: m + x)
 
 
-def _once(value: Column, then) -> Column:
+def once(value: Column, then) -> Column:
     """then(value) with the value computed once, also where lambdas inside of `then` use it for each element."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
@@ -31,7 +31,7 @@ def median(a: Column) -> Column:
         n = F.size(v)
         return F.when(n > 0, (F.element_at(v, F.floor((n + 1) / 2).cast("int")) + F.element_at(v, F.floor(n / 2 + 1).cast("int"))) / 2)
 
-    return _once(F.sort_array(a), middle)
+    return once(F.sort_array(a), middle)
 
 
 def upper_median(a: Column) -> Column:
@@ -70,7 +70,7 @@ def resample_by_time(points: Column, length: int = 16) -> Column:
         return F.when(gap > 0, left["p"] + (right["p"] - left["p"]) * (t - left["t"]) / gap).otherwise(left["p"])
 
     steps = F.sequence(F.lit(0), F.lit(length - 1))
-    return F.when(F.size(points) >= 2, _once(in_order, lambda known: F.transform(steps, lambda i: at(known, i))))
+    return F.when(F.size(points) >= 2, once(in_order, lambda known: F.transform(steps, lambda i: at(known, i))))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -114,7 +114,7 @@ def shape_distance(a: Column, b: Column) -> Column:
     """Mean absolute difference of two curves, each over its own peak, at most 1; null without both curves."""
     def scaled(c: Column) -> Column:
         peak = F.greatest(F.array_max(F.transform(c, F.abs)), F.lit(1e-9))
-        return _once(peak, lambda top: F.transform(c, lambda v: v / top))
+        return once(peak, lambda top: F.transform(c, lambda v: v / top))
 
     difference = mean(F.zip_with(scaled(a), scaled(b), lambda x, y: F.abs(x - y)))
     return F.when(a.isNotNull() & b.isNotNull(), F.least(F.lit(1.0), difference))
@@ -159,7 +159,7 @@ def oscillates(a: Column) -> Column:
         crossings = F.size(F.filter(F.zip_with(F.slice(above, 2, n), F.slice(above, 1, n), lambda y, x: y != x), lambda v: v))
         return variation.between(0.25, 0.85) & (crossings >= 3)
 
-    return F.coalesce(F.when(F.size(a) >= 15, _once(mean(a), judged)), F.lit(False))
+    return F.coalesce(F.when(F.size(a) >= 15, once(mean(a), judged)), F.lit(False))
 
 
 def cluster_levels(levels: Column, tolerance: float | Column) -> Column:

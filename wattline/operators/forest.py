@@ -1,5 +1,4 @@
-"""A random forest over cycle features, trained on stored patterns or labelled cycles. Of the survey's 13 features (P39) the
-number of substates is missing, as R27 isn't built."""
+"""A random forest over the 13 features of a cycle, trained on stored patterns or labelled cycles."""
 
 from __future__ import annotations
 
@@ -10,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("avg_w", "peak_w", "duration_s", "energy_wh", "variance", "duty", "peak_to_avg", "rise_rate", "fall_rate", "active_phases", "heating", "motor")
+FEATURES = ("avg_w", "peak_w", "duration_s", "energy_wh", "variance", "duty", "peak_to_avg", "rise_rate", "fall_rate", "active_phases", "heating", "motor", "n_substates")
 
 
 def train(rows: DataFrame, label: str = "label", trees: int = 80, depth: int = 10, least: int = 8):

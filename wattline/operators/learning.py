@@ -38,26 +38,35 @@ def merge_plan(patterns: DataFrame, key: str, ids: str, most: float = 0.20) -> D
     return nearest.join(other, [key, "id_a", "id_b"]).where("id_a > id_b").select(F.col("id_a").alias(ids), F.col("id_b").alias("into"))
 
 
-def operating_modes(modes: Column, most: int = 6, near: float = 0.30) -> Column:
-    """Modes, array<struct<avg_w, duration_s, peak_w>> in order, clustered: each joins the nearest cluster within `near`
-    (.55 power, .35 duration, .10 peak), the `most` most seen ones stay."""
-    none = "array<struct<avg_w:double,duration_s:double,peak_w:double,seen:int>>"
+MODES = "array<struct<avg_w:double,duration_s:double,peak_w:double,seen:int>>"
+
+
+def with_mode(modes: Column, m: Column, near: float = 0.30) -> Column:
+    """Clusters of modes after mode m: it joins the nearest within `near` (.55 power, .35 duration, .10 peak) or begins one."""
 
-    def distance(c: Column, m: Column) -> Column:
+    def distance(c: Column) -> Column:
         return 0.55 * S.rel(c["avg_w"], m["avg_w"]) + 0.35 * S.rel(c["duration_s"], m["duration_s"]) + 0.10 * S.rel(c["peak_w"], m["peak_w"])
 
-    def step(a: Column, m: Column) -> Column:
-        ranked = F.array_min(F.transform(a, lambda c, k: F.struct(distance(c, m).alias("d"), k.alias("k"))))
-        joined = F.transform(
-            a,
-            lambda c, k: F.when(
-                k == ranked["k"],
-                F.struct(*((((c[n] * c["seen"] + m[n]) / (c["seen"] + 1)).alias(n)) for n in ("avg_w", "duration_s", "peak_w")), (c["seen"] + 1).alias("seen")),
-            ).otherwise(c),
-        )
-        return F.when((F.size(a) > 0) & (ranked["d"] <= near), joined).otherwise(F.concat(a, F.array(F.struct(m["avg_w"], m["duration_s"], m["peak_w"], F.lit(1).alias("seen")))))
-
-    found = F.aggregate(modes, F.array().cast(none), step)
+    ranked = F.array_min(F.transform(modes, lambda c, k: F.struct(distance(c).alias("d"), k.alias("k"))))
+    joined = F.transform(
+        modes,
+        lambda c, k: F.when(
+            k == ranked["k"],
+            F.struct(*((((c[n] * c["seen"] + m[n]) / (c["seen"] + 1)).alias(n)) for n in ("avg_w", "duration_s", "peak_w")), (c["seen"] + 1).alias("seen")),
+        ).otherwise(c),
+    )
+    return F.when((F.size(modes) > 0) & (ranked["d"] <= near), joined).otherwise(F.concat(modes, F.array(F.struct(m["avg_w"], m["duration_s"], m["peak_w"], F.lit(1).alias("seen")))))
+
+
+def joined_mode(modes: Column, m: Column, most: int = 6, near: float = 0.30) -> Column:
+    """As with_mode, then the `most` most seen ones, most seen first; the order before settles ties."""
+    by_seen = F.array_sort(F.transform(with_mode(modes, m, near), lambda c, k: F.struct((-c["seen"]).alias("order"), k.alias("k"), c.alias("mode"))))
+    return F.slice(F.transform(by_seen, lambda x: x["mode"]), 1, most)
+
+
+def operating_modes(modes: Column, most: int = 6, near: float = 0.30) -> Column:
+    """Modes, array<struct<avg_w, duration_s, peak_w>> in order, clustered one after the other; the `most` most seen ones stay."""
+    found = F.aggregate(modes, F.array().cast(MODES), lambda a, m: with_mode(a, m, near))
     by_seen = F.array_sort(F.transform(found, lambda c: F.struct((-c["seen"]).alias("order"), c.alias("mode"))))
     return F.slice(F.transform(by_seen, lambda x: x["mode"]), 1, most)
 

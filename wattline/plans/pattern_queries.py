@@ -104,9 +104,9 @@ def p22(spark, sf_dir):
     return patterns(spark, sf_dir).select("phase", "label", "stability", *r6("confidence"), S.refine_by_frequency(F.col("label"), F.col("avg_w"), F.col("per_day")).alias("refined"), F.round(S.repeatability(F.col("seen"), F.col("stability") / 100.0, F.col("per_day")), 6).alias("repeatability"))
 
 
-@query("p29_training_filter", f"""WITH {CYC} SELECT user_id, cycle, CASE WHEN avg_w < 300 THEN 'power_too_low' WHEN duration_s < 10 THEN 'duration_too_short' WHEN duty < 0.7 THEN 'quality_too_low' WHEN duration_s / n > 120 THEN 'sample_spacing_too_large' END AS fault FROM cyc""")
+@query("p29_training_filter", f"""WITH {CYC} SELECT user_id, cycle, CASE WHEN avg_w < 30 THEN 'power_too_low' WHEN duration_s < 10 THEN 'duration_too_short' WHEN duty < 0.7 THEN 'quality_too_low' WHEN duration_s / n > 120 THEN 'sample_spacing_too_large' END AS fault FROM cyc""")
 def p29(spark, sf_dir):
-    fault = S.training_fault(F.col("avg_w") - 270, F.col("duration_s"), F.lit(0.0), F.col("duty"), F.col("duration_s") / F.col("n"), F.lit(None).cast("string"))
+    fault = S.training_fault(F.col("avg_w"), F.col("duration_s"), F.lit(0.0), F.col("duty"), F.col("duration_s") / F.col("n"), F.lit(None).cast("string"))
     return cycles(spark, sf_dir).select("user_id", "cycle", fault.alias("fault"))
 
 
@@ -213,7 +213,6 @@ SIMILAR_PAIRS = f"""WITH {CYC}, k AS (SELECT *, user_id * 4294967296 + cycle AS
 
 
 @query("j05_similar_pairs", SIMILAR_PAIRS)
-@query("j05_all_similar_pairs", SIMILAR_PAIRS)
 def j05(spark, sf_dir):
     k = cycles(spark, sf_dir).withColumn("id", F.shiftleft(F.col("user_id"), 32) + F.col("cycle"))
     return J.similar_pairs(k, "phase", "id", 0.05).select("phase", "id_a", "id_b", *r6("distance"))
@@ -466,23 +465,6 @@ def c07(spark, sf_dir):
     return decided(spark, sf_dir).select("user_id", "cycle", F.inline("found")).select("user_id", "cycle", "label", "score")
 
 
-@query("c08_decision")
-def c08(spark, sf_dir):
-    return decided(spark, sf_dir).select("user_id", "cycle", F.col("decided").alias("label"), "source", *r6("confidence"))
-
-
-@query("c11_random_forest")
-def c11(spark, sf_dir):
-    from wattline.operators.forest import predict, train
-
-    # A series is one phase.
-    given = {"active_phases": F.lit(1.0), "heating": F.col("rise_rate") > 100, "motor": F.col("peak_to_avg") >= 1.25}
-    rows = cycles(spark, sf_dir).withColumns(given).cache()
-    model = train(rows)
-    out = predict(model, rows) if model is not None else rows.withColumns({"predicted": F.lit(None).cast("string"), "probability": F.lit(0.0)})
-    return out.select("user_id", "cycle", "label", "predicted", "probability")
-
-
 @query("c22_analyzer_quality")
 def c22(spark, sf_dir):
     from wattline.operators.decision import analyzer_quality
@@ -530,10 +512,10 @@ def w12(spark, sf_dir):
     return out.groupBy("user_id", "cycle").agg(F.count_if(F.col("t") < F.col("start_s")).alias("n_pre"), F.count_if(F.col("t") > F.col("end_s")).alias("n_post"))
 
 
-@query("w16_synchronized_rise", """WITH f AS (SELECT user_id, event_type, min(epoch_us(ts) / 1e6) FILTER (WHERE value > 400) AS t FROM events GROUP BY user_id, event_type)
+@query("w16_synchronized_rise", """WITH f AS (SELECT user_id, event_type, min(epoch_us(ts) / 1e6) FILTER (WHERE value > 100) AS t FROM events GROUP BY user_id, event_type)
 SELECT user_id, count(t) AS n_phases, count(t) >= 2 AND max(t) - min(t) <= 259200 AS synchronized FROM f GROUP BY user_id""")
 def w16(spark, sf_dir):
-    first = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min(F.when(F.col("value") > 400, R.EVENTS.seconds())).alias("t"))
+    first = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min(F.when(F.col("value") > 100, R.EVENTS.seconds())).alias("t"))
     return first.groupBy("user_id").agg(F.count("t").alias("n_phases"), F.coalesce((F.count("t") >= 2) & (F.max("t") - F.min("t") <= 259200), F.lit(False)).alias("synchronized"))
 
 

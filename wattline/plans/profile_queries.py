@@ -68,13 +68,3 @@ def r18(spark, sf_dir):
     return both.select(F.col("a.phase").alias("phase"), F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"), F.round(A.pattern_distance(a, b), 6).alias("distance"), A.one_cluster(a, b).alias("one_cluster"))
 
 
-@query("r21_dedup_match")
-def r21(spark, sf_dir):
-    """The most similar pattern of each cycle's phase and what is to be done with the cycle."""
-    c = shaped(spark, sf_dir)
-    p = A.shaped_patterns(c)
-    a, b = A.columns("p", p), A.columns("c", c)
-    scored = c.alias("c").join(p.alias("p"), F.col("c.phase") == F.col("p.phase"))
-    scored = scored.select("c.user_id", "c.cycle", F.col("p.label").alias("label"), A.dedup_similarity(a, b).alias("similarity"), A.one_cluster(a, b).alias("one_cluster"))
-    best = scored.groupBy("user_id", "cycle").agg(F.max(F.struct(F.round("similarity", 6).alias("similarity"), "label", "one_cluster")).alias("m")).select("user_id", "cycle", "m.*")
-    return best.withColumn("action", J.dedup_action(F.col("similarity")))

@@ -103,11 +103,6 @@ def P_BASE(df: DataFrame) -> DataFrame:
     return df.withColumn("base_w", F.percentile("value", F.lit(0.2)).over(Window.partitionBy("user_id")))
 
 
-@query("w19_cycles")
-def w19(spark, sf_dir):
-    return C.cycles_of(w10(spark, sf_dir))
-
-
 @query("w20_offline_events")
 def w20(spark, sf_dir):
     return C.offline_events(events(spark, sf_dir), threshold=100.0, least_s=HOUR)

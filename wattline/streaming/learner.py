@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wattline.operators.live import RAW, RAW_NAMES, Held, Live, LiveRules, as_frame, built_cycles
+from wattline.operators.sequence import LearningRules, decisions, learn_in_order
 from wattline.operators.series import EVENTS, Series
 
 PAIRS = ("history", "ring", "candidates", "pre", "post")
@@ -108,3 +109,32 @@ def stream_live_cycles(readings: DataFrame, rules: LiveRules = LiveRules(), s: S
     out = T.StructType([*(rows.schema[k] for k in s.key), *T.StructType.fromDDL(RAW).fields])
     raw = rows.groupBy(*s.key).transformWithStateInPandas(LearnCycles(rules, s.key), out, "Append", "EventTime")
     return built_cycles(raw, rules)
+
+
+def learn_batches(cycles: DataFrame, path: str, checkpoint: str, ident: tuple[str, ...] = ("event_id",), key: tuple[str, ...] = ("site", "phase"), rules: LearningRules = LearningRules()):
+    """Sequential learning over a stream of prepared cycles. Every batch reads the newest state before it and writes one folder,
+    version=N, with the state of every site and what the batch's cycles did; a replayed batch overwrites its own folder, so each
+    cycle counts once. Batches must come in the order of time. `learned_state` reads the result."""
+
+    def learn(batch: DataFrame, number: int) -> None:
+        learn_in_order(batch, learned_state(batch.sparkSession, path, before=number), ident, key, rules).write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return cycles.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(learn).start()
+
+
+def learned_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest state that `learn_batches` has written, or the newest before a version; None where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    # A version without its success marker was not written to its end.
+    names = [s.getPath().getName() for s in files.listStatus(folder) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    versions = [int(n.partition("=")[2]) for n in names if n.startswith("version=")]
+    versions = [v for v in versions if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={max(versions)}") if versions else None
+
+
+def learned_decisions(spark: SparkSession, path: str, key: tuple[str, ...] = ("site", "phase")) -> DataFrame:
+    """What every cycle of every batch did."""
+    return decisions(spark.read.option("basePath", path).parquet(path), ("version", *key))
