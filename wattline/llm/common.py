@@ -18,12 +18,20 @@ NO_ID = -(2**63)
 
 #: Rows that a Python worker holds at once; texts are wide, so the default of 10,000 would be tens of MB in every copy.
 ROWS_AT_ONCE = 2000
+#: And bytes, where `hold_few_bytes` asks for it.
+BYTES_AT_ONCE = 8_000_000
 
 
 def hold_few_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
 
 
+def hold_few_bytes(spark: SparkSession) -> None:
+    """Batches of a few MB too, for long jobs: a batch lies in the JVM and in its worker, and both keep what they once had."""
+    hold_few_rows(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_AT_ONCE))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     hold_few_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

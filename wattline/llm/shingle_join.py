@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import NO_ID, discard, free_names, id_column, materialise, mix64, read_table, schema, text_column, utf8_parts
+from wattline.llm.common import NO_ID, discard, free_names, hold_few_bytes, id_column, materialise, mix64, read_table, schema, text_column, utf8_parts
 from wattline.llm.repeats import keyed
 
 #: Words of a shingle, and the similarity that links, in hundredths.
@@ -552,6 +552,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc, th, size, comp_doc, comp_th) for every document: its set's size and the first document it is connected with.
     doc is NO_ID for a null id, th the hash of the text."""
     spark, documents = docs.sparkSession, keyed(docs, doc_id, text)
+    hold_few_bytes(spark)
     surveyed = materialise(survey(documents, width), "survey")
     placed = surveyed.where("doc is not null").select("doc", "th", "size", "cls")
     classes = placed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc", "th")).alias("first"))
