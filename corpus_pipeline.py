@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wattline.llm.bpe_lexicon import encode_figures, prepare
-from wattline.llm.common import free_names, hold_few_rows, materialise, read_table
+from wattline.llm.common import free_names, hold_few_bytes, materialise, read_table
 from wattline.llm.line_rules import clean_documents
 from wattline.llm.mixing import mix
 from wattline.llm.pii_spans import redact_documents
@@ -18,28 +18,28 @@ NEAR_WORDS, NEAR_SIMILAR = 5, 80
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; failing lines of the others go. Null and empty texts have no words and go; repeated rows are judged
     alike; an empty table stays empty; other columns are kept, whatever their names."""
-    hold_few_rows(spark)
+    hold_few_bytes(spark)
     return clean_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each connected group stays, one of rows that repeat id and text. Null and empty texts are groups of
     their own; a null id comes first; an empty table stays empty; other columns are kept, whatever their names."""
-    hold_few_rows(spark)
+    hold_few_bytes(spark)
     return keep_first(docs, width=NEAR_WORDS, similar=NEAR_SIMILAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes the name of its kind. A null text stays null; repeated rows change alike; an empty table stays empty;
     other columns are kept, whatever their names."""
-    hold_few_rows(spark)
+    hold_few_bytes(spark)
     return redact_documents(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose token shares follow the target weights. Null sources and languages are categories; repeated rows stay or go
     together; an empty table stays empty; other columns are kept, whatever their names."""
-    hold_few_rows(spark)
+    hold_few_bytes(spark)
     (into,) = free_names(docs, "mixed")
     return mix(docs, into=into).select(*docs.columns)
 
@@ -47,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with the digests of ids and decoded text. A null text is encoded as the empty one; repeated rows
     stay; an empty table stays empty."""
-    hold_few_rows(spark)
+    hold_few_bytes(spark)
     encoded = encode_figures(prepare(docs), "text", with_ids=True)
     return docs.select("doc_id", "source", "lang", encoded.alias("e")).select("doc_id", "source", "lang", "e.*")
 
