@@ -126,3 +126,23 @@ def test_hostile_texts_take_a_second():
 def test_a_dot_between_spaces_counts_after_a_disguised_sign_only():
     assert find_spans("name [@] host . tld now")[1]["email"] == [(0, 19)]
     assert find_spans("bob@host.org . Then more")[1]["email"] == []
+
+
+def test_prose_with_at_and_dots_is_no_address():
+    hosts = ("github.com/foo", "example.com", "noon dot com", "5.99 dollars", "station.then we go")
+    verbs = ("we met", "Look", "it was sold", "They arrive", "He works", "the shop is open", "prices start", "See us", "both teams stayed", "I am back")
+    for verb in verbs:
+        for host in hosts:
+            assert find_spans(f"{verb} at {host} again")[1]["email"] == [], (verb, host)
+    for text in ("3 apples @ 1.50 each", "the ratio at 2.5 held", "x at y.z", "version at v1.2beta", "lunch @ noon. Then"):
+        assert find_spans(text)[1]["email"] == [], text
+
+
+def test_disguised_addresses_are_found():
+    names = ("john", "jane.doe", "m_smith", "info2024", "kontakt", "a-b", "Peter", "sales.team", "x9", "maria")
+    shapes = ("{} at example.com", "{} at example dot org", "{} (at) mail.example.net", "{} [at] example [dot] co [dot] uk", "{} @ example.de")
+    for name in names:
+        for shape in shapes:
+            text = "Write to " + shape.format(name) + ", please"
+            (start, end), *more = find_spans(text)[1]["email"]
+            assert not more and text[start:end] == shape.format(name), text

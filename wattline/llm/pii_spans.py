@@ -175,6 +175,23 @@ _SIGNS = re.compile(
     rf"|(?P<spot>(?<=[A-Za-z0-9])[\s_-]++(?:{_DOT})[\s_-]++(?=[A-Za-z0-9]))|(?P<gap>(?<=[A-Za-z0-9])[^\S\n]++\.[^\S\n]++(?=[A-Za-z0-9]))",
     re.IGNORECASE,
 )
+#: A host after a plain `at` must end in one of these, unless its dots are spelled.
+TOP_LEVEL = frozenset(
+    "com org net edu gov mil int info biz name io co ai app dev cloud online shop site blog tv me eu us uk ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg dk se no fi is ee lv lt ru ua tr il in cn jp kr "
+    "tw hk sg br mx ar cl za example test invalid local".split()
+)
+#: Words that stand before `at` in prose; a local part is none of them.
+PROSE = frozenset(
+    "a about active added after aim aimed all also am and appear appeared appears are around arrive arrived arrives as attend available back based be began begin best better been being browse but buy buying bought call can "
+    "check checked click close closed come comes cost costs down eat else end ended ends even everyone expert find fine first for found free glance go goes going good great he held her here hers him his "
+    "host hosted hosts hint i in information is it its join joined just land landed last later laugh learn list listed live lived lives located look looked looking looks many me meet meeting meets met more most much "
+    "my new no not now of off officer on one only open opened opens or order ordered our out over page pages point pointed post posted price priced prices published put reach read ready register registered "
+    "released run running runs sale sat save saw see seen sees sell selling sells served serving she shop shopping shout sign sit sits smile so sold stand stands stare start started starts stay stayed "
+    "stays still stood stop stopped store study studied that the them then there they things this time to today together too trade traded try up us valued via visit visited wait waited was we well went "
+    "were what when where who with work worked working works write you your".split()
+)
+_HOST_AFTER = re.compile(rf"{_LABEL}(?:\.{_LABEL}){{0,10}}+")
+_LOCAL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _BRACKETED = re.compile(r"[\[({<]\s*+(?:at|@|\.|dot|p[ou]|arr?ob)", re.IGNORECASE)
 _SPACED_AT = re.compile(rf"[\s_-]{_PLAIN}", re.IGNORECASE)
 _SPACED_DOT = re.compile(rf"[\s_-](?:{_DOT})[\s_-]", re.IGNORECASE)
@@ -187,6 +204,23 @@ def fold(a: Aligned) -> Aligned:
     return a.rewrite(edits) if edits else a
 
 
+def means_address(text: str, sign: re.Match) -> bool:
+    """Whether a plain `at` joins an address, and no place to a verb: what stands before it is no word of prose, and the host ends in
+    a top-level domain or has its dots spelled too."""
+    word = sign.group().strip(" \t\r\n\f\v_-").casefold()
+    if word in ("arobase", "arroba"):
+        return True
+    host = _HOST_AFTER.match(text, sign.end())
+    if not host:
+        return False
+    if word == "at":
+        local = _LOCAL_BEFORE.search(text[max(0, sign.start() - 64) : sign.start()])
+        if local and local.group().strip("._%+-").casefold() in PROSE:
+            return False
+    _, dot, last = host.group().rpartition(".")
+    return last.casefold() in TOP_LEVEL if dot else True
+
+
 def may_be_spelled(text: str) -> bool:
     """Whether MIN_SPELLED spelled digits have only numerals and dot words between them, as every run of _RUN that counts."""
     words = _WORDS.findall(text.casefold())
@@ -220,7 +254,7 @@ def signs(a: Aligned) -> Aligned:
     low = a.text
     if not may_have_signs(low):
         return a
-    found = list(_SIGNS.finditer(low))
+    found = [m for m in _SIGNS.finditer(low) if not m["plain"] or means_address(low, m)]
     edits = []
     for k, m in enumerate(found):
         # a dot between spaces counts only after a disguised at sign on its line
