@@ -21,8 +21,8 @@ ORACLES: dict[str, str] = {}
 
 #: Readings of the events table lie hours apart; so many of its seconds are one of the live learner's, about 3 between readings.
 PACE = 9000.0
-#: So many series are one site; its phases are the series' numbers modulo three.
-SERIES = 12
+#: So many series are one site, one behind the other in time, SHIFT seconds apart; its phases are the series' numbers modulo three.
+SERIES, SHIFT = 30, 600.0
 #: A label is locked to a phase that holds so many percent of its patterns.
 LOCKED = 50
 
@@ -43,13 +43,14 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared cycles with a site; scores of shape and time are 0 until a pattern is there to compare with."""
-    placed = live(spark, sf_dir).withColumns({"site": F.floor(F.col("user_id") / SERIES), "phase": F.concat(F.lit("L"), (F.col("user_id") % 3 + 1).cast("string"))})
+    shift = SHIFT * (F.col("user_id") % SERIES)
+    placed = live(spark, sf_dir).withColumns({"start_s": F.col("start_s") + shift, "end_s": F.col("end_s") + shift, "site": F.floor(F.col("user_id") / SERIES), "phase": F.concat(F.lit("L"), (F.col("user_id") % 3 + 1).cast("string"))})
     return R.prepared(placed).withColumns({"shape_score": F.lit(0.0), "temporal_score": F.lit(0.0), **{c: F.col(c).cast("int") for c in ("heating", "motor")}})
 
 
-#: The table is a month long and lasts 288 s at that pace, and its powers are drawn independently of each other, so that no two
-#: cycles are as alike as two runs of an appliance: the cooldown is cut and the similarities asked for are lowered with it.
-RULES = Q.LearningRules(cooldown_s=1.0, update=0.80, merge=0.72, same_label=0.66)
+#: The table's month lasts 288 s at that pace, so the cooldown is cut; its powers are drawn independently of each other, so that no two
+#: cycles are as alike as two runs of an appliance, and the similarities asked for are lowered.
+RULES = Q.LearningRules(cooldown_s=5.0, update=0.80, merge=0.72, same_label=0.60)
 
 
 def learned(rows: DataFrame) -> DataFrame:
