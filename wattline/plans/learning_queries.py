@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wattline.functions import scalars as S
 from wattline.operators import fusion as U
 from wattline.operators import live as W
+from wattline.operators import maintenance as M
 from wattline.operators import matching as J
 from wattline.operators import preparing as R
 from wattline.operators import profiles as A
@@ -160,3 +161,11 @@ def c12(spark, sf_dir):
         "phase": F.col("phase"), "locked_of": lambda label: F.try_element_at("locks", label),
     }
     return rows.select("user_id", "phase", *r6("start_s"), U.fused(c, F.lit("unknown")).alias("f")).select("user_id", "phase", "start_s", "f.label", "f.source", "f.reason", F.round("f.confidence", 6).alias("confidence"))
+
+
+@query("c18_nightly_merge")
+def c18(spark, sf_dir):
+    """The learned patterns of each site after a nightly pass over close pairs."""
+    patterns = written(Q.stored_patterns(learned(ready(spark, sf_dir))), "patterns")
+    numbered = patterns.withColumn("number", F.substring("phase", 2, 1).cast("long") * 1_000_000 + F.col("id"))
+    return M.nightly_merge(numbered).select("site", "number", "seen", "merged", "name", *r6("avg_w", "peak_w", "duration_s", "energy_wh", "quality"))
