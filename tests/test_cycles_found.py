@@ -15,7 +15,7 @@ ORACLES = {**series_queries.ORACLES, **learning_queries.ORACLES, **pattern_queri
 VERDICTS = {
     "p29_training_filter": ("fault",), "w16_synchronized_rise": ("synchronized",), "w19_cycles": ("start_reason", "cut_start", "cut_end"), "c13_prepared_cycles": ("tier", "unstable", "device"),
     "c15_learned_in_order": ("action", "reason"), "c16_learned_patterns": ("status", "seen"), "j12_provisional_match": ("action",), "a24_learning_events": ("action", "reason"), "r21_dedup_match": ("action",),
-    "c08_decision": ("label", "source"), "c12_label_suggestion": ("label", "source", "reason"), "c10_hybrid_vote": ("label",),
+    "c08_decision": ("label", "source"), "c12_label_suggestion": ("label", "source", "reason"), "c10_hybrid_vote": ("label",), "c18_nightly_merge": ("merged",), "c23_replayed_cycles": ("replay",),
 }
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattline.operators.live import LiveRules, built_cycles, live_cycles, segment
+from wattline.operators.replay import replay_rules, replayed_cycles
 from wattline.streaming.learner import stream_live_cycles
 
 RULES = LiveRules(silent_s=600.0, longest_s=900.0)
@@ -26,7 +27,7 @@ def trace(rnd, n=400, silence=0.01):
     return out
 
 
-def plain_learner(samples, rules=RULES):
+def plain_learner(samples, rules=RULES, primed=0.0):
     """The rules over a whole trace, with positions into it in place of buffers."""
     m, out = rules.machine, []
     series, part = [], []
@@ -37,7 +38,8 @@ def plain_learner(samples, rules=RULES):
         part.append(x)
     for part in [*series, part]:
         state, count, candidate, on, since, reason, tail = "idle", 0, None, None, None, "", []
-        base, known, cycle, buffered, last, fresh = 0.0, [], None, [], None, 0
+        base, known, cycle, buffered, last, fresh = primed, [], None, [], None, 0
+        primed = 0.0
 
         def learn(t, v, near):
             nonlocal base, known
@@ -47,7 +49,7 @@ def plain_learner(samples, rules=RULES):
             base = sum(k[1] for k in known) / len(known) if known else base
 
         for k, (t, p) in enumerate(part):
-            seen = [x[1] for x in part[max(fresh, k - 2) : k + 1]]
+            seen = [x[1] for x in part[max(fresh, k + 1 - rules.median) : k + 1]]
             v = sorted(seen)[1] if len(seen) == 3 else sum(seen) / len(seen)
             pending = cycle is not None and "end" in cycle
             if state == "idle" and not pending:
@@ -61,7 +63,7 @@ def plain_learner(samples, rules=RULES):
             calm = bool(tail) and sum(abs(x - mean) for x in tail) / len(tail) <= m.spread
             before, begun, done = state, False, False
             if state == "idle" and starts:
-                candidate, count, state = t, 1, "maybe on"
+                candidate, count, state, begun = t, 1, "maybe on", m.debounce <= 1
                 reason = "derivative_spike" if signs[1] else "step_jump" if signs[2] else "inrush_ratio" if signs[3] else "delta_threshold"
             elif state == "maybe on" and starts:
                 count += 1
@@ -200,3 +202,33 @@ def test_clashing_names_nulls_and_empty(spark):
     odd = rows.unionByName(rows.limit(1).withColumn("value", F.lit(None).cast("double"))).unionByName(rows.limit(1).withColumn("ts", F.lit(None).cast("timestamp")))
     assert want == 1 == live_cycles(odd, RULES).count()
     assert live_cycles(rows.where("false"), RULES).collect() == []
+
+
+def test_replay_tries_each_series_until_it_gives_something(spark, traces):
+    rules = replay_rules(RULES)
+    start = 1_700_000_000.0
+    series = {u: traces[u] for u in (0, 1, 20, 21)}
+    # all that happens lies in the readings that prime; only edges; too few readings for any pass
+    series[30] = [(start + 2 * k, 400.0 if 15 <= k < 30 else 5.0) for k in range(60)]
+    series[31] = [(start + 40 * k, p) for k, p in enumerate([5.0, 6.0, 5.0, 80.0, 90.0, 85.0, 5.0, 4.0, 6.0, 5.0])]
+    series[32] = [(start + k, 300.0 * (k == 2)) for k in range(5)]
+
+    def counts(c):
+        p = [x[1] for x in c["inside"]]
+        return len(p) >= 4 and 5 <= c["end"] - c["start"] <= rules.longest_s and sum(x > c["base"] + 10.5 for x in p) >= 2
+
+    want = {}
+    for u, samples in series.items():
+        seed = sorted(p for _, p in samples[:60])
+        first = [c for c in plain_learner(samples[60:], rules, seed[len(seed) // 2]) if counts(c)] if len(samples) > 60 else []
+        second = [c for c in plain_learner(samples, rules) if counts(c)] if not first and len(samples) > 20 else []
+        for number, found in ((1, first), (2, second)):
+            want |= {(u, c["start"]): (number, c["end"], len(c["inside"])) for c in found}
+    df = frame(spark, table(series))
+    rows = replayed_cycles(df, RULES).collect()
+    got = {(r.user_id, r.start_s): (r.replay, r.end_s, r.n) for r in rows}
+    edges = {k: v for k, v in got.items() if v[0] == 3}
+    assert {k: v for k, v in got.items() if v[0] < 3} == want and {v[0] for v in want.values()} == {1, 2}
+    assert [k for k in edges] == [(31, start + 120)] and edges[31, start + 120][2] >= 3
+    again = replayed_cycles(df, RULES).collect()
+    assert {(r.user_id, r.start_s): (r.replay, r.end_s, r.n) for r in again} == got

@@ -1,6 +1,6 @@
 """The live learner: a state machine over a series that follows its own idle baseline and cuts out whole cycles.
 
-`Live` is one series at one moment. A reading passes a median of three; while the machine is idle, readings near the baseline
+`Live` is one series at one moment. A reading passes a median of the last three; while the machine is idle, readings near the baseline
 move it (the mean of the last seconds); the machine decides when a cycle starts and ends; a ring of recent readings gives what
 came before a start, and what follows an end is gathered until the post-roll is over. A cycle that outlasts the failsafe is
 dropped and the machine starts anew. All that is kept between two readings is bounded, except for the readings of the cycle
@@ -45,6 +45,7 @@ class LiveRules:
     shortest_s: float = 5.0
     longest_s: float = 8 * 3600.0
     silent_s: float = 86_400.0
+    median: int = 3
 
 
 SAMPLES = "array<struct<t:double,p:double>>"
@@ -119,12 +120,12 @@ class Live:
             return out
         if last is not None and t - last > rules.silent_s:
             out = self.finish()
-        self.window = [*self.window, p][-3:]
+        self.window = [*self.window, p][-rules.median :]
         self.ring.append((t, p))
         kept = max(rules.ring_s, rules.pre_s + rules.baseline_s)
         while len(self.ring) > 1 and t - self.ring[0][0] > kept:
             del self.ring[0]
-        v = sorted(self.window)[1] if len(self.window) == 3 else sum(self.window) / len(self.window)
+        v = sorted(self.window)[len(self.window) // 2] if len(self.window) > 2 else sum(self.window) / len(self.window)
         before, (_, before_t, before_v, *_) = self.machine[0], self.machine
         if before == IDLE and self.end is None:
             self.learn(t, v)
@@ -192,9 +193,12 @@ class Live:
         return steps[len(steps) // 2] if steps else 0.0
 
 
-def segment(df: DataFrame, rules: LiveRules = LiveRules(), s: Series = EVENTS, seconds: Column | None = None) -> DataFrame:
-    """The raw cycles of every series: key and RAW. `seconds` stands for the time of a row in seconds, if that isn't `s.ts`."""
-    rows = df.select(*s.key, (s.seconds() if seconds is None else seconds).alias("t"), F.col(s.tie).alias("tie"), F.col(s.value).cast("double").alias("p")).where("t IS NOT NULL AND p IS NOT NULL")
+def segment(df: DataFrame, rules: LiveRules = LiveRules(), s: Series = EVENTS, seconds: Column | None = None, primed: Column | None = None) -> DataFrame:
+    """The raw cycles of every series: key and RAW. `seconds` stands for the time of a row in seconds, if that isn't `s.ts`;
+    `primed`, equal in all rows of a series, is the baseline that it begins with."""
+    base = F.lit(0.0) if primed is None else F.coalesce(primed.cast("double"), F.lit(0.0))
+    time = s.seconds() if seconds is None else seconds
+    rows = df.select(*s.key, time.alias("t"), F.col(s.tie).alias("tie"), F.col(s.value).cast("double").alias("p"), base.alias("base")).where("t IS NOT NULL AND p IS NOT NULL")
     names = [*s.key, *RAW_NAMES]
     out = T.StructType([*(rows.schema[k] for k in s.key), *T.StructType.fromDDL(RAW).fields])
 
@@ -203,10 +207,10 @@ def segment(df: DataFrame, rules: LiveRules = LiveRules(), s: Series = EVENTS, s
         for batch in batches:
             found = []
             # A key may hold nulls, which differ from themselves in pandas; their text does not.
-            for *own, t, _, p in zip(*(batch[c] for c in batch.columns), strict=True):
+            for *own, t, _, p, base in zip(*(batch[c] for c in batch.columns), strict=True):
                 if (mark := repr(own)) != key:
                     found += [({**c}, last) for c in live.finish()] if key is not None else []
-                    key, last, live = mark, own, Live(rules)
+                    key, last, live = mark, own, Live(rules, base=base)
                 found += [(c, own) for c in live.ingest(t, p)]
             yield as_frame(found, s.key, names)
         yield as_frame([(c, last) for c in live.finish()] if key is not None else [], s.key, names)
@@ -219,10 +223,10 @@ def as_frame(found: list[tuple[dict, list]], key: tuple[str, ...], names: list[s
     return pd.DataFrame([{**c, **{k: pairs(c[k]) for k in ("pre", "inside", "post")}, **dict(zip(key, own, strict=True))} for c, own in found], columns=names)
 
 
-def built_cycles(raw: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
+def built_cycles(raw: DataFrame, rules: LiveRules = LiveRules(), least_high: int = 2) -> DataFrame:
     """The raw cycles that count, with figures, flags, a waveform from pre-roll to post-roll and the profile of the cycle alone.
 
-    A cycle needs `least_samples`, a duration from `shortest_s` to `longest_s`, and two samples well above its baseline."""
+    A cycle needs `least_samples`, a duration from `shortest_s` to `longest_s`, and `least_high` samples well above its baseline."""
     at = lambda c: F.transform(c, lambda x: x["t"])
     power = F.transform("inside", lambda x: x["p"])
     steps = F.filter(F.transform("inside", lambda x, i: x["t"] - F.try_element_at("inside", F.greatest(i, F.lit(1)))["t"]), lambda d: d > 0)
@@ -231,7 +235,7 @@ def built_cycles(raw: DataFrame, rules: LiveRules = LiveRules()) -> DataFrame:
         "duration_s": F.col("end_s") - F.col("start_s"), "n": F.size("inside"), "step_s": F.when(F.size(steps) > 0, V.upper_median(steps)).otherwise(0.0),
         "n_high": F.size(F.filter(power, lambda p: p > sustained)),
     })
-    out = out.where((F.col("n") >= rules.least_samples) & F.col("duration_s").between(rules.shortest_s, rules.longest_s) & (F.col("n_high") >= 2))
+    out = out.where((F.col("n") >= rules.least_samples) & F.col("duration_s").between(rules.shortest_s, rules.longest_s) & (F.col("n_high") >= least_high))
     area = F.aggregate(
         F.transform("inside", lambda x, i: (x["p"] + F.try_element_at("inside", F.greatest(i, F.lit(1)))["p"]) / 2 * (x["t"] - F.try_element_at("inside", F.greatest(i, F.lit(1)))["t"])),
         F.lit(0.0), lambda a, e: a + F.greatest(e, F.lit(0.0)),

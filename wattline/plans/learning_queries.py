@@ -169,3 +169,12 @@ def c18(spark, sf_dir):
     patterns = written(Q.stored_patterns(learned(ready(spark, sf_dir))), "patterns")
     numbered = patterns.withColumn("number", F.substring("phase", 2, 1).cast("long") * 1_000_000 + F.col("id"))
     return M.nightly_merge(numbered).select("site", "number", "seen", "merged", "name", *r6("avg_w", "peak_w", "duration_s", "energy_wh", "quality"))
+
+
+@query("c23_replayed_cycles")
+def c23(spark, sf_dir):
+    """The cycles of a replay of all stored readings, at the live learner's pace, by the pass that found them."""
+    from wattline.operators.replay import replayed_cycles
+
+    paced = events(spark, sf_dir).withColumn("ts", F.timestamp_micros((EVENTS.seconds() / PACE * 1e6).cast("long")))
+    return replayed_cycles(paced).select("user_id", "replay", "n", "start_reason", "cut_start", "cut_end", *r6("start_s", "end_s", "avg_w", "peak_w", "energy_wh"))
