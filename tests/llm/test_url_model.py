@@ -50,3 +50,23 @@ def test_query(spark, sf_dir):
         host, path = plain_split(urls[r.page_id])
         rule = plain_rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule and rule[0]) and r.verdict in ("allow", "block")
+
+
+def test_rules_of_long_hosts_are_linear_and_right():
+    import time
+
+    from wattline.llm.url_model import compile_rules, match_rule
+
+    rules = (("com/", True), ("b.com/", False), ("a.b.com/x/", True), ("bb.com/", True))
+
+    def plain(host, path):
+        fits = [(r, allow) for r, allow in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        return max(fits, key=lambda x: len(x[0]), default=None)
+
+    by_host = compile_rules(rules)
+    for host in ("com", "b.com", "a.b.com", "x.a.b.com", "xa.b.com", "bb.com", "abb.com", ".com", "b..com", "", "net", "com.b", "a.a.a.a.a.b.com"):
+        for path in ("", "/", "/x/", "/x/y"):
+            assert match_rule(by_host, host, path) == plain(host, path), (host, path)
+    assert match_rule(compile_rules(()), "a.com", "/") is None
+    start = time.time()
+    assert match_rule(by_host, "a." * 500_000 + "b.com", "/")[0] == "b.com/" and time.time() - start < 1

@@ -108,9 +108,12 @@ def compile_rules(rules=RULES) -> dict[str, list[tuple[str, str, bool]]]:
 
 
 def match_rule(by_host: dict, host: str, path: str) -> tuple[str, bool] | None:
-    """The longest rule whose host is the url's or above it and whose path the url's starts with."""
-    best, labels = None, host.split(".")
-    for k in range(len(labels)):
+    """The longest rule whose host is the url's or above it and whose path the url's starts with. Tails of the host that are longer
+    than every rule's host are not looked at, so a long host costs no more than its end."""
+    longest = max(map(len, by_host), default=0)
+    cut = len(host) > longest
+    best, labels = None, host[-longest - 1 :].split(".") if cut else host.split(".")
+    for k in range(int(cut), len(labels)):
         for prefix, rule, allow in by_host.get(".".join(labels[k:]), ()):
             if path.startswith(prefix) and (best is None or len(rule) > len(best[0])):
                 best = (rule, allow)
