@@ -219,3 +219,46 @@ def c05(spark, sf_dir):
     score = S.clamp(0.48 * V.euclidean(F.col("curve"), F.col("p_curve")) + 0.42 * V.dtw(F.col("curve"), F.col("p_curve")) + 0.10 * (1 - apart))
     scored = both.select("user_id", "cycle", "name", F.round(score, 6).alias("score"))
     return scored.groupBy("user_id", "cycle").agg(F.max_by("name", F.struct("score", "name")).alias("label"), F.max("score").alias("score"))
+
+
+#: Readings of a day as one JSON list of mixed form: numbers, objects, texts with a decimal comma, nulls and lists.
+_TEXT = """CASE event_id % 5 WHEN 0 THEN CAST(v AS {text}) WHEN 1 THEN '{{"t_s": ' || CAST(k AS {text}) || ', "power_w": ' || CAST(v - 20 AS {text}) || ', "t_norm": ' || CAST(CAST(k AS DOUBLE) / 64 AS {text}) || '}}'
+WHEN 2 THEN '{{"watts": "' || replace(CAST(v AS {text}), '.', ',') || '"}}' WHEN 3 THEN 'null' ELSE '{{"power_w": "none", "p": 3}}' END"""
+_ELEMENT = "json_type(x) NOT IN ('OBJECT', 'ARRAY', 'NULL')"
+_FLOAT = "coalesce(TRY_CAST(replace(trim(json_extract_string({0}, '$')), ',', '.') AS DOUBLE), 0.0)"
+
+
+def mixed_points(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).withColumn("v", F.round("value", 2))
+    parts = rows.select("user_id", "k", F.expr(_TEXT.format(text="STRING")).alias("part"))
+    ordered = parts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "part"))).alias("parts"))
+    return ordered.select("user_id", F.concat(F.lit("["), F.array_join(F.transform("parts", lambda x: x["part"]), ", "), F.lit("]")).alias("text"))
+
+
+MIXED = f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, round(value, 2) AS v FROM events),
+t AS (SELECT user_id, '[' || string_agg({_TEXT.format(text="VARCHAR")}, ', ' ORDER BY k) || ']' AS text FROM k GROUP BY user_id),
+e AS (SELECT user_id, CAST(CAST(text AS JSON) AS JSON[]) AS e FROM t)"""
+
+
+@query("r09_mixed_values", f"""{MIXED}, n AS (SELECT user_id, list_filter(list_transform(e, lambda x: CASE WHEN {_ELEMENT} THEN greatest({_FLOAT.format("x")}, 0.0)
+WHEN json_type(x) = 'OBJECT' AND json_exists(x, '$.power_w') THEN greatest({_FLOAT.format("json_extract(x, '$.power_w')")}, 0.0)
+WHEN json_type(x) = 'OBJECT' AND json_exists(x, '$.watts') THEN greatest({_FLOAT.format("json_extract(x, '$.watts')")}, 0.0) END), lambda y: y IS NOT NULL) AS v FROM e)
+SELECT user_id, CAST(len(v) AS INTEGER) AS n_values, round(coalesce(list_sum(v), 0), 4) AS total, round(coalesce(list_max(v), 0), 4) AS most FROM n""")
+def r09(spark, sf_dir):
+    from wattline.functions.points import point_values
+
+    rows = mixed_points(spark, sf_dir).withColumn("v", point_values(F.col("text")))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("user_id", F.size("v").alias("n_values"), F.round(total, 4).alias("total"), F.round(F.coalesce(F.array_max("v"), F.lit(0.0)), 4).alias("most"))
+
+
+@query("r07_profile_points", f"""{MIXED}, o AS (SELECT user_id, list_transform(list_filter(e, lambda x: json_type(x) = 'OBJECT' AND (NOT json_exists(x, '$.power_w') OR TRY_CAST(json_extract_string(x, '$.power_w') AS DOUBLE) IS NOT NULL)),
+lambda x: {{'t': coalesce(TRY_CAST(json_extract_string(x, '$.t_s') AS DOUBLE), 0.0), 'p': round(coalesce(TRY_CAST(json_extract_string(x, '$.power_w') AS DOUBLE), 0.0), 3), 'n': coalesce(TRY_CAST(json_extract_string(x, '$.t_norm') AS DOUBLE), 0.0)}})[1:128] AS a FROM e)
+SELECT user_id, CAST(len(a) AS INTEGER) AS n_points, round(coalesce(list_sum(list_transform(a, lambda x: x.t)), 0), 3) AS t_sum, round(coalesce(list_sum(list_transform(a, lambda x: x.p)), 0), 3) AS p_sum,
+round(coalesce(list_sum(list_transform(a, lambda x: round(least(greatest(x.n, 0.0), 1.0), 6))), 0), 5) AS n_sum FROM o""")
+def r07(spark, sf_dir):
+    from wattline.functions.points import profile_points
+
+    rows = mixed_points(spark, sf_dir).withColumn("a", profile_points(F.col("text")))
+    total = lambda c: F.aggregate(F.transform("a", lambda x: x[c]), F.lit(0.0), lambda m, x: m + x)
+    return rows.select("user_id", F.size("a").alias("n_points"), F.round(total("t_s"), 3).alias("t_sum"), F.round(total("power_w"), 3).alias("p_sum"), F.round(total("t_norm"), 5).alias("n_sum"))
