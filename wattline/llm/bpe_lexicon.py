@@ -232,6 +232,8 @@ class Encoder:
 
     def pieces(self, text: str) -> tuple[int, ...]:
         """The ids of a word with its signs; words of letters that were seen without them are remembered."""
+        if text.isascii() and (text[1:] if text[0] == " " else text).isalpha():
+            return tuple(self.piece(text))
         parts = PIECES.findall(text)
         if len(parts) == 1:
             return tuple(self.piece(text))
