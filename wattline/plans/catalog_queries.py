@@ -262,3 +262,33 @@ def r07(spark, sf_dir):
     rows = mixed_points(spark, sf_dir).withColumn("a", profile_points(F.col("text")))
     total = lambda c: F.aggregate(F.transform("a", lambda x: x[c]), F.lit(0.0), lambda m, x: m + x)
     return rows.select("user_id", F.size("a").alias("n_points"), F.round(total("t_s"), 3).alias("t_sum"), F.round(total("power_w"), 3).alias("p_sum"), F.round(total("t_norm"), 5).alias("n_sum"))
+
+
+@query("p24_frequency_labels", f"""WITH {PAT} SELECT phase, label, CASE WHEN per_day >= 1.5 THEN CAST(CAST(round(per_day) AS BIGINT) AS VARCHAR) || 'x taeglich' WHEN per_day >= 0.5 THEN 'taeglich'
+WHEN per_day >= 0.2 THEN 'mehrmals pro Woche' WHEN per_day >= 0.05 THEN 'woechentlich' ELSE 'selten' END AS often, trim(replace(replace(lower(trim(label)), '_like', ''), '_', ' ')) || ':' || phase AS device_group FROM pat""")
+def p24(spark, sf_dir):
+    """How often each pattern is seen, in words, and the device group that it belongs to."""
+    from wattline.functions import scalars as S
+
+    return patterns(spark, sf_dir).select("phase", "label", S.frequency_label(F.col("per_day")).alias("often"), S.device_group(F.col("label"), F.col("phase")).alias("device_group"))
+
+
+@query("p37_guessed_devices", """SELECT event_id, CASE WHEN value BETWEEN 50 AND 200 THEN 'fridge' WHEN value BETWEEN 200 AND 500 THEN 'pump' WHEN value BETWEEN 500 AND 1500 THEN 'microwave'
+WHEN value BETWEEN 1500 AND 2500 THEN 'washing_machine' WHEN value > 2500 THEN 'heater' ELSE 'unknown' END AS device FROM events""")
+def p37(spark, sf_dir):
+    """A device for each reading by its power alone."""
+    from wattline.functions import scalars as S
+
+    return events(spark, sf_dir).select("event_id", S.guess_device(F.col("value")).alias("device"))
+
+
+@query("p28_overlapping_cycles", f"""WITH {CYC}, b AS (SELECT a.user_id, a.cycle, b.user_id AS other, b.cycle AS other_cycle FROM cyc a JOIN cyc b
+ON a.user_id + 3 = b.user_id AND greatest(a.start_s, b.start_s) <= least(a.end_s, b.end_s)) SELECT user_id, cycle, count(*) AS n_overlapping, min(other_cycle) AS first_cycle FROM b GROUP BY user_id, cycle""")
+def p28(spark, sf_dir):
+    """Cycles that share time with cycles of the next series of their phase."""
+    from wattline.functions import scalars as S
+
+    c = cycles(spark, sf_dir).select("user_id", "cycle", "start_s", "end_s")
+    other = c.select((F.col("user_id") - 3).alias("user_id"), F.col("cycle").alias("other_cycle"), F.col("start_s").alias("other_s"), F.col("end_s").alias("other_e"))
+    both = c.join(other, "user_id").where(S.overlaps(F.col("start_s"), F.col("end_s"), F.col("other_s"), F.col("other_e")))
+    return both.groupBy("user_id", "cycle").agg(F.count("*").alias("n_overlapping"), F.min("other_cycle").alias("first_cycle"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattline.operators import matching as J
 from wattline.operators import profiles as A
-from wattline.plans.cycle_tables import PROFILE, STAGED, profiled, shaped
+from wattline.plans.cycle_tables import PROFILE, STAGED, profiled, shaped, staged
+from wattline.plans.pattern_queries import SUM, summary_columns
 from wattline.plans.series_queries import r6
 
 QUERIES: dict = {}
@@ -68,3 +68,17 @@ def r18(spark, sf_dir):
     return both.select(F.col("a.phase").alias("phase"), F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"), F.round(A.pattern_distance(a, b), 6).alias("distance"), A.one_cluster(a, b).alias("one_cluster"))
 
 
+
+
+@query("p30_learning_quality", f"""{SUM}, d AS (SELECT user_id, cycle, baseline_quality AS bq, delta_wh AS dwh FROM ({DELTA}) x),
+q AS (SELECT u.*, bq, dwh, 1.0 - CASE WHEN avg_w < 30 THEN 0.22 ELSE 0 END - CASE WHEN duration_s < 8 THEN 0.25 ELSE 0 END - CASE WHEN peak_to_avg > 6 THEN 0.18 ELSE 0 END - CASE WHEN duration_s > 600 AND (duty < 0.02 OR duty > 0.98) THEN 0.12 ELSE 0 END
+- CASE WHEN n_substates > 10 THEN 0.10 ELSE 0 END - CASE WHEN n < 6 THEN 0.08 ELSE 0 END - CASE WHEN dwh < 0.002 THEN 0.20 ELSE 0 END - CASE WHEN pre_s <= 0 THEN 0.18 ELSE 0 END - CASE WHEN post_s <= 0 THEN 0.18 ELSE 0 END
+- CASE WHEN bq < 0.22 THEN 0.30 WHEN bq < 0.45 THEN 0.14 ELSE 0 END AS quality FROM u JOIN d ON u.user_id = d.user_id AND u.cycle = d.cycle)
+SELECT user_id, cycle, round(least(greatest(quality, 0), 1), 6) AS quality, CASE WHEN duration_s < 20 OR n < 4 THEN 'blocked' WHEN seg >= 0.70 AND completeness >= 0.45 THEN 'stable' WHEN completeness >= 0.10 THEN 'provisional' ELSE 'blocked' END AS tier FROM q""")
+def p30(spark, sf_dir):
+    """How good each cycle is to learn from, and on which tier."""
+    from wattline.functions import scalars as S
+
+    rows = A.with_baseline_delta(staged(spark, sf_dir)).withColumns({"bq": F.round("baseline_quality", 6), "dwh": F.round("delta_wh", 6)})
+    c = {**summary_columns(), "peak_to_avg": F.col("peak_to_avg"), "duty": F.col("duty"), "baseline_quality": F.col("bq"), "delta_energy": F.col("dwh")}
+    return rows.select("user_id", "cycle", F.round(S.learning_quality(c), 6).alias("quality"), S.learning_tier(c["dur"], c["points"], c["seg"], c["completeness"]).alias("tier"))
