@@ -71,7 +71,7 @@ def r18(spark, sf_dir):
 
 
 @query("p30_learning_quality", f"""{SUM}, d AS (SELECT user_id, cycle, baseline_quality AS bq, delta_wh AS dwh FROM ({DELTA}) x),
-q AS (SELECT u.*, bq, dwh, 1.0 - CASE WHEN avg_w < 30 THEN 0.22 ELSE 0 END - CASE WHEN duration_s < 8 THEN 0.25 ELSE 0 END - CASE WHEN peak_to_avg > 6 THEN 0.18 ELSE 0 END - CASE WHEN duration_s > 600 AND (duty < 0.02 OR duty > 0.98) THEN 0.12 ELSE 0 END
+q AS (SELECT u.*, bq, dwh, CAST(1.0 AS DOUBLE) - CASE WHEN avg_w < 30 THEN 0.22 ELSE 0 END - CASE WHEN duration_s < 8 THEN 0.25 ELSE 0 END - CASE WHEN peak_to_avg > 6 THEN 0.18 ELSE 0 END - CASE WHEN duration_s > 600 AND (duty < 0.02 OR duty > 0.98) THEN 0.12 ELSE 0 END
 - CASE WHEN n_substates > 10 THEN 0.10 ELSE 0 END - CASE WHEN n < 6 THEN 0.08 ELSE 0 END - CASE WHEN dwh < 0.002 THEN 0.20 ELSE 0 END - CASE WHEN pre_s <= 0 THEN 0.18 ELSE 0 END - CASE WHEN post_s <= 0 THEN 0.18 ELSE 0 END
 - CASE WHEN bq < 0.22 THEN 0.30 WHEN bq < 0.45 THEN 0.14 ELSE 0 END AS quality FROM u JOIN d ON u.user_id = d.user_id AND u.cycle = d.cycle)
 SELECT user_id, cycle, round(least(greatest(quality, 0), 1), 6) AS quality, CASE WHEN duration_s < 20 OR n < 4 THEN 'blocked' WHEN seg >= 0.70 AND completeness >= 0.45 THEN 'stable' WHEN completeness >= 0.10 THEN 'provisional' ELSE 'blocked' END AS tier FROM q""")
