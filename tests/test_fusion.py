@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wattline.functions import curves as V
 from wattline.operators.fusion import FULL_CYCLE, best_shape, final_decision, fused, hybrid_vote, matched, temporal_support
 
 PAIR = "array<struct<id:bigint,label:string,seen:bigint,distance:double,shape:double,match:double,vote:double,typical_s:double,hours_off:double>>"
@@ -201,3 +202,25 @@ def test_locked_patterns_are_left_out(spark):
     assert [p.label for p in got[7]] == ["pump"] and [p.label for p in got[8]] == ["tv"] and got[9] is None
     # all alike: no distance but for the unknown place of the peak, the full shape
     assert got[7][0].distance == pytest.approx(0.02) and got[7][0].shape == pytest.approx(1.0) and got[7][0].match == pytest.approx(1.0)
+
+
+def test_scores_of_many_curves_are_those_of_one_pair(spark):
+    rnd = random.Random(11)
+    curve = lambda n: [rnd.choice([0.0, rnd.uniform(0, 900)]) for _ in range(n)]
+    rows = [(k, rnd.choice([None, curve(16), curve(16), curve(16), [0.0] * 16, curve(5)]), rnd.choice([None, [], *[[rnd.choice([None, curve(16), curve(16), [0.0] * 16, curve(5)]) for _ in range(rnd.randrange(1, 9))]] * 5])) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, a array<double>, b array<array<double>>").repartition(3)
+    assert {r.id: None if r.s is None else len(r.s) for r in df.select("id", V.curve_scores(F.col("a"), F.col("b")).alias("s")).collect()} == {k: None if b is None else len(b) for k, _, b in rows}
+    pairs = df.withColumn("s", V.curve_scores(F.col("a"), F.col("b"))).select("a", F.explode(F.arrays_zip("b", "s")).alias("x")).select("a", "x.b", "x.s")
+    a, b = F.col("a"), F.col("b")
+    one = F.struct(V.cosine(a, b).alias("cosine"), V.euclidean(a, b).alias("euclid"), V.dtw(a, b).alias("dtw"), V.shape_distance(a, b).alias("apart"))
+    found = pairs.select(F.when(F.size("a") == F.size("b"), one).alias("want"), "s", (F.col("a").isNotNull() & F.col("b").isNotNull() & (F.size("a") == F.size("b"))).alias("both")).collect()
+    assert {r.both for r in found} == {True, False}
+    for r in found:
+        assert r.s == r.want if r.both else r.s is None
+
+
+def test_a_filter_on_the_vote_does_not_pair_anew(spark, sf_dir):
+    from wattline.plans.learning_queries import QUERIES
+
+    plan = QUERIES["c10_hybrid_vote"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "Filter" in plan

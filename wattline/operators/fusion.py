@@ -41,18 +41,21 @@ def matched(cycles: DataFrame, patterns: DataFrame, locks: DataFrame | None, ide
         named = named.withColumn("locked_phase", F.lit(None).cast("string"))
     fields = ("id", "group", "seen", "quality", "hour", "locked_phase", *COMPARED)
     held = named.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__held"))
-    out = cycles.join(held, list(key), "left")
+    # Pairs cost time and few bytes, so the number of parts is set and not left to their size.
+    parts = int(cycles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = cycles.repartition(parts, *key).join(held, list(key), "left")
     free = F.filter("__held", lambda p: p["locked_phase"].isNull() | (p["locked_phase"] == F.col("phase")))
     out = out.withColumn("__held", F.when(F.size(free) > 0, free).otherwise(F.col("__held")))
     own = {c: F.col(c) for c in COMPARED} | {"phases": F.lit(1.0), "peak_at": F.lit(None).cast("double")}
 
-    def pair(p: Column) -> Column:
+    out = out.withColumn("__scores", V.curve_scores(F.col("curve"), F.transform("__held", lambda p: p["curve"])))
+
+    def pair(p: Column, of: Column) -> Column:
         one = {c: p[c] for c in COMPARED} | {"phases": F.lit(1.0), "peak_at": F.lit(None).cast("double")}
-        both = F.col("curve").isNotNull() & p["curve"].isNotNull()
         apart = F.least(S.rel(p["duration_s"], F.col("duration_s")) + S.rel(p["avg_w"], F.col("avg_w")), F.lit(1.0))
         return F.struct(
-            p["id"].alias("id"), p["group"].alias("label"), p["seen"].alias("seen"), pattern_distance(one, own).alias("distance"), p["quality"].alias("quality"),
-            F.when(both, V.cosine(F.col("curve"), p["curve"])).alias("cosine"), F.when(both, V.euclidean(F.col("curve"), p["curve"])).alias("euclid"), F.when(both, V.dtw(F.col("curve"), p["curve"])).alias("dtw"),
+            p["id"].alias("id"), p["group"].alias("label"), p["seen"].alias("seen"), pattern_distance(one, own, of["apart"]).alias("distance"), p["quality"].alias("quality"),
+            *(of[c].alias(c) for c in ("cosine", "euclid", "dtw")),
             apart.alias("apart"), p["duration_s"].alias("typical_s"), S.circular_hours(hour_of(F.col("end_s")), p["hour"]).alias("hours_off"), S.rel(p["duration_s"], F.col("duration_s")).alias("lengths"),
             S.rel(p["peak_to_avg"], F.col("peak_to_avg")).alias("spikes"),
         )
@@ -67,7 +70,7 @@ def matched(cycles: DataFrame, patterns: DataFrame, locks: DataFrame | None, ide
             (vote * weigh(x["hours_off"] / 12) * weigh(x["lengths"]) * weigh(x["spikes"])).alias("vote"), x["typical_s"].alias("typical_s"), x["hours_off"].alias("hours_off"),
         )
 
-    return out.withColumn("__pairs", F.transform("__held", pair)).withColumn("pairs", F.transform("__pairs", voted)).drop("__held", "__pairs")
+    return out.withColumn("__pairs", F.zip_with("__held", "__scores", pair)).withColumn("pairs", F.transform("__pairs", voted)).drop("__held", "__scores", "__pairs")
 
 
 def hybrid_vote(pairs: Column, least: float = 0.60) -> Column:

@@ -134,10 +134,10 @@ def with_shape(df: DataFrame) -> DataFrame:
 Row = Mapping[str, Column]
 
 
-def pattern_distance(a: Row, b: Row) -> Column:
+def pattern_distance(a: Row, b: Row, shape: Column | None = None) -> Column:
     """Distance in [0, 1] of two rows by power, rates, steadiness, substates and curve. Both hold avg_w, peak_w, duration_s,
     energy_wh, rise_w, phases, rise_rate, fall_rate, duty, variance, peak_to_avg, n_substates, heating, motor, curve, peak_at;
-    a curve or peak that one of them lacks adds a constant."""
+    a curve or peak that one of them lacks adds a constant. shape: the curves' `shape_distance`, if it is known already."""
     rel = lambda c: S.rel(a[c].cast("double"), b[c].cast("double"))
     weights = (
         ("avg_w", 0.20), ("peak_w", 0.15), ("duration_s", 0.14), ("rise_w", 0.12), ("energy_wh", 0.03), ("phases", 0.02),
@@ -146,7 +146,7 @@ def pattern_distance(a: Row, b: Row) -> Column:
     out = sum((w * rel(c) for c, w in weights), F.lit(0.0))
     out = out + 0.06 * F.abs(a["duty"] - b["duty"]) + 0.05 * F.abs(a["n_substates"] - b["n_substates"]) / 5.0
     out = out + F.when(a["heating"] != b["heating"], 0.03).otherwise(0.0) + F.when(a["motor"] != b["motor"], 0.02).otherwise(0.0)
-    out = out + F.coalesce(0.12 * V.shape_distance(a["curve"], b["curve"]), F.lit(0.05)) + F.coalesce(0.05 * F.abs(a["peak_at"] - b["peak_at"]), F.lit(0.02))
+    out = out + F.coalesce(0.12 * (V.shape_distance(a["curve"], b["curve"]) if shape is None else shape), F.lit(0.05)) + F.coalesce(0.05 * F.abs(a["peak_at"] - b["peak_at"]), F.lit(0.02))
     return F.least(out, F.lit(1.0))
 
 

@@ -114,7 +114,7 @@ def r21(spark, sf_dir):
 
 
 def compared(cycles: DataFrame) -> DataFrame:
-    """Cycles with the patterns of their site and phase. A label is locked to the phase that half of its patterns lie on."""
+    """The vote and the staged decision of every cycle, by the patterns of its site and phase. A label is locked to the phase that half of its patterns lie on."""
     patterns = written(Q.stored_patterns(learned(cycles)), "patterns")
     shares = patterns.groupBy(S.normalize_label(F.col("name")).alias("label"), "phase").agg(F.count("*").alias("n"))
     whole = shares.groupBy("label").agg(F.max(F.struct("n", "phase")).alias("m"), F.sum("n").alias("all"))
@@ -122,7 +122,10 @@ def compared(cycles: DataFrame) -> DataFrame:
     rows = U.matched(cycles, patterns, locks, ("user_id", "start_s"))
     c = {**R.rule_inputs(), **{k: F.col(k) for k in ("seg", "completeness", "flat", "inrush", "nv", "multi", "tier")}, "motor": F.col("motor") == 1, "heating": F.col("heating") == 1}
     held = locks.agg(F.map_from_entries(F.collect_list(F.struct("label", "locked_phase"))))  # one map, an entry a label
-    return U.enriched(rows, c).withColumns({"vote": U.hybrid_vote(F.col("pairs")), "locks": held.scalar()})
+    out = U.enriched(rows, c).withColumns({"vote": U.hybrid_vote(F.col("pairs")), "paired": F.col("pairs").isNotNull()})
+    # Written, as a filter on the vote would else be computed from the pairs anew, once for each of its terms.
+    kept = written(out.select("user_id", "start_s", "phase", "seg", "tier", "paired", "vote", "staged"), "compared")
+    return kept.withColumn("locks", held.scalar())
 
 
 @query("c10_hybrid_vote")
@@ -157,7 +160,7 @@ def c12(spark, sf_dir):
     told = modelled(cycles).select("user_id", "start_s", S.normalize_label(F.col("predicted")).alias("ml_label"), F.col("probability").alias("ml_score"))
     rows = compared(cycles).join(told, ["user_id", "start_s"])
     c = {
-        "patterns": F.col("pairs").isNotNull(), "vote": F.col("vote"), "staged": F.col("staged"), "seg": F.col("seg"), "blocked": F.col("tier") == "blocked", "ml_label": F.col("ml_label"), "ml_score": F.col("ml_score"),
+        "patterns": F.col("paired"), "vote": F.col("vote"), "staged": F.col("staged"), "seg": F.col("seg"), "blocked": F.col("tier") == "blocked", "ml_label": F.col("ml_label"), "ml_score": F.col("ml_score"),
         "phase": F.col("phase"), "locked_of": lambda label: F.try_element_at("locks", label),
     }
     return rows.select("user_id", "phase", *r6("start_s"), U.fused(c, F.lit("unknown")).alias("f")).select("user_id", "phase", "start_s", "f.label", "f.source", "f.reason", F.round("f.confidence", 6).alias("confidence"))
