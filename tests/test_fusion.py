@@ -224,3 +224,21 @@ def test_a_filter_on_the_vote_does_not_pair_anew(spark, sf_dir):
 
     plan = QUERIES["c10_hybrid_vote"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan and "Filter" in plan
+
+
+def test_shape_match_is_the_best_of_all_pairs(spark):
+    from wattline.plans.catalog_queries import shape_match
+
+    rnd = random.Random(12)
+    rows = [(k, f"L{rnd.randrange(1, 3)}", rnd.choice(LABELS), rnd.choice([None, *[[rnd.uniform(0, 900) for _ in range(16)]] * 4]), rnd.uniform(1, 900), rnd.uniform(5, 500)) for k in range(60)]
+    rows.append((60, "L9", "tv", None, 5.0, 5.0))  # a phase without any curve
+    c = spark.createDataFrame(rows, "id int, phase string, label string, curve array<double>, duration_s double, avg_w double")
+    mean = F.when(F.count("curve") > 0, F.array(*(F.avg(F.get("curve", F.lit(i))) for i in range(16))))
+    p = c.groupBy("phase", F.col("label").alias("name")).agg(mean.alias("p"), F.avg("duration_s").alias("s"), F.avg("avg_w").alias("w"))
+    far = lambda a, b: F.abs(F.col(a) - F.col(b)) / F.greatest(F.col(a), F.col(b), F.lit(1.0))
+    score = 0.48 * V.euclidean(F.col("curve"), F.col("p")) + 0.42 * V.dtw(F.col("curve"), F.col("p")) + 0.10 * (1 - F.least(far("s", "duration_s") + far("w", "avg_w"), F.lit(1.0)))
+    pairs = c.join(p, "phase").where("curve IS NOT NULL AND p IS NOT NULL").select("id", "name", F.round(F.least(score, F.lit(1.0)), 6).alias("score"))
+    want = {}
+    for r in pairs.collect():
+        want[r.id] = max(want.get(r.id, (-1.0, "")), (r.score, r.name))
+    assert {r.id: (r.score, r.label) for r in shape_match(c).collect()} == want and 0 < len(want) < 60

@@ -174,15 +174,18 @@ def one_cluster(a: Row, b: Row) -> Column:
 MEANS = ("avg_w", "duration_s", "energy_wh", "rise_w", "rise_rate", "fall_rate", "duty", "variance", "peak_to_avg", "delta_avg_w", "settling_s", "peak_at")
 
 
+def mean_curve(length: int = 16) -> Column:
+    """The mean of the curves of a group, point by point; null where it has none."""
+    return F.when(F.count("curve") > 0, F.array(*(F.avg(F.get("curve", F.lit(i))) for i in range(length))))
+
+
 def shaped_patterns(cycles: DataFrame, key: tuple[str, ...] = ("phase", "label"), length: int = 16) -> DataFrame:
     """Patterns with the fields that the distances need; all of them are partial aggregates."""
-    curve = F.array(*(F.avg(F.get("curve", F.lit(i))) for i in range(length)))
-    out = cycles.groupBy(*key).agg(
+    return cycles.groupBy(*key).agg(
         F.count("*").alias("seen"), F.max("peak_w").alias("peak_w"), *(F.avg(c).alias(c) for c in MEANS), F.lit(1.0).alias("phases"),
         F.avg("n_substates").alias("n_substates"), F.avg("plateaus").alias("plateaus"), F.bool_or("heating").alias("heating"), F.bool_or("motor").alias("motor"),
-        F.count("curve").alias("__curves"), curve.alias("curve"),
+        mean_curve(length).alias("curve"),
     )
-    return out.withColumn("curve", F.when(F.col("__curves") > 0, F.col("curve"))).drop("__curves")
 
 
 def columns(name: str, df: DataFrame) -> Row:

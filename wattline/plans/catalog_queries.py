@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions import curves as V
 from wattline.functions import labels as L
+from wattline.functions import scalars as S
 from wattline.operators import catalog as C
 from wattline.operators import maintenance as M
 from wattline.operators import phases as E
@@ -208,17 +210,27 @@ def w39(spark, sf_dir):
 @query("c05_shape_match")
 def c05(spark, sf_dir):
     """The pattern of its phase whose curve fits each cycle best, by distance, warping, duration and power."""
-    from wattline.functions import curves as V
-    from wattline.functions import scalars as S
     from wattline.plans.cycle_tables import shaped
+    from wattline.sources.steps import written
+
+    c = written(shaped(spark, sf_dir).select("user_id", "cycle", "phase", "label", "curve", "duration_s", "avg_w"), "shaped")
+    return shape_match(c).select("user_id", "cycle", "label", "score")
+
+
+def shape_match(c: DataFrame) -> DataFrame:
+    """Cycles (phase, label, curve, duration_s, avg_w) that have a curve, with the label of the pattern that fits best and its score.
+
+    A phase has as many patterns as it has labels, so those of all phases travel to the cycles."""
+    p = c.groupBy("phase", F.col("label").alias("name")).agg(A.mean_curve().alias("curve"), F.avg("duration_s").alias("s"), F.avg("avg_w").alias("w")).where("curve IS NOT NULL")
+    held = p.groupBy("phase").agg(F.array_sort(F.collect_list(F.struct("name", "curve", "s", "w"))).alias("held"))
+    both = c.where("curve IS NOT NULL").join(F.broadcast(held), "phase").withColumn("scores", V.curve_scores(F.col("curve"), F.transform("held", lambda x: x["curve"])))
+
+    def fit(x: Column, of: Column) -> Column:
+        apart = F.least(S.rel(x["s"], F.col("duration_s")) + S.rel(x["w"], F.col("avg_w")), F.lit(1.0))
+        return F.struct(F.round(S.clamp(0.48 * of["euclid"] + 0.42 * of["dtw"] + 0.10 * (1 - apart)), 6).alias("score"), x["name"].alias("name"))
 
-    c = shaped(spark, sf_dir)
-    p = A.shaped_patterns(c).select("phase", F.col("label").alias("name"), F.col("curve").alias("p_curve"), F.col("duration_s").alias("p_s"), F.col("avg_w").alias("p_w"))
-    both = c.select("user_id", "cycle", "phase", "curve", "duration_s", "avg_w").join(p, "phase").where(F.col("curve").isNotNull() & F.col("p_curve").isNotNull())
-    apart = F.least(S.rel(F.col("p_s"), F.col("duration_s")) + S.rel(F.col("p_w"), F.col("avg_w")), F.lit(1.0))
-    score = S.clamp(0.48 * V.euclidean(F.col("curve"), F.col("p_curve")) + 0.42 * V.dtw(F.col("curve"), F.col("p_curve")) + 0.10 * (1 - apart))
-    scored = both.select("user_id", "cycle", "name", F.round(score, 6).alias("score"))
-    return scored.groupBy("user_id", "cycle").agg(F.max_by("name", F.struct("score", "name")).alias("label"), F.max("score").alias("score"))
+    best = both.withColumn("best", F.array_max(F.zip_with("held", "scores", fit)))
+    return best.withColumns({"label": F.col("best.name"), "score": F.col("best.score")}).drop("held", "scores", "best")
 
 
 #: Readings of a day as one JSON list of mixed form: numbers, objects, texts with a decimal comma, nulls and lists.
