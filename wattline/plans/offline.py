@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -61,15 +63,20 @@ class Clusters:
 def cluster(features: DataFrame, key: str = "user_id", most: float = 0.85, alpha: float = 0.22) -> DataFrame:
     """The features with pattern_no: events in order join the nearest compatible pattern of their series or begin one.
 
-    Order matters, so a series is one group. Its events come once, with the number added, so nothing upstream runs twice."""
+    Order matters, so the series of a partition come one after the other, their events in order; what is held is one series' patterns."""
 
-    def grouped(events: pd.DataFrame) -> pd.DataFrame:
-        events, known = events.sort_values(["start_s", "event_no"]), Clusters(most, alpha)
-        columns = zip(events.avg_w, events.duration_s, events.plateaus, events.profile, strict=True)
-        return events.assign(pattern_no=[known.add(w, s, n, np.asarray(curve, dtype=float)) for w, s, n, curve in columns])
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, known = None, Clusters(most, alpha)
+        for events in batches:
+            numbers = []
+            for own, w, s, n, curve in zip(events[key], events.avg_w, events.duration_s, events.plateaus, events.profile, strict=True):
+                if (mark := repr(own)) != series:
+                    series, known = mark, Clusters(most, alpha)
+                numbers.append(known.add(w, s, n, np.asarray(curve, dtype=float)))
+            yield events.assign(pattern_no=np.array(numbers, dtype=np.int64))
 
     schema = StructType([*features.schema.fields, StructField("pattern_no", LongType())])
-    return features.groupBy(key).applyInPandas(grouped, schema)
+    return features.repartition(key).sortWithinPartitions(key, "start_s", "event_no").mapInPandas(joined, schema)
 
 
 def run(readings: DataFrame, threshold: float = 25.0, least_s: float = 8.0, gap_s: float = 6.0, key: str = "user_id") -> tuple[DataFrame, DataFrame]:
