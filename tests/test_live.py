@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattline.operators.live import LiveRules, built_cycles, live_cycles, segment
 from wattline.operators.replay import replay_rules, replayed_cycles
+from wattline.plans.learning_queries import SAMPLES, ready, stored
 from wattline.streaming.learner import stream_live_cycles
 
 RULES = LiveRules(silent_s=600.0, longest_s=900.0)
@@ -232,3 +233,23 @@ def test_replay_tries_each_series_until_it_gives_something(spark, traces):
     assert [k for k in edges] == [(31, start + 120)] and edges[31, start + 120][2] >= 3
     again = replayed_cycles(df, RULES).collect()
     assert {(r.user_id, r.start_s): (r.replay, r.end_s, r.n) for r in again} == got
+
+
+def test_a_cycle_is_prepared_by_rules_that_are_computed_once(spark, sf_dir):
+    """Each copy of the rules in the plan is another evaluation for every cycle."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = ready(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("always_on_low_power") == 1
+    assert plan.count("washing_machine,") == 1  # the literal of the signatures
+    # One search for each end of a step of the curve.
+    assert next(line for line in plan.splitlines() if " AS curve#" in line).count("filter(") <= 3
+
+
+def test_written_cycles_hold_no_samples(spark, sf_dir):
+    rows, kept = ready(spark, sf_dir), stored(spark, sf_dir)
+    assert set(rows.columns) - set(kept.columns) == set(SAMPLES)
+    assert [f.name for f in kept.schema if "struct" in f.dataType.simpleString()] == []
+    assert kept.count() == rows.count() > 0

@@ -91,11 +91,12 @@ class Live:
     facts: dict = field(default_factory=dict)
 
     def learn(self, t: float, v: float) -> None:
-        if self.base <= 0 or v <= self.base + max(0.5 * self.rules.machine.delta_on, 15.0):
-            self.history = [*self.history, (t, v)][-self.rules.baseline_samples :]
-        self.history = [x for x in self.history if t - x[0] <= self.rules.baseline_s]
-        if self.history:
-            self.base = sum(v for _, v in self.history) / len(self.history)
+        rules, history = self.rules, self.history
+        if self.base <= 0 or v <= self.base + max(0.5 * rules.machine.delta_on, 15.0):
+            history = [*history, (t, v)][-rules.baseline_samples :]
+        self.history = history = [x for x in history if t - x[0] <= rules.baseline_s]
+        if history:
+            self.base = sum([v for _, v in history]) / len(history)
 
     def cycle(self) -> list[dict]:
         row = {**self.facts, "start_s": self.start, "end_s": self.end, "pre": self.pre, "inside": list(self.inside.all()), "post": self.post}
@@ -203,12 +204,12 @@ def segment(df: DataFrame, rules: LiveRules = LiveRules(), s: Series = EVENTS, s
     out = T.StructType([*(rows.schema[k] for k in s.key), *T.StructType.fromDDL(RAW).fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, live = None, Live(rules)
+        key, last, live = None, None, Live(rules)
         for batch in batches:
             found = []
             # A key may hold nulls, which differ from themselves in pandas; their text does not.
-            for *own, t, _, p, base in zip(*(batch[c] for c in batch.columns), strict=True):
-                if (mark := repr(own)) != key:
+            for *own, t, _, p, base in zip(*(batch[c].tolist() for c in batch.columns), strict=True):
+                if own != last and (mark := repr(own)) != key:
                     found += [({**c}, last) for c in live.finish()] if key is not None else []
                     key, last, live = mark, own, Live(rules, base=base)
                 found += [(c, own) for c in live.ingest(t, p)]
@@ -232,7 +233,7 @@ def built_cycles(raw: DataFrame, rules: LiveRules = LiveRules(), least_high: int
     steps = F.filter(F.transform("inside", lambda x, i: x["t"] - F.try_element_at("inside", F.greatest(i, F.lit(1)))["t"]), lambda d: d > 0)
     sustained = F.col("baseline_start_w") + max(rules.machine.delta_off, 0.35 * rules.machine.delta_on, 10.0)
     out = raw.withColumns({
-        "duration_s": F.col("end_s") - F.col("start_s"), "n": F.size("inside"), "step_s": F.when(F.size(steps) > 0, V.upper_median(steps)).otherwise(0.0),
+        "duration_s": F.col("end_s") - F.col("start_s"), "n": F.size("inside"), "step_s": F.coalesce(V.once(steps, V.upper_median), F.lit(0.0)),
         "n_high": F.size(F.filter(power, lambda p: p > sustained)),
     })
     out = out.where((F.col("n") >= rules.least_samples) & F.col("duration_s").between(rules.shortest_s, rules.longest_s) & (F.col("n_high") >= least_high))

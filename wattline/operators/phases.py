@@ -120,8 +120,12 @@ def device_subclass(label: Column, c: dict[str, Column]) -> Column:
 
 def span_seconds(times: Column, alone: Column) -> Column:
     """The span of samples with a mean step added; one sample lasts `alone`, none nothing."""
-    n = F.size(times)
-    return F.when(n == 0, 0.0).when(n == 1, F.greatest(alone, F.lit(0.0))).otherwise((F.element_at(times, -1) - F.element_at(times, 1)) * n / F.greatest(n - 1, F.lit(1)))
+
+    def span(a: Column) -> Column:
+        n = F.size(a)
+        return F.when(n == 0, 0.0).when(n == 1, F.greatest(alone, F.lit(0.0))).otherwise((F.element_at(a, -1) - F.element_at(a, 1)) * n / F.greatest(n - 1, F.lit(1)))
+
+    return V.once(times, span)
 
 
 def cut_off(before: Column, inside: Column, after: Column, step: Column, base: Column, on: float, off: float, pre_s: float, post_s: float) -> dict[str, Column]:

@@ -25,7 +25,7 @@ def curve_hash(curve: Column) -> Column:
 
 def device_type(c: dict[str, Column]) -> Column:
     """The suggestion chain: first-level rules, then the best signature, then peak and duration alone."""
-    known = lambda x: F.nullif(x, F.lit("unknown"))
+    known = lambda x: V.once(x, lambda v: F.nullif(v, F.lit("unknown")))
     return F.coalesce(known(K.first_level(c)), known(K.best_signature(c)["device"]), known(K.fallback_rules(c["peak"], c["dur"])), F.lit("unknown"))
 
 
@@ -62,5 +62,6 @@ def prepared(cycles: DataFrame, phase_mode: str = "single_phase") -> DataFrame:
         "device": device_type(c), "curve_hash": curve_hash(F.col("curve")),
     })
     seed = F.when(F.col("device") == "unknown", K.unknown_subclass(c)).otherwise(F.col("device"))
-    out = out.withColumn("label", L.learning_label(seed, {k: c[k] for k in ("avg", "dur", "inrush", "motor")}))
+    # A column of its own, as the label's rules name it many times.
+    out = out.withColumn("__seed", seed).withColumn("label", L.learning_label(F.col("__seed"), {k: c[k] for k in ("avg", "dur", "inrush", "motor")})).drop("__seed")
     return out.withColumns({"group_id": S.device_group(F.col("label"), F.col("phase")), "mode_key": S.mode_key(F.lit(phase_mode), F.col("n_substates"), F.col("duration_s"), F.col("duty"))})

@@ -45,7 +45,10 @@ def with_baseline_delta(df: DataFrame) -> DataFrame:
         return F.struct(x["t"].alias("t"), (x["p"] - F.col("before_w") - (F.col("after_w") - F.col("before_w")) * share).alias("p"))
 
     out = out.withColumn("__delta", F.transform("points", above))
-    out = out.withColumn("__over", F.transform("__delta", lambda x: F.greatest(x["p"], F.lit(0.0))))
+    out = out.withColumns({
+        "__over": F.transform("__delta", lambda x: F.greatest(x["p"], F.lit(0.0))),
+        "__rounded": F.transform("__delta", lambda x: F.struct(x["t"].alias("t"), F.round(x["p"], 3).alias("p"))),
+    })
     area = F.zip_with(
         F.slice("__delta", 2, F.greatest(n - 1, F.lit(1))), F.slice("__delta", 1, F.greatest(n - 1, F.lit(1))),
         lambda b, a: (F.greatest(a["p"], F.lit(0.0)) + F.greatest(b["p"], F.lit(0.0))) / 2 * (b["t"] - a["t"]),
@@ -53,21 +56,20 @@ def with_baseline_delta(df: DataFrame) -> DataFrame:
     cut = F.when(n >= 5, F.floor(n / 5).cast("int")).otherwise(0)
     out = out.withColumns({
         "delta_avg_w": F.col("avg_w") - F.col("before_w"),
-        "delta_peak_w": F.array_max(F.transform("__delta", lambda x: F.round(x["p"], 3))),
+        "delta_peak_w": F.array_max(F.transform("__rounded", lambda x: x["p"])),
         "delta_wh": F.aggregate(area, F.lit(0.0), lambda m, x: m + F.coalesce(x, F.lit(0.0))) / 3600.0,
         "steady_w": F.greatest(V.median(F.slice("__over", cut + 1, n - 2 * cut)), F.lit(0.0)),
         "inrush_w": F.array_max("__over"),
     })
     steady = F.col("steady_w")
     out = out.withColumn("inrush_ratio", F.col("inrush_w") / F.greatest(F.when(steady > 0, steady).otherwise(F.abs("delta_avg_w")), F.lit(1.0)))
-    rounded = F.transform("__delta", lambda x: F.round(x["p"], 3))
-    peak = F.array_position(rounded, F.col("delta_peak_w")).cast("int")
-    settled = F.filter(F.slice("__delta", peak, n), lambda x: F.abs(F.round(x["p"], 3) - steady) <= F.greatest(0.15 * steady, F.lit(8.0)))
-    out = out.withColumn("settling_s", F.when((steady > 0) & (F.size(settled) > 0), F.try_element_at(settled, F.lit(1))["t"]).otherwise(0.0))
+    peak = F.array_position(F.transform("__rounded", lambda x: x["p"]), F.col("delta_peak_w")).cast("int")
+    settled = F.filter(F.slice("__rounded", peak, n), lambda x: F.abs(x["p"] - steady) <= F.greatest(0.15 * steady, F.lit(8.0)))
+    out = out.withColumn("settling_s", F.when(steady > 0, F.coalesce(F.try_element_at(settled, F.lit(1))["t"], F.lit(0.0))).otherwise(0.0))
     out = out.withColumn("__held", F.transform("__over", lambda x: F.abs(x - steady) <= F.greatest(0.12 * steady, F.lit(6.0))))
     entered = F.filter(F.transform("__held", lambda x, i: x & ((i == 0) | ~F.element_at("__held", F.greatest(i, F.lit(1))))), lambda x: x)
     out = out.withColumn("plateaus", F.when(steady > 0, F.size(entered)).otherwise(0))
-    return out.drop("__head", "__tail", "__delta", "__over", "__held")
+    return out.drop("__head", "__tail", "__delta", "__rounded", "__over", "__held")
 
 
 def with_substates(df: DataFrame) -> DataFrame:

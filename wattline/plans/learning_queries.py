@@ -49,6 +49,15 @@ def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.prepared(placed).withColumns({"shape_score": F.lit(0.0), "temporal_score": F.lit(0.0), **{c: F.col(c).cast("int") for c in ("heating", "motor")}})
 
 
+#: What only the preparing of a cycle reads.
+SAMPLES = ("pre", "inside", "post", "waveform", "profile", "points", "substates")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared cycles, written once, without their samples."""
+    return written(ready(spark, sf_dir).drop(*SAMPLES), "ready")
+
+
 #: The table's month lasts 288 s at that pace, so the cooldown is cut; its powers are drawn independently of each other, so that no two
 #: cycles are as alike as two runs of an appliance, and the similarities asked for are lowered.
 RULES = Q.LearningRules(cooldown_s=5.0, update=0.80, merge=0.72, same_label=0.60)
@@ -100,7 +109,7 @@ def a24(spark, sf_dir):
 @query("r21_dedup_match")
 def r21(spark, sf_dir):
     """The most similar learned pattern of each cycle's site and phase, and what is to be done with the cycle."""
-    rows = written(ready(spark, sf_dir), "ready")
+    rows = stored(spark, sf_dir)
     held = Q.stored_patterns(learned(rows)).where("status = 'active'").groupBy("site", "phase").agg(F.collect_list(F.struct("id", "group_id", "plateaus", "avg_w", *Q.COMPARED)).alias("held"))
     own = {c: F.col(c) for c in (*Q.COMPARED, "plateaus", "avg_w")}
 
@@ -130,14 +139,14 @@ def compared(cycles: DataFrame) -> DataFrame:
 
 @query("c10_hybrid_vote")
 def c10(spark, sf_dir):
-    rows = compared(written(ready(spark, sf_dir), "ready")).where("vote is not null")
+    rows = compared(stored(spark, sf_dir)).where("vote is not null")
     return rows.select("user_id", *r6("start_s"), "vote.group", "vote.label", *(F.round(f"vote.{k}", 6).alias(k) for k in ("proto", "shape", "repeat", "confidence", "distance")))
 
 
 @query("c08_decision")
 def c08(spark, sf_dir):
     """The staged decision of every cycle by rules, shape and time."""
-    return compared(written(ready(spark, sf_dir), "ready")).select("user_id", *r6("start_s"), "staged.label", "staged.source", "staged.raw", F.round("staged.confidence", 6).alias("confidence"), F.round("staged.rule", 6).alias("rule"))
+    return compared(stored(spark, sf_dir)).select("user_id", *r6("start_s"), "staged.label", "staged.source", "staged.raw", F.round("staged.confidence", 6).alias("confidence"), F.round("staged.rule", 6).alias("rule"))
 
 
 def modelled(cycles: DataFrame) -> DataFrame:
@@ -150,13 +159,13 @@ def modelled(cycles: DataFrame) -> DataFrame:
 
 @query("c11_random_forest")
 def c11(spark, sf_dir):
-    return modelled(written(ready(spark, sf_dir), "ready")).select("user_id", *r6("start_s"), "label", "predicted", "probability")
+    return modelled(stored(spark, sf_dir)).select("user_id", *r6("start_s"), "label", "predicted", "probability")
 
 
 @query("c12_label_suggestion")
 def c12(spark, sf_dir):
     """The label that is suggested for every cycle, by whom and why."""
-    cycles = written(ready(spark, sf_dir), "ready")
+    cycles = stored(spark, sf_dir)
     told = modelled(cycles).select("user_id", "start_s", S.normalize_label(F.col("predicted")).alias("ml_label"), F.col("probability").alias("ml_score"))
     rows = compared(cycles).join(told, ["user_id", "start_s"])
     c = {

@@ -22,19 +22,17 @@ START = (IDLE, None, 0.0, None, "", 0, None, None, [])
 def advance(state: tuple, t: float, p: float, base: float, rules: CycleRules) -> tuple[tuple, tuple | None]:
     """One sample: the next state and a transition (kind, reason, since) or None."""
     name, last_t, last_p, candidate, reason, count, on, ending, powers = state
-    powers = list(powers)
     moved = 0.0 if last_t is None else p - last_p
     slope = moved / (t - last_t) if last_t is not None and t > last_t else 0.0
     delta = p - base
-    signs = {"derivative_spike": slope >= rules.slope, "step_jump": moved >= rules.step, "inrush_ratio": p / max(base, 1.0) >= rules.inrush and slope >= 0, "delta_threshold": delta >= rules.delta_on}
-    starts = signs["derivative_spike"] or signs["delta_threshold"] or sum(signs.values()) >= 2
+    spike, jump, over = slope >= rules.slope, moved >= rules.step, delta >= rules.delta_on
+    inrush = slope >= 0 and p / max(base, 1.0) >= rules.inrush
+    starts = spike or over or (jump and inrush)
     near, shut = delta <= rules.delta_off, slope <= -rules.shutdown
-    middle = sum(powers) / len(powers) if powers else 0.0
-    calm = bool(powers) and sum(abs(v - middle) for v in powers) / len(powers) <= rules.spread
     found = None
-    if name in (IDLE, MAYBE_ON) and starts:
+    if starts and name in (IDLE, MAYBE_ON):
         if name == IDLE:
-            candidate, reason, count = t, next(k for k, v in signs.items() if v), 0
+            candidate, reason, count = t, "derivative_spike" if spike else "step_jump" if jump else "inrush_ratio" if inrush else "delta_threshold", 0
         count += 1
         name = MAYBE_ON
         if count >= rules.debounce:
@@ -45,6 +43,8 @@ def advance(state: tuple, t: float, p: float, base: float, rules: CycleRules) ->
     elif name == ACTIVE and t - on >= rules.grace_s and (near or shut):
         name, ending, count, powers = MAYBE_OFF, t, 1, [p]
     elif name == MAYBE_OFF:
+        middle = sum(powers) / len(powers) if powers else 0.0
+        calm = bool(powers) and sum([abs(v - middle) for v in powers]) / len(powers) <= rules.spread
         powers = [*powers, p][-24:]
         if near or near + calm + shut >= 2:
             count += 1
